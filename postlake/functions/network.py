@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ipaddress
 from collections import defaultdict
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -24,34 +25,54 @@ def _v4_bits(c: Column) -> Column:
     return F.array_join(octets, "")
 
 
-def _v6_bits(c: Column) -> Column:
-    """Null unless ``c`` is an IPv6 address; an IPv4 tail and one ``::`` are allowed."""
-    tail = _v4_bits(F.regexp_extract(c, rf":({_V4})$", 1))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _dotted_tail_as_hex(c: Column) -> Column:
+    """Rewrite an IPv4 tail of an IPv6 address as its two groups."""
 
-    def hextet(start: int) -> Column:
-        return F.conv(F.substring(tail, start, 16), 2, 16)
+    def rewritten(tail: Column) -> Column:
+        def group(start: int) -> Column:
+            return F.conv(F.substring(tail, start, 16), 2, 16)
 
-    plain = F.when(
-        c.rlike(f":{_V4}$"),
-        F.concat(F.regexp_replace(c, f"{_V4}$", ""), hextet(1), F.lit(":"), hextet(17)),
-    ).otherwise(c)
-    halves = F.split(plain, "::")
-    none = F.array().cast("array<string>")
+        return F.concat(
+            F.regexp_replace(c, f"{_V4}$", ""), group(1), F.lit(":"), group(17)
+        )
+
+    tail = _v4_bits(F.regexp_extract(c, f":({_V4})$", 1))
+    return F.when(c.rlike(f":{_V4}$"), _let(tail, rewritten)).otherwise(c)
+
+
+def _v6_bits(c: Column) -> Column:
+    """Null unless ``c`` is an IPv6 address; an IPv4 tail and one ``::`` are allowed."""
 
     def groups(half: Column) -> Column:
+        none = F.array().cast("array<string>")
         return F.when(F.coalesce(half, F.lit("")) == "", none).otherwise(F.split(half, ":"))
 
-    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
-    count, gap = F.size(left) + F.size(right), F.size(halves) == 2
-    valid = (
-        (F.size(halves) <= 2)
-        & F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-fA-F]{1,4}$"))
-        & F.when(gap, count <= 7).otherwise(count == 8)
-    )
-    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - count, F.lit(0)))
-    full = F.concat(left, zeros, right)
-    bits = F.array_join(F.transform(full, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
-    return F.when(valid, bits)
+    def both_sides(halves: Column) -> Column:
+        return F.struct(
+            F.size(halves).alias("halves"),
+            groups(F.get(halves, F.lit(0))).alias("left"),
+            groups(F.get(halves, F.lit(1))).alias("right"),
+        )
+
+    def bits(a: Column) -> Column:
+        left, right = a["left"], a["right"]
+        count = F.size(left) + F.size(right)
+        zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - count, F.lit(0)))
+        valid = (((a["halves"] == 2) & (count <= 7)) | ((a["halves"] == 1) & (count == 8))) & F.forall(
+            F.concat(left, right), lambda g: g.rlike("^[0-9a-fA-F]{1,4}$")
+        )
+        full = F.concat(left, zeros, right)
+        return F.when(
+            valid, F.array_join(F.transform(full, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
+        )
+
+    halves = F.split(_dotted_tail_as_hex(c), "::")
+    return _let(_let(halves, both_sides), bits)
 
 
 def ip_bits(c: Column) -> Column:
@@ -62,12 +83,15 @@ def ip_bits(c: Column) -> Column:
 def network_bits(cidr: Column) -> Column:
     """Bits a CIDR rule fixes; a bare address fixes all; null if the rule is invalid."""
     parts = F.split(cidr, "/")
-    bits = ip_bits(F.get(parts, F.lit(0)))
     size = F.get(parts, F.lit(1))
     length = F.when(size.rlike("^[0-9]{1,3}$"), size.try_cast("int"))
-    return F.when(F.size(parts) == 1, bits).when(
-        (F.size(parts) == 2) & (length <= F.length(bits)), F.substring(bits, F.lit(1), length)
-    )
+
+    def fixed(bits: Column) -> Column:
+        return F.when(F.size(parts) == 1, bits).when(
+            (F.size(parts) == 2) & (length <= F.length(bits)), F.substring(bits, F.lit(1), length)
+        )
+
+    return _let(ip_bits(F.get(parts, F.lit(0))), fixed)
 
 
 class Network(NamedTuple):
@@ -103,12 +127,15 @@ def ip_allowed(ip: Column, networks: list[Network]) -> Column:
     by_size: dict[tuple[int, int], set[str]] = defaultdict(set)
     for net in networks:
         by_size[net.width, len(net.bits)].add(net.bits)
-    bits = ip_bits(ip)
-    hit = F.lit(False)
-    for (width, size), prefixes in sorted(by_size.items()):
-        same = F.substring(bits, 1, size).isin(*sorted(prefixes))
-        hit = hit | ((F.length(bits) == width) & same)
-    return F.coalesce(hit, F.lit(False))
+
+    def in_any(bits: Column) -> Column:
+        hit = F.lit(False)
+        for (width, size), prefixes in sorted(by_size.items()):
+            same = F.substring(bits, 1, size).isin(*sorted(prefixes))
+            hit = hit | ((F.length(bits) == width) & same)
+        return hit
+
+    return F.coalesce(_let(ip_bits(ip), in_any), F.lit(False))
 
 
 def client_ip(
