@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import ipaddress
 from collections import defaultdict
-from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postlake.functions.bind import let
 from postlake.functions.text import trim_unicode
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -25,11 +25,6 @@ def _v4_bits(c: Column) -> Column:
     return F.array_join(octets, "")
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _dotted_tail_as_hex(c: Column) -> Column:
     """Rewrite an IPv4 tail of an IPv6 address as its two groups."""
 
@@ -42,7 +37,7 @@ def _dotted_tail_as_hex(c: Column) -> Column:
         )
 
     tail = _v4_bits(F.regexp_extract(c, f":({_V4})$", 1))
-    return F.when(c.rlike(f":{_V4}$"), _let(tail, rewritten)).otherwise(c)
+    return F.when(c.rlike(f":{_V4}$"), let(tail, rewritten)).otherwise(c)
 
 
 def _v6_bits(c: Column) -> Column:
@@ -72,7 +67,7 @@ def _v6_bits(c: Column) -> Column:
         )
 
     halves = F.split(_dotted_tail_as_hex(c), "::")
-    return _let(_let(halves, both_sides), bits)
+    return let(let(halves, both_sides), bits)
 
 
 def ip_bits(c: Column) -> Column:
@@ -91,7 +86,7 @@ def network_bits(cidr: Column) -> Column:
             (F.size(parts) == 2) & (length <= F.length(bits)), F.substring(bits, F.lit(1), length)
         )
 
-    return _let(ip_bits(F.get(parts, F.lit(0))), fixed)
+    return let(ip_bits(F.get(parts, F.lit(0))), fixed)
 
 
 class Network(NamedTuple):
@@ -135,7 +130,7 @@ def ip_allowed(ip: Column, networks: list[Network]) -> Column:
             hit = hit | ((F.length(bits) == width) & same)
         return hit
 
-    return F.coalesce(_let(ip_bits(ip), in_any), F.lit(False))
+    return F.coalesce(let(ip_bits(ip), in_any), F.lit(False))
 
 
 def client_ip(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlake import schema as S
+from postlake.functions.bind import let
 
 # Unicode-aware whitespace for Java regular expressions.
 _WS = r"(?U)\s+"
@@ -20,35 +21,47 @@ _FLAT_PARENS = r"\([^()]*\)"
 
 def fold_width(c: Column) -> Column:
     """Store full-width digits and the feed's four punctuation marks as ASCII."""
-    return F.translate(c, S.WIDE_CHARS, S.NARROW_CHARS)
+    wide = F.translate(c, S.WIDE_CHARS, S.NARROW_CHARS)
+    return F.when(c.rlike(f"[{S.WIDE_CHARS}]"), wide).otherwise(c)
 
 
-def strip_parens(c: Column) -> Column:
-    """Drop parenthesised text at any depth; a stray ``)`` goes, an unclosed ``(`` drops
-    the rest.
-
-    Two linear regex passes remove what nearly all text holds (pairs up to depth two).
-    Only text that still has a parenthesis is folded token by token, so the cost grows
-    with the parentheses left over, not with the characters.
-    """
-    plain = F.regexp_replace(F.regexp_replace(c, _FLAT_PARENS, ""), _FLAT_PARENS, "")
-    tokens = F.regexp_extract_all(plain, F.lit(r"[()]|[^()]+"), F.lit(0))
+def _fold_parens(c: Column) -> Column:
+    """Walk over the pieces between parentheses, keeping those at depth zero."""
+    pieces = F.regexp_extract_all(c, F.lit(r"[()]|[^()]+"), F.lit(0))
 
-    def step(acc: Column, token: Column) -> Column:
+    def step(acc: Column, piece: Column) -> Column:
         depth, out = acc["depth"], acc["out"]
         return F.struct(
-            F.when(token == "(", depth + 1)
-            .when(token == ")", F.greatest(depth - 1, F.lit(0)))
+            F.when(piece == "(", depth + 1)
+            .when(piece == ")", F.greatest(depth - 1, F.lit(0)))
             .otherwise(depth)
             .alias("depth"),
-            F.when(token.isin("(", ")") | (depth > 0), out)
-            .otherwise(F.concat(out, token))
+            F.when(piece.isin("(", ")") | (depth > 0), out)
+            .otherwise(F.concat(out, piece))
             .alias("out"),
         )
 
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
-    folded = F.aggregate(tokens, start, step, lambda acc: acc["out"])
-    return F.when(plain.rlike(r"[()]"), folded).otherwise(plain)
+    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+
+
+def strip_parens(c: Column) -> Column:
+    """Drop parenthesised text at any depth; a stray ``)`` goes, an unclosed ``(`` drops
+    the rest.
+
+    Each regex pass removes the innermost pairs in linear time; three passes finish nearly
+    all text, and what is left without a pair needs no counting.  Only text nested deeper
+    than that is walked piece by piece.
+    """
+    flat = c
+    for _ in range(3):
+        flat = F.regexp_replace(flat, _FLAT_PARENS, "")
+
+    def finish(x: Column) -> Column:
+        no_pairs = F.regexp_replace(F.regexp_replace(x, r"(?s)\(.*", ""), r"\)", "")
+        return F.when(x.rlike(_FLAT_PARENS), _fold_parens(x)).otherwise(no_pairs)
+
+    return F.when(c.rlike("[()]"), let(flat, finish)).otherwise(c)
 
 
 def blank_unlisted(c: Column) -> Column:
@@ -60,6 +73,11 @@ def _nfkc(values: pd.Series) -> pd.Series:
     return values.str.normalize("NFKC")
 
 
+# Not because it is: this keeps the optimizer from running the UDF again for every filter
+# and expression that uses its result.
+_nfkc = _nfkc.asNondeterministic()
+
+
 def nfkc(c: Column) -> Column:
     """Unicode NFKC.  ASCII is its own NFKC form and skips the UDF."""
     return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)

@@ -9,6 +9,7 @@ from postlake import schema as S
 from postlake.functions import network as N
 from postlake.functions.text import trim_unicode
 from postlake.operators.skew import lookup_join
+from postlake.session import materialise
 
 
 def match_networks(
@@ -40,8 +41,9 @@ def match_networks(
         requests.select(ip_col)
         .distinct()
         .select(ip_col, bits.alias("_bits"))
-        .filter(F.col("_bits").isNotNull())
-        .withColumn("_s", F.explode(F.filter(sizes, lambda s: s["w"] == F.length("_bits"))))
+        # The outer form keeps Spark from testing the bits before the distinct.
+        .withColumn("_s", F.explode_outer(F.filter(sizes, lambda s: s["w"] == F.length("_bits"))))
+        .filter(F.col("_s").isNotNull())
         .select(
             ip_col,
             F.col("_s.w").alias("width"),
@@ -54,6 +56,7 @@ def match_networks(
         .distinct()
         .withColumn("_hit", F.lit(True))
     )
+    matched = materialise(matched, "networks")
     out = lookup_join(requests, matched, [ip_col], "left", **join)
     return out.withColumn("allowed", F.col("_hit").isNotNull()).select(*requests.columns, "allowed")
 

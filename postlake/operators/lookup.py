@@ -88,7 +88,7 @@ def enrich_addresses(
     )
     wanted = text.normalize_zip(F.col(zip_col))
     keyed = rows.withColumn("_zip", F.when(text.is_valid_zip(wanted), wanted))
-    out = lookup_join(keyed, first, ["_zip"], "left", **join)
+    out = lookup_join(keyed, first, ["_zip"], "left", bound=addresses, **join)
     hit = F.col("_count").isNotNull()
     filled = {zip_col: F.when(hit, F.col("_zip")).otherwise(F.col(zip_col))}
     for source, target in names.items():
@@ -114,9 +114,11 @@ def zip_city_options(
     asked = requests.withColumn("zip_code", F.when(text.is_valid_zip(wanted), wanted)).filter(
         F.col("zip_code").isNotNull()
     )
-    found = lookup_join(asked, first, ["zip_code"], "inner", **join)
+    found = lookup_join(asked, first, ["zip_code"], "inner", bound=addresses, **join)
     options = addresses.select("prefecture_id", "city_id", "city").distinct()
-    return lookup_join(found, options, ["prefecture_id"], "inner", **join).select(
+    return lookup_join(
+        found, options, ["prefecture_id"], "inner", bound=addresses, **join
+    ).select(
         *requests.columns,
         "prefecture_id",
         "city_id",

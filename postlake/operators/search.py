@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from postlake import schema as S
 from postlake.functions import text
 from postlake.operators.skew import BROADCAST_ROWS, HOT_ROWS, key_counts, spread_join
-from postlake.session import materialise
+from postlake.session import empty, materialise
 
 # Control character that no keyword holds: keeps backslashes literal in LIKE.
 _ESCAPE = "\\u0001"
@@ -150,14 +150,16 @@ def match_terms(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The first 200 distinct records of each (mode, term), in result order."""
-    spark = terms.sparkSession
     keyed = _keyed_terms(terms, wildcards)
     want = _pieces(keyed)
     token_records = _token_records(records, tokens)
     if not want.terms:
-        empty = T.StructType(terms.select(*_MATCH).schema.fields + records.schema.fields)
-        return spark.createDataFrame([], empty)
-    pieces = _token_pieces(token_records.select("token").distinct(), want)
+        schema = T.StructType(terms.select(*_MATCH).schema.fields + records.schema.fields)
+        return empty(terms.sparkSession, schema)
+    # Few bytes of tokens turn into many pieces: keep the tokens spread over all tasks.
+    tasks = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct_tokens = token_records.select("token").repartition(tasks, "token").distinct()
+    pieces = _token_pieces(distinct_tokens, want)
     if want.terms <= broadcast_rows:
         met = pieces.join(F.broadcast(keyed), ["kind", "key"])
     else:
@@ -198,9 +200,12 @@ class _Asked:
     most_often: int
 
 
+def _usable() -> Column:
+    return (F.col("_word") != "") & F.col("_mode").isin(*S.SEARCH_MODES)
+
+
 def _asked(prepared: DataFrame) -> _Asked:
-    usable = (F.col("_word") != "") & F.col("_mode").isin(*S.SEARCH_MODES)
-    keys = materialise(key_counts(prepared.filter(usable), ["_mode", "_word"]), "keywords")
+    keys = materialise(key_counts(prepared.filter(_usable()), ["_mode", "_word"]), "keywords")
     row = keys.agg(F.count(F.lit(1)).alias("n"), F.max("_n").alias("most")).first()
     return _Asked(keys, row["n"], row["most"] or 0)
 
@@ -221,12 +226,14 @@ def _answer(
     asked very often are spread.
     """
     on, how = ["_mode", "_word"], "left" if keep_all else "inner"
+    if not keep_all:
+        prepared = prepared.filter(_usable())
     if asked.distinct * S.SEARCH_LIMIT_MAX <= broadcast_rows:
         out = prepared.join(F.broadcast(ranked), on, how)
     elif keep_all or asked.most_often >= hot_rows:
-        blank = F.when(F.col("_word") != "", F.col("_word"))
+        # Requests that cannot hit get a null keyword, which is never sent to one task.
         out = spread_join(
-            prepared.withColumn("_word", blank),
+            prepared.withColumn("_word", F.when(_usable(), F.col("_word"))),
             ranked,
             on,
             how,

@@ -12,8 +12,11 @@ HOT_ROWS = 1_000_000
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no further than needed to tell."""
-    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
+    """Whether ``df`` has at most ``rows`` rows.
+
+    A count moves one number per task, and on Parquet tables reads file footers only.
+    """
+    return df.count() <= rows
 
 
 def key_counts(df: DataFrame, on: list[str]) -> DataFrame:
@@ -48,6 +51,7 @@ def spread_join(
     Rows of a hot key get one of n salts, and the ``right`` rows of that key are repeated
     for each salt; all other keys are joined as usual.  ``how`` is ``inner``, ``left``,
     ``left_semi`` or ``left_anti``.  Null keys never match, so they are simply spread.
+    ``spread_by`` is what differs between rows of one key, by default all columns.
     ``counts`` are the rows per key of ``left`` if they are known already.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
@@ -75,11 +79,15 @@ def lookup_join(
     on: list[str],
     how: str = "inner",
     spread_by: Column | None = None,
+    bound: DataFrame | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join a large ``left`` to reference data: broadcast if its size was checked to be
-    small, otherwise a shuffle that spreads hot keys."""
-    if fits(right, broadcast_rows):
+    small, otherwise a shuffle that spreads hot keys.
+
+    ``bound`` is a table with at least as many rows as ``right`` that is cheaper to count.
+    """
+    if fits(right if bound is None else bound, broadcast_rows):
         return left.join(F.broadcast(right), on, how)
     return spread_join(left, right, on, how, spread_by, hot_rows)

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from postlake import schema as S
+from postlake.session import empty
 
 _T = TypeVar("_T")
 _LIVE = ("success", "rollback")
@@ -126,7 +127,7 @@ def audits(spark: SparkSession, store: str) -> DataFrame:
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], S.AUDIT)
+        return empty(spark, S.AUDIT)
 
 
 def _live_audit(spark: SparkSession, store: str) -> Row | None:
@@ -148,7 +149,7 @@ def current(spark: SparkSession, store: str) -> DataFrame:
     """The published table; empty before the first publish."""
     version = current_version(spark, store)
     if version is None:
-        return spark.createDataFrame([], S.ADDRESS_VERSIONED)
+        return empty(spark, S.ADDRESS_VERSIONED)
     return read_version(spark, store, version)
 
 
@@ -177,9 +178,8 @@ def _append_audit(spark: SparkSession, store: str, **values: object) -> Row:
         **values,
     }
     record = Row(**{name: row[name] for name in S.AUDIT.fieldNames()})
-    spark.createDataFrame([record], S.AUDIT).coalesce(1).write.mode("append").parquet(
-        f"{store}/audits"
-    )
+    values_of = [F.lit(record[f.name]).cast(f.dataType).alias(f.name) for f in S.AUDIT.fields]
+    spark.range(0, 1, 1, 1).select(*values_of).write.mode("append").parquet(f"{store}/audits")
     return record
 
 

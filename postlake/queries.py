@@ -658,24 +658,18 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feed_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed files that arrive in a folder, published one after the other."""
+    """Feed files that arrive in a folder, published as they are found."""
     landing, store = scratch_path(spark, "landing"), scratch_path(spark, "store")
-    t.feed_lines(spark, sf_dir).repartitionByRange(2, "zip_code").sortWithinPartitions(
+    t.feed_lines(spark, sf_dir).repartitionByRange("zip_code").sortWithinPartitions(
         "zip_code", "o_orderkey"
     ).select("line").write.text(landing)
-    ticks = iter([FIRST_BATCH, SECOND_BATCH])
     jobs.publish_arrivals(
         spark,
         f"{landing}/part-*.txt",
         store,
         scratch_path(spark, "progress"),
         encoding="utf-8",
-        clock=lambda: next(ticks),
+        file_is_feed=False,
+        clock=lambda: FIRST_BATCH,
     ).awaitTermination()
-    runs = V.audits(spark, store)
-    return runs.agg(
-        F.count("data_version").alias("runs"),
-        F.sum("records_in_feed").alias("records"),
-        F.sum("inserted_count").alias("inserted"),
-        F.count_if(F.col("status") == "success").alias("succeeded"),
-    )
+    return _store_rows(V.current(spark, store))

@@ -430,5 +430,4 @@ SQL["stream_sustained_latency"] = f"""WITH {_TRIPLES}
 SELECT {_at(f"window_end - 3 * {_STEP}", "start")}, {_at("window_end", '"end"')}
 FROM alert WHERE slow_15m AND window_end <= {_CLOSED}"""
 SQL["stream_dedup"] = "SELECT event_id FROM events"
-SQL["feed_arrivals"] = f"""WITH c AS (SELECT count(*) AS n FROM ({t.FEED_FILES_SQL}))
-SELECT CAST(2 AS BIGINT) AS runs, n AS records, n AS inserted, CAST(2 AS BIGINT) AS succeeded FROM c"""
+SQL["feed_arrivals"] = f"SELECT *, {_T1} AS created_at, {_T1} AS updated_at FROM ({t.FEED_FILES_SQL})"

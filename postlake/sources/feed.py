@@ -46,7 +46,7 @@ def _split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_feed(
-    spark: SparkSession, path: str, encoding: str = "windows-31j", header: bool = False
+    spark: SparkSession, path: str | list[str], encoding: str = "windows-31j", header: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Read a folder of feed files as (numbered records, malformed lines).
 
@@ -111,7 +111,7 @@ def _archive_lines(
 
 
 def read_zipped_feed(
-    spark: SparkSession, path: str, encoding: str = "cp932", header: bool = False
+    spark: SparkSession, path: str | list[str], encoding: str = "cp932", header: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Read a folder of zip archives, one task per group of archives.
 
@@ -141,4 +141,5 @@ def prefecture_dimension(spark: SparkSession, path: str | None = None) -> DataFr
     """(id, label), from a JSON array file or the built-in list."""
     if path is not None:
         return spark.read.schema("id smallint, label string").json(path, multiLine=True)
-    return spark.createDataFrame(list(enumerate(S.PREFECTURES)), "id smallint, label string")
+    rows = ", ".join(f"({i}S, '{label}')" for i, label in enumerate(S.PREFECTURES))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS prefectures(id, label)")

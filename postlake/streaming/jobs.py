@@ -35,35 +35,34 @@ def publish_arrivals(
     header: bool = False,
     merge_before_strip: bool = False,
     trim: bool = False,
+    file_is_feed: bool = True,
     clock: Callable[[], datetime] = lambda: datetime.now(UTC),
 ) -> StreamingQuery:
-    """Publish every feed file waiting in ``landing``, oldest first, then stop.
+    """Publish the feed files waiting in ``landing``, then stop.
 
-    Each file is a whole feed and becomes one version.  The checkpoint remembers which
-    files are done; the batch number in the run's source keeps a batch that is repeated
-    after a crash from being published twice.
+    Either each file is a whole feed and becomes one version, oldest first, or all files
+    that wait are one feed.  The checkpoint remembers which files are done; the batch
+    number in the run's source keeps a batch that is repeated after a crash from being
+    published twice.
     """
-    arrivals = (
-        spark.readStream.format("binaryFile")
-        .schema(_FILES)
-        .option("maxFilesPerTrigger", 1)
-        .load(landing)
-        # The stream only finds the files; their bytes are read by the feed reader.
-        .select("path")
-    )
+    arrivals = spark.readStream.format("binaryFile").schema(_FILES)
+    if file_is_feed:
+        arrivals = arrivals.option("maxFilesPerTrigger", 1)
+    # The stream only finds the files; their bytes are read by the feed reader.
+    arrivals = arrivals.load(landing).select("path")
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        found = batch.first()
-        if found is None:
+        paths = [row.path for row in batch.orderBy("path").collect()]  # names only
+        if not paths:
             return
-        source = f"{found.path}#{batch_id}"
+        source = f"{paths[0] if file_is_feed else landing}#{batch_id}"
         session = batch.sparkSession
         runs = versions.audits(session, store)
         if runs.filter((F.col("source_url") == source) & (F.col("status") == "success")).first():
             return
         read = feeds.read_zipped_feed if zipped else feeds.read_feed
         named = {"encoding": encoding} if encoding else {}
-        records, _ = read(session, found.path, header=header, **named)
+        records, _ = read(session, paths, header=header, **named)
         rows = prepare_feed(
             records, feeds.prefecture_dimension(session), merge_before_strip, trim
         )
