@@ -12,8 +12,8 @@ from postlake.session import materialise
 def number_lines(df: DataFrame, file: str, block: str, name: str = "lines") -> DataFrame:
     """Add ``line_no`` (0, 1, 2, ... per file) to rows as a scan delivers them.
 
-    ``block`` is the start offset of the scan split a row came from.  Ids are consecutive
-    inside a split, so it is enough to count each split and add up the counts before it.
+    ``block`` orders the scan splits of a file and tells which one a row came from.  Ids are
+    consecutive inside a split, so it is enough to count each split and add up the counts before it.
     The rows are written once with their ids (the ids only hold for one run of the scan);
     the counts are one row per input split, which the split size bounds to about eight
     thousand rows per terabyte, and they are broadcast.

@@ -52,7 +52,7 @@ def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "c_custkey",
         "c_acctbal",
-        _pad(F.floor(key / 3), 7).alias("zip_code"),
+        _pad(F.expr("c_custkey div 3"), 7).alias("zip_code"),
         nation.cast("smallint").alias("prefecture_id"),
         _pad(nation * 1000 + key % 40, 5).alias("city_id"),
         prefecture_label(nation).alias("prefecture"),
@@ -80,7 +80,8 @@ addr AS (
 def next_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed after that: customers who ever ordered stay, those in debt move to another
     city id, and suppliers are new."""
-    ordered = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, sf_dir, "orders")
+    ordered = orders.select(F.col("o_custkey").alias("c_custkey")).distinct()
     stay = (
         addresses(spark, sf_dir)
         .join(ordered, "c_custkey", "left_semi")
@@ -117,7 +118,7 @@ next_addr AS (
 def zip_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per order: most hit, some miss, some are malformed."""
     key, customer = F.col("o_orderkey"), F.col("o_custkey")
-    digits = _pad(F.floor(customer / 3), 7)
+    digits = _pad(F.expr("o_custkey div 3"), 7)
     written = F.concat(
         F.lit("〒"), F.substring(digits, 1, 3), F.lit("-"), F.substring(digits, 4, 4)
     )
@@ -261,7 +262,6 @@ FROM norm JOIN ranked USING (word) WHERE position <= lim"""
 
 
 def lineitem_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("l_orderkey")
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
@@ -269,7 +269,7 @@ def lineitem_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey",
         "l_returnflag",
         F.lit("lineitem").alias("feed_file"),
-        _pad(F.floor(key / 2), 7).alias("zip_code"),
+        _pad(F.expr("l_orderkey div 2"), 7).alias("zip_code"),
         _pad(F.col("l_suppkey") % 3, 5).alias("city_id"),
         F.concat(F.lit("T"), _text(F.col("l_partkey") % 5)).alias("town"),
         (F.col("l_returnflag") == "R").alias("flag"),

@@ -250,10 +250,9 @@ def feed_files_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed files written in line order, some lines malformed, then read and cleaned."""
     path = scratch_path(spark, "feed-files")
     lines = t.feed_lines(spark, sf_dir)
-    lines.repartitionByRange("zip_code").sortWithinPartitions("zip_code", "o_orderkey").select(
-        "line"
-    ).write.text(path)
-    records, _ = read_feed(spark, path, encoding="utf-8")
+    order = ["zip_code", "o_orderkey"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.text(path)
+    records, _ = read_feed(spark, path, encoding="utf-8", joined=True)
     return _shown(prepare_feed(records, prefecture_dimension(spark)))
 
 
@@ -463,9 +462,10 @@ def dependency_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "WHEN 'signup' THEN 'Failed to create Redis connection manager: refused' "
         "WHEN 'view' THEN 'Failed to download: 404' ELSE props END"
     )
-    lines = events_log(spark, sf_dir).select("ts", "event_id")
-    props = t.table(spark, sf_dir, "events").select("event_id", line.alias("value"))
-    rows = dependency_errors(lines.join(props, "event_id"), window="1 hour")
+    lines = t.table(spark, sf_dir, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), line.alias("value")
+    )
+    rows = dependency_errors(lines, window="1 hour")
     return rows.select(_at("window_start"), "dependency", "errors")
 
 
@@ -660,9 +660,9 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feed_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed files that arrive in a folder, published as they are found."""
     landing, store = scratch_path(spark, "landing"), scratch_path(spark, "store")
-    t.feed_lines(spark, sf_dir).repartitionByRange("zip_code").sortWithinPartitions(
-        "zip_code", "o_orderkey"
-    ).select("line").write.text(landing)
+    order = ["zip_code", "o_orderkey"]
+    lines = t.feed_lines(spark, sf_dir).repartitionByRange(*order).sortWithinPartitions(*order)
+    lines.select("line").write.text(landing)
     jobs.publish_arrivals(
         spark,
         f"{landing}/part-*.txt",

@@ -33,7 +33,9 @@ def feed_records(lines: DataFrame) -> DataFrame:
     return lines.select("feed_file", "_block", *[v.alias(k) for k, v in fields.items()])
 
 
-def _split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _split(parsed: DataFrame, joined: bool) -> tuple[DataFrame, DataFrame]:
+    if joined:
+        parsed = parsed.withColumn("feed_file", F.lit("joined"))
     bad = F.col(S.CORRUPT).isNotNull()
     good = feed_records(parsed.filter(~bad))
     # Spark refuses a scan that reads the corrupt-record column alone; the second condition
@@ -46,12 +48,17 @@ def _split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_feed(
-    spark: SparkSession, path: str | list[str], encoding: str = "windows-31j", header: bool = False
+    spark: SparkSession,
+    path: str | list[str],
+    encoding: str = "windows-31j",
+    header: bool = False,
+    joined: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Read a folder of feed files as (numbered records, malformed lines).
 
     Large files are split.  A malformed line is set aside before lines are numbered, so
-    its neighbours stay adjacent.
+    its neighbours stay adjacent.  With ``joined`` the files are the parts of one feed, in
+    the order of their paths, and lines are numbered through.
     """
     _check_charset(spark, encoding)
     parsed = (
@@ -63,10 +70,10 @@ def read_feed(
         .select(
             "*",
             F.col("_metadata.file_path").alias("feed_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
+            F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_block"),
         )
     )
-    return _split(parsed)
+    return _split(parsed, joined)
 
 
 def _unzip(encoding: str, header: bool):
@@ -111,7 +118,11 @@ def _archive_lines(
 
 
 def read_zipped_feed(
-    spark: SparkSession, path: str | list[str], encoding: str = "cp932", header: bool = False
+    spark: SparkSession,
+    path: str | list[str],
+    encoding: str = "cp932",
+    header: bool = False,
+    joined: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Read a folder of zip archives, one task per group of archives.
 
@@ -127,10 +138,10 @@ def read_zipped_feed(
     lines = raw.filter(F.col("error").isNull())
     parsed = lines.select(
         "feed_file",
-        F.lit(0).cast("long").alias("_block"),
+        F.col("feed_file").alias("_block"),
         F.from_csv("line", _FEED_DDL, _CSV).alias("r"),
     ).select("feed_file", "_block", "r.*")
-    good, malformed = _split(parsed)
+    good, malformed = _split(parsed, joined)
     broken = raw.filter(F.col("error").isNotNull()).select(
         "feed_file", F.col("error").alias("line")
     )

@@ -62,7 +62,7 @@ def publish_arrivals(
             return
         read = feeds.read_zipped_feed if zipped else feeds.read_feed
         named = {"encoding": encoding} if encoding else {}
-        records, _ = read(session, paths, header=header, **named)
+        records, _ = read(session, paths, header=header, joined=not file_is_feed, **named)
         rows = prepare_feed(
             records, feeds.prefecture_dimension(session), merge_before_strip, trim
         )

@@ -186,3 +186,12 @@ def test_prefecture_dimension_from_json(spark, tmp_path):
     (tmp_path / "p.json").write_text('[{"id": 1, "label": "北海道"}]', encoding="utf-8")
     assert rows(prefecture_dimension(spark, str(tmp_path / "p.json"))) == [(1, "北海道")]
     assert prefecture_dimension(spark).count() == 48
+
+
+def test_joined_files_are_one_feed(spark, tmp_path):
+    lines = [line_of(r) for r in SAMPLE]
+    for name, part in (("a", lines[:4]), ("b", lines[4:18]), ("c", lines[18:])):
+        (tmp_path / f"{name}.csv").write_bytes(csv_text(part).encode("cp932"))
+    good, _ = read_feed(spark, str(tmp_path), joined=True)
+    assert rows(prepare_feed(good, prefecture_dimension(spark))) == sorted(EXPECTED)
+    assert sorted(r.line_no for r in good.collect()) == list(range(18))
