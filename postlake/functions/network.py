@@ -21,8 +21,11 @@ _V4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
 
 
 def _v4_bits(c: Column) -> Column:
-    octets = F.transform(F.split(c, r"\."), lambda o: F.lpad(F.conv(o, 10, 2), 8, "0"))
-    return F.array_join(octets, "")
+    octets = F.split(c, r"\.")
+    value = F.lit(0).cast("long")
+    for i in range(4):
+        value = value * 256 + F.get(octets, F.lit(i)).try_cast("long")
+    return F.lpad(F.conv(value.cast("string"), 10, 2), 32, "0")
 
 
 def _dotted_tail_as_hex(c: Column) -> Column:
@@ -89,6 +92,11 @@ def network_bits(cidr: Column) -> Column:
     return let(ip_bits(F.get(parts, F.lit(0))), fixed)
 
 
+def is_ip(c: Column) -> Column:
+    v6 = F.when(c.contains(":"), _v6_bits(c).isNotNull()).otherwise(False)
+    return F.coalesce(c.rlike(f"^{_V4}$") | v6, F.lit(False))
+
+
 class Network(NamedTuple):
     width: int
     bits: str
@@ -114,23 +122,23 @@ def parse_networks(rules: str) -> list[Network]:
     return networks
 
 
-def ip_allowed(ip: Column, networks: list[Network]) -> Column:
-    """Whether an address lies in any network of a configured list.
+def in_networks(bits: Column, networks: list[Network]) -> Column:
+    """Whether an address, given as its bits, lies in any network of a configured list.
 
     A hash-set test per distinct prefix length: no join, no shuffle.
     """
     by_size: dict[tuple[int, int], set[str]] = defaultdict(set)
     for net in networks:
         by_size[net.width, len(net.bits)].add(net.bits)
+    hit = F.lit(False)
+    for (width, size), prefixes in sorted(by_size.items()):
+        same = F.substring(bits, 1, size).isin(*sorted(prefixes))
+        hit = hit | ((F.length(bits) == width) & same)
+    return F.coalesce(hit, F.lit(False))
 
-    def in_any(bits: Column) -> Column:
-        hit = F.lit(False)
-        for (width, size), prefixes in sorted(by_size.items()):
-            same = F.substring(bits, 1, size).isin(*sorted(prefixes))
-            hit = hit | ((F.length(bits) == width) & same)
-        return hit
 
-    return F.coalesce(let(ip_bits(ip), in_any), F.lit(False))
+def ip_allowed(ip: Column, networks: list[Network]) -> Column:
+    return let(ip_bits(ip), lambda bits: in_networks(bits, networks))
 
 
 def client_ip(
@@ -143,7 +151,7 @@ def client_ip(
 
     def address(c: Column) -> Column:
         trimmed = trim_unicode(c)
-        return F.when(ip_bits(trimmed).isNotNull(), trimmed)
+        return F.when(is_ip(trimmed), trimmed)
 
     first = F.get(F.split(forwarded_for, ","), F.lit(0))
     return F.coalesce(address(first), address(real_ip), peer)

@@ -76,12 +76,16 @@ def access_audit(
     ip = N.client_ip(F.col("forwarded_for"), F.col("real_ip"), F.col("ip"), trust_proxy_headers)
     known: Column = F.lit(True)
     if networks is not None:
-        known = N.ip_allowed(F.col("client_ip"), networks)
+        known = N.in_networks(F.col("_bits"), networks)
     named = F.coalesce(trim_unicode(F.col("user")), F.lit("")) != ""
     free = N.path_matches(F.col("path"), N.path_prefixes(F.lit(anonymous_paths)))
     may = F.lit(not login_required) | free | named
-    return requests.withColumn("client_ip", ip).withColumn(
-        "outcome", F.when(~known, 403).when(~F.coalesce(may, F.lit(False)), 401).otherwise(200)
+    outcome = F.when(~known, 403).when(~F.coalesce(may, F.lit(False)), 401).otherwise(200)
+    return (
+        requests.withColumn("client_ip", ip)
+        .withColumn("_bits", N.ip_bits(F.col("client_ip")))
+        .withColumn("outcome", outcome)
+        .drop("_bits")
     )
 
 

@@ -158,7 +158,7 @@ def match_terms(
         return empty(terms.sparkSession, schema)
     # Few bytes of tokens turn into many pieces: keep the tokens spread over all tasks.
     tasks = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct_tokens = token_records.select("token").repartition(tasks, "token").distinct()
+    distinct_tokens = token_records.select("token").distinct().repartition(tasks)
     pieces = _token_pieces(distinct_tokens, want)
     if want.terms <= broadcast_rows:
         met = pieces.join(F.broadcast(keyed), ["kind", "key"])

@@ -213,8 +213,10 @@ def width_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def paren_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = F.translate("text", ",.0123456789", "（）０１２３４５６７８９")
-    kept = text.strip_parens(text.fold_width(wide))
-    return t.table(spark, sf_dir, "documents").select("doc_id", kept.alias("kept")).select(
+    docs = t.table(spark, sf_dir, "documents").select("doc_id", wide.alias("text"))
+    docs = docs.withColumn("text", text.fold_width(F.col("text")))
+    docs = docs.withColumn("kept", text.strip_parens(F.col("text")))
+    return docs.select(
         "doc_id", F.md5("kept").alias("kept"), F.length("kept").cast("long").alias("chars")
     )
 
