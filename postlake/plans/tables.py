@@ -290,7 +290,7 @@ feed AS (
 _FEED_TOWN = (
     "CASE WHEN o_orderpriority = '3-MEDIUM' THEN '以下に掲載がない場合' "
     "WHEN o_orderpriority = '5-LOW' THEN concat('町（', CAST(o_custkey % 10 AS VARCHAR(20)), '（内）外）ー') "
-    "WHEN o_orderpriority = '2-HIGH' THEN '続き）' ELSE concat('字', translate("
+    "WHEN o_orderpriority = '2-HIGH' THEN '続き）' WHEN o_orderpriority = '1-URGENT' THEN '丘（未' ELSE concat('字', translate("
     "CAST(o_custkey % 100 AS VARCHAR(20)), '0123456789', '０１２３４５６７８９'), '、') END"
 )
 _FEED_PREF = "CASE o_custkey % 4 WHEN 0 THEN '北海道' WHEN 1 THEN '東京都' WHEN 2 THEN '大阪府' ELSE '不明（県）' END"
@@ -310,7 +310,18 @@ def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("zip_code", "o_orderkey", F.expr(line).alias("line"))
 
 
-FEED_FILES_SQL = f"""WITH RECURSIVE
+def feed_files_sql(merge_before_strip: bool) -> str:
+    """The cleaned feed.  Towns are nested at most three deep here, so a few replacements
+    strip them."""
+
+    def stripped(c: str) -> str:
+        for _ in range(4):
+            c = f"regexp_replace({c}, '\\([^()]*\\)', '', 'g')"
+        c = f"replace(regexp_replace({c}, '\\(.*', ''), ')', '')"
+        return f"CASE {c} WHEN '{S.UNLISTED_TOWN}' THEN '' ELSE {c} END"
+
+    early, late = ("t0", stripped("town")) if merge_before_strip else (stripped("t0"), "town")
+    return f"""WITH
 raw AS (
   SELECT o_orderkey, {_FEED_ZIP.format(div="o_custkey // 3")} AS zip_code,
          lpad(CAST(o_custkey % 3 AS VARCHAR), 5, '0') AS city_id,
@@ -323,8 +334,7 @@ raw AS (
 clean AS (
   SELECT row_number() OVER (ORDER BY zip_code, o_orderkey) AS n, zip_code, city_id, prefecture, city, flag,
          CASE prefecture WHEN '北海道' THEN 1 WHEN '東京都' THEN 13 WHEN '大阪府' THEN 27 ELSE 0 END AS prefecture_id,
-         CASE WHEN t0 = '以下に掲載がない場合' THEN '' ELSE replace(
-           regexp_replace(regexp_replace(t0, '\\([^()]*\\)', '', 'g'), '\\([^()]*\\)', '', 'g'), ')', '') END AS town
+         {early} AS town
   FROM raw
 ),
 marked AS (
@@ -337,10 +347,12 @@ merged AS (
   SELECT min(n) AS n, zip_code, city_id, arg_min(prefecture_id, n) AS prefecture_id,
          arg_min(prefecture, n) AS prefecture, arg_min(city, n) AS city, string_agg(town, '' ORDER BY n) AS town
   FROM runs GROUP BY run, zip_code, city_id
-)
-SELECT zip_code, prefecture_id, city_id, prefecture, city, town FROM merged
+),
+final AS (SELECT n, zip_code, prefecture_id, city_id, prefecture, city, {late} AS town FROM merged)
+SELECT zip_code, prefecture_id, city_id, prefecture, city, town FROM final
 QUALIFY row_number() OVER (PARTITION BY zip_code, prefecture_id, city, town ORDER BY n) = 1"""
 
+
 # ---- logs ----------------------------------------------------------------------------
 
 _STATUS = "CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 ELSE 200 END"

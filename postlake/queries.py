@@ -182,6 +182,20 @@ def search_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.search_json(found)
 
 
+@query
+def search_fold_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords with the long mark that the feed stores as a hyphen."""
+    word = F.concat("o_orderpriority", F.lit("ー"), F.col("o_custkey") % 40)
+    asked = t.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("request_id"),
+        F.concat(F.lit("LDINGー"), F.col("o_custkey") % 40).alias("address"),
+        F.lit("partial").alias("mode"),
+        F.length(word).alias("limit"),
+    )
+    found = search.search_addresses(asked, addr(spark, sf_dir), fold_search_width=True)
+    return _shown(found.select("request_id", "position", *S.ADDRESS_COLUMNS))
+
+
 # ---- text ----------------------------------------------------------------------------
 
 
@@ -231,6 +245,16 @@ def keyword_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def version_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("ts").cast("timestamp")
+    return t.table(spark, sf_dir, "events").select(
+        "event_id",
+        text.data_version(at).alias("data_version"),
+        F.date_format(text.batch_second(at), "yyyy-MM-dd HH:mm:ss.SSS").alias("batch"),
+    )
+
+
 # ---- feeds ---------------------------------------------------------------------------
 
 
@@ -258,6 +282,17 @@ def feed_files_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(prepare_feed(records, prefecture_dimension(spark)))
 
 
+@query
+def feed_merge_before_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same feed with split towns joined before their parentheses are stripped."""
+    path = scratch_path(spark, "feed-files")
+    order = ["zip_code", "o_orderkey"]
+    lines = t.feed_lines(spark, sf_dir).repartitionByRange(*order).sortWithinPartitions(*order)
+    lines.select("line").write.text(path)
+    records, _ = read_feed(spark, path, encoding="utf-8", joined=True)
+    return _shown(prepare_feed(records, prefecture_dimension(spark), merge_before_strip=True))
+
+
 @query
 def feed_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "feed-files")
@@ -612,6 +647,15 @@ def network_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "ip", "allowed")
 
 
+@query
+def client_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    callers = _callers(spark, sf_dir)
+    ip = N.client_ip(F.col("forwarded_for"), F.col("real_ip"), F.col("ip"), True)
+    prefixes = N.path_prefixes(F.lit("ready, /postal_codes/1,ready"))
+    free = N.path_matches(F.col("path"), prefixes)
+    return callers.select("event_id", ip.alias("client_ip"), free.alias("anonymous"))
+
+
 @query
 def access_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = N.parse_networks("10.0.0.0/26,10.0.0.128/25,2001:db8::/122")

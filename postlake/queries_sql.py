@@ -81,6 +81,20 @@ SQL["search_json"] = f"""SELECT request_id, '[' || string_agg(
   ',' ORDER BY position) || ']' AS records
 FROM ({t.search_sql("exact")}) GROUP BY request_id"""
 
+SQL["search_fold_width"] = f"""WITH {t.ADDR_SQL},
+norm AS (
+  SELECT o_orderkey AS request_id, 'LDING-' || CAST(o_custkey % 40 AS VARCHAR) AS word,
+         length(o_orderpriority || 'ー' || CAST(o_custkey % 40 AS VARCHAR)) AS lim FROM orders
+),
+ranked AS (
+  SELECT word, addr.*, row_number() OVER (
+    PARTITION BY word ORDER BY zip_code, prefecture_id, city_id, city, town, prefecture
+  ) AS position
+  FROM (SELECT DISTINCT word FROM norm) JOIN addr ON contains(city, word)
+)
+SELECT request_id, CAST(position AS INTEGER) AS position, {_ADDRESS}
+FROM norm JOIN ranked USING (word) WHERE position <= lim"""
+
 # ---- text ----------------------------------------------------------------------------
 
 _KANA_DOC = "translate(text, 'abcdefghijklmnop', 'あいうえおがぎゔゖぁアイウヴヶー')"
@@ -121,6 +135,10 @@ SQL["keyword_pattern"] = """SELECT o_orderkey,
        ELSE '%' || o_orderpriority || '%' END AS pattern,
   CAST(greatest(1, least(200, o_custkey - 10)) AS INTEGER) AS "limit" FROM orders"""
 
+SQL["version_ids"] = """SELECT event_id,
+  strftime(ts, 'v%Y%m%d%H%M%S') || strftime(ts, '%g') AS data_version,
+  strftime(ts, '%Y-%m-%d %H:%M:%S.000') AS batch FROM events"""
+
 # ---- feeds ---------------------------------------------------------------------------
 
 SQL["split_row_merge"] = f"""WITH {t.LINEITEM_FEED_SQL},
@@ -137,7 +155,8 @@ merged AS (
 SELECT line_no, zip_code, city_id, town FROM merged
 QUALIFY row_number() OVER (PARTITION BY zip_code, town ORDER BY line_no) = 1"""
 
-SQL["feed_files_clean"] = t.FEED_FILES_SQL
+SQL["feed_files_clean"] = t.feed_files_sql(merge_before_strip=False)
+SQL["feed_merge_before_strip"] = t.feed_files_sql(merge_before_strip=True)
 
 SQL["feed_quarantine"] = f"""SELECT 'broken,' || {t._FEED_ZIP.format(div="o_custkey // 3")} AS line,
   count(*) AS lines FROM orders WHERE {t._FEED_BAD} GROUP BY 1"""
@@ -410,6 +429,11 @@ SELECT event_id, ip, CASE WHEN v6
     THEN EXISTS (SELECT 1 FROM region WHERE user_id // 16 = CAST('0x' || (r_regionkey * 10) AS BIGINT) // 16)
     ELSE EXISTS (SELECT 1 FROM net WHERE user_id >> host_bits = base >> host_bits) END AS allowed
 FROM c"""
+SQL["client_ips"] = f"""WITH {t.LOG_SQL}
+SELECT event_id, CASE WHEN event_type = 'view' THEN '10.0.0.1'
+    WHEN event_type = 'signup' THEN '2001:db8::' || lower(printf('%x', user_id))
+    ELSE '10.0.' || (user_id // 256) || '.' || (user_id % 256) END AS client_ip,
+  path IN ('/ready', '/postal_codes/1') AS anonymous FROM log"""
 SQL["access_audit"] = f"""WITH {t.LOG_SQL},
 a AS (
   SELECT event_type, event_id,
@@ -430,4 +454,4 @@ SQL["stream_sustained_latency"] = f"""WITH {_TRIPLES}
 SELECT {_at(f"window_end - 3 * {_STEP}", "start")}, {_at("window_end", '"end"')}
 FROM alert WHERE slow_15m AND window_end <= {_CLOSED}"""
 SQL["stream_dedup"] = "SELECT event_id FROM events"
-SQL["feed_arrivals"] = f"SELECT *, {_T1} AS created_at, {_T1} AS updated_at FROM ({t.FEED_FILES_SQL})"
+SQL["feed_arrivals"] = f"SELECT *, {_T1} AS created_at, {_T1} AS updated_at FROM ({t.feed_files_sql(merge_before_strip=False)})"
