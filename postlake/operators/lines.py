@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from postlake.operators.skew import fits
 from postlake.session import materialise
 
 
@@ -14,9 +15,8 @@ def number_lines(df: DataFrame, file: str, block: str, name: str = "lines") -> D
 
     ``block`` orders the scan splits of a file and tells which one a row came from.  Ids are
     consecutive inside a split, so it is enough to count each split and add up the counts before it.
-    The rows are written once with their ids (the ids only hold for one run of the scan);
-    the counts are one row per input split, which the split size bounds to about eight
-    thousand rows per terabyte, and they are broadcast.
+    The rows are written once with their ids (the ids only hold for one run of the scan).
+    The counts have one row per input split, and are broadcast if that is few enough.
     """
     fixed = materialise(df.withColumn("_id", F.monotonically_increasing_id()), name)
     before = Window.partitionBy(file).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
@@ -26,8 +26,9 @@ def number_lines(df: DataFrame, file: str, block: str, name: str = "lines") -> D
         .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .select(file, block, (F.col("_before") - F.col("_first")).alias("_shift"))
     )
+    splits = materialise(splits, f"{name}-splits")
     return (
-        fixed.join(F.broadcast(splits), [file, block])
+        fixed.join(F.broadcast(splits) if fits(splits) else splits, [file, block])
         .withColumn("line_no", F.col("_id") + F.col("_shift"))
         .drop("_id", "_shift", block)
     )

@@ -30,7 +30,7 @@ def _postal_get() -> Column:
     return (F.col("method") == "GET") & F.col("path").startswith("/postal_codes/")
 
 
-def _counts() -> list[Column]:
+def counts() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("requests"),
         F.count_if(_status_in(500)).alias("errors"),
@@ -38,14 +38,14 @@ def _counts() -> list[Column]:
     ]
 
 
-def _p95(approx: bool = False) -> Column:
+def p95(approx: bool = False) -> Column:
     latency = F.when(_postal_get(), F.col("latency_ms"))
     return (F.percentile_approx(latency, 0.95, 10_000) if approx else F.percentile(latency, 0.95)).cast(
         "double"
     )
 
 
-def _ratios() -> list[Column]:
+def ratios() -> list[Column]:
     return [
         safe_ratio(F.col("errors"), F.col("requests")).alias("error_rate"),
         safe_ratio(F.col("not_found"), F.col("requests")).alias("not_found_ratio"),
@@ -55,7 +55,7 @@ def _ratios() -> list[Column]:
 def request_metrics(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Requests, server errors, 404s, error rate and mean latency; zeros if empty."""
     grouped = log.groupBy(*by).agg(
-        *_counts(), F.coalesce(F.avg("latency_ms"), F.lit(0.0)).alias("average_latency_ms")
+        *counts(), F.coalesce(F.avg("latency_ms"), F.lit(0.0)).alias("average_latency_ms")
     )
     return grouped.select(
         *by,
@@ -82,12 +82,12 @@ def sli_windows(
     return (
         log.groupBy(F.window("ts", window).alias("window"), *by)
         .agg(
-            *_counts(),
-            _p95(approx).alias("p95_ms"),
+            *counts(),
+            p95(approx).alias("p95_ms"),
             F.count_if(ready).alias("probes"),
             F.count_if(ready & _status_in(200)).alias("probes_ok"),
         )
-        .select("window", *by, "requests", "errors", "not_found", *_ratios(), "p95_ms", "probes", "probes_ok")
+        .select("window", *by, "requests", "errors", "not_found", *ratios(), "p95_ms", "probes", "probes_ok")
     )
 
 
@@ -134,9 +134,7 @@ def alerts(windows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     hops carries the last window's values next to the sustained conditions, so it runs on
     streams too.
     """
-    hopped = _hops(windows, S.LATENCY_BREACH_MINUTES).filter(
-        F.col("hop.end") >= F.col("window.end")
-    )
+    hopped = _hops(windows, S.LATENCY_BREACH_MINUTES)
     is_last = F.col("window.end") == F.col("hop.end")
     recent = F.col("window.end") > F.col("hop.end") - F.expr(
         f"INTERVAL {S.READY_BREACH_MINUTES} MINUTES"
@@ -258,8 +256,8 @@ def dashboard(log: DataFrame, as_of: datetime | str) -> DataFrame:
         recent.withColumn("range", F.explode(covering))
         .filter(F.col("range").isNotNull())
         .groupBy("range")
-        .agg(*_counts(), _p95().alias("p95_ms"))
-        .select("range", "requests", "errors", "not_found", *_ratios(), "p95_ms")
+        .agg(*counts(), p95().alias("p95_ms"))
+        .select("range", "requests", "errors", "not_found", *ratios(), "p95_ms")
     )
 
 

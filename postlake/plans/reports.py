@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from postlake import schema as S
 from postlake.functions.text import safe_ratio
-from postlake.operators.sli import _counts, _p95, _ratios, breach_runs
+from postlake.operators.sli import breach_runs, counts, p95, ratios
 
 
 def _month(ts: Column) -> Column:
@@ -46,8 +46,8 @@ def budget_seconds(days: Column) -> Column:
 def monthly_indicators(log: DataFrame) -> DataFrame:
     return (
         log.groupBy(_month(F.col("ts")).alias("month"))
-        .agg(*_counts(), _p95().alias("p95_ms"))
-        .select("month", "requests", "errors", "not_found", *_ratios(), "p95_ms")
+        .agg(*counts(), p95().alias("p95_ms"))
+        .select("month", "requests", "errors", "not_found", *ratios(), "p95_ms")
     )
 
 

@@ -26,7 +26,7 @@ def _text(c: Column) -> Column:
     return c.cast("string")
 
 
-def _pad(c: Column, n: int) -> Column:
+def pad(c: Column, n: int) -> Column:
     return F.lpad(_text(c), n, "0")
 
 
@@ -52,9 +52,9 @@ def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "c_custkey",
         "c_acctbal",
-        _pad(F.expr("c_custkey div 3"), 7).alias("zip_code"),
+        pad(F.expr("c_custkey div 3"), 7).alias("zip_code"),
         nation.cast("smallint").alias("prefecture_id"),
-        _pad(nation * 1000 + key % 40, 5).alias("city_id"),
+        pad(nation * 1000 + key % 40, 5).alias("city_id"),
         prefecture_label(nation).alias("prefecture"),
         F.concat("c_mktsegment", F.lit("-"), _text(key % 40)).alias("city"),
         F.concat(F.lit("丁"), kana(F.substring("c_name", 10, 9))).alias("town"),
@@ -90,9 +90,9 @@ def next_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     nation = F.col("s_nationkey") + 1
     new = table(spark, sf_dir, "supplier").select(
-        _pad(F.col("s_suppkey") + 9_000_000, 7).alias("zip_code"),
+        pad(F.col("s_suppkey") + 9_000_000, 7).alias("zip_code"),
         nation.cast("smallint").alias("prefecture_id"),
-        _pad(nation * 1000, 5).alias("city_id"),
+        pad(nation * 1000, 5).alias("city_id"),
         prefecture_label(nation).alias("prefecture"),
         F.lit("SUPPLIER").alias("city"),
         F.col("s_name").alias("town"),
@@ -118,13 +118,13 @@ next_addr AS (
 def zip_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per order: most hit, some miss, some are malformed."""
     key, customer = F.col("o_orderkey"), F.col("o_custkey")
-    digits = _pad(F.expr("o_custkey div 3"), 7)
+    digits = pad(F.expr("o_custkey div 3"), 7)
     written = F.concat(
         F.lit("〒"), F.substring(digits, 1, 3), F.lit("-"), F.substring(digits, 4, 4)
     )
     zip_input = (
         F.when(key % 10 == 0, "12")
-        .when(key % 10 == 1, _pad(customer + 8_000_000, 7))
+        .when(key % 10 == 1, pad(customer + 8_000_000, 7))
         .otherwise(written)
     )
     return table(spark, sf_dir, "orders").select(key.alias("request_id"), zip_input.alias("zip"))
@@ -269,8 +269,8 @@ def lineitem_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey",
         "l_returnflag",
         F.lit("lineitem").alias("feed_file"),
-        _pad(F.expr("l_orderkey div 2"), 7).alias("zip_code"),
-        _pad(F.col("l_suppkey") % 3, 5).alias("city_id"),
+        pad(F.expr("l_orderkey div 2"), 7).alias("zip_code"),
+        pad(F.col("l_suppkey") % 3, 5).alias("city_id"),
         F.concat(F.lit("T"), _text(F.col("l_partkey") % 5)).alias("town"),
         (F.col("l_returnflag") == "R").alias("flag"),
     )
@@ -287,25 +287,25 @@ feed AS (
 )"""
 
 # Order rows as feed fields, valid in Spark and DuckDB alike.
-_FEED_TOWN = (
+FEED_TOWN = (
     "CASE WHEN o_orderpriority = '3-MEDIUM' THEN '以下に掲載がない場合' "
     "WHEN o_orderpriority = '5-LOW' THEN concat('町（', CAST(o_custkey % 10 AS VARCHAR(20)), '（内）外）ー') "
     "WHEN o_orderpriority = '2-HIGH' THEN '続き）' WHEN o_orderpriority = '1-URGENT' THEN '丘（未' ELSE concat('字', translate("
     "CAST(o_custkey % 100 AS VARCHAR(20)), '0123456789', '０１２３４５６７８９'), '、') END"
 )
-_FEED_PREF = "CASE o_custkey % 4 WHEN 0 THEN '北海道' WHEN 1 THEN '東京都' WHEN 2 THEN '大阪府' ELSE '不明（県）' END"
-_FEED_FLAG = "CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '0' END"
-_FEED_BAD = "o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'"
-_FEED_ZIP = "lpad(CAST({div} AS VARCHAR(20)), 7, '0')"
+FEED_PREF = "CASE o_custkey % 4 WHEN 0 THEN '北海道' WHEN 1 THEN '東京都' WHEN 2 THEN '大阪府' ELSE '不明（県）' END"
+FEED_FLAG = "CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '0' END"
+FEED_BAD = "o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'"
+FEED_ZIP = "lpad(CAST({div} AS VARCHAR(20)), 7, '0')"
 
 
 def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV lines of a feed with one line per order, some of them malformed; ``zip_code``
     and ``o_orderkey`` give the order to write them in."""
-    zip_code = _FEED_ZIP.format(div="o_custkey div 3")
-    line = f"""CASE WHEN {_FEED_BAD} THEN concat('broken,', zip_code) ELSE concat_ws(',',
-        lpad(CAST(o_custkey % 3 AS STRING), 5, '0'), '', zip_code, '', '', '', {_FEED_PREF},
-        concat('"市ー', o_orderstatus, '"'), {_FEED_TOWN}, '', '', '', {_FEED_FLAG}, '', '') END"""
+    zip_code = FEED_ZIP.format(div="o_custkey div 3")
+    line = f"""CASE WHEN {FEED_BAD} THEN concat('broken,', zip_code) ELSE concat_ws(',',
+        lpad(CAST(o_custkey % 3 AS STRING), 5, '0'), '', zip_code, '', '', '', {FEED_PREF},
+        concat('"市ー', o_orderstatus, '"'), {FEED_TOWN}, '', '', '', {FEED_FLAG}, '', '') END"""
     orders = table(spark, sf_dir, "orders").withColumn("zip_code", F.expr(zip_code))
     return orders.select("zip_code", "o_orderkey", F.expr(line).alias("line"))
 
@@ -323,13 +323,13 @@ def feed_files_sql(merge_before_strip: bool) -> str:
     early, late = ("t0", stripped("town")) if merge_before_strip else (stripped("t0"), "town")
     return f"""WITH
 raw AS (
-  SELECT o_orderkey, {_FEED_ZIP.format(div="o_custkey // 3")} AS zip_code,
+  SELECT o_orderkey, {FEED_ZIP.format(div="o_custkey // 3")} AS zip_code,
          lpad(CAST(o_custkey % 3 AS VARCHAR), 5, '0') AS city_id,
-         translate({_FEED_PREF}, '{S.WIDE_CHARS}', '{S.NARROW_CHARS}') AS prefecture,
+         translate({FEED_PREF}, '{S.WIDE_CHARS}', '{S.NARROW_CHARS}') AS prefecture,
          translate('市ー' || o_orderstatus, '{S.WIDE_CHARS}', '{S.NARROW_CHARS}') AS city,
-         translate({_FEED_TOWN}, '{S.WIDE_CHARS}', '{S.NARROW_CHARS}') AS t0,
-         {_FEED_FLAG} = '1' AS flag
-  FROM orders WHERE NOT ({_FEED_BAD})
+         translate({FEED_TOWN}, '{S.WIDE_CHARS}', '{S.NARROW_CHARS}') AS t0,
+         {FEED_FLAG} = '1' AS flag
+  FROM orders WHERE NOT ({FEED_BAD})
 ),
 clean AS (
   SELECT row_number() OVER (ORDER BY zip_code, o_orderkey) AS n, zip_code, city_id, prefecture, city, flag,

@@ -112,7 +112,7 @@ def _shown_forms(df: DataFrame) -> DataFrame:
 @query
 def zip_city_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = t.table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("request_id"), t._pad(F.col("s_suppkey"), 7).alias("zip")
+        F.col("s_suppkey").alias("request_id"), t.pad(F.col("s_suppkey"), 7).alias("zip")
     )
     out = lookup.zip_city_options(asked, addr(spark, sf_dir))
     return out.withColumn("prefecture_id", F.col("prefecture_id").cast("int"))
@@ -414,9 +414,9 @@ def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One address row per order, with blanks, unknown prefectures and duplicates."""
     customer = F.col("o_custkey")
     return t.table(spark, sf_dir, "orders").select(
-        F.when(F.col("o_orderstatus") == "P", "12").otherwise(t._pad(customer, 7)).alias("zip_code"),
+        F.when(F.col("o_orderstatus") == "P", "12").otherwise(t.pad(customer, 7)).alias("zip_code"),
         (customer % 26).cast("smallint").alias("prefecture_id"),
-        t._pad(customer % 40, 5).alias("city_id"),
+        t.pad(customer % 40, 5).alias("city_id"),
         F.repeat("o_orderpriority", 4).alias("prefecture"),
         F.when(customer % 9 > 0, F.col("o_orderpriority")).otherwise("").alias("city"),
         F.repeat("o_orderpriority", (customer % 100).cast("int")).alias("town"),

@@ -158,8 +158,8 @@ QUALIFY row_number() OVER (PARTITION BY zip_code, town ORDER BY line_no) = 1"""
 SQL["feed_files_clean"] = t.feed_files_sql(merge_before_strip=False)
 SQL["feed_merge_before_strip"] = t.feed_files_sql(merge_before_strip=True)
 
-SQL["feed_quarantine"] = f"""SELECT 'broken,' || {t._FEED_ZIP.format(div="o_custkey // 3")} AS line,
-  count(*) AS lines FROM orders WHERE {t._FEED_BAD} GROUP BY 1"""
+SQL["feed_quarantine"] = f"""SELECT 'broken,' || {t.FEED_ZIP.format(div="o_custkey // 3")} AS line,
+  count(*) AS lines FROM orders WHERE {t.FEED_BAD} GROUP BY 1"""
 
 # ---- versions ------------------------------------------------------------------------
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from postlake import schema as S
 
 # Keeps every file far below the 2 GB a file can have to be checksummed in one piece.
-ROWS_PER_FILE = 5_000_000
+ROWS_PER_FILE = 2_000_000
 
 
 def release_rows(addresses: DataFrame) -> DataFrame:

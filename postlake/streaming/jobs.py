@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from postlake import schema as S
 from postlake.operators import sli
 from postlake.plans import versions
 from postlake.plans.clean import prepare_feed
@@ -112,5 +113,5 @@ def stream_alerts(
 def stream_sustained_latency(log: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """15-minute stretches in which every 5-minute p95 was too high."""
     windows = sli.sli_windows(log, watermark=watermark)
-    slow = F.col("p95_ms") >= sli.S.SLO_P95_MS
-    return sli.sustained(windows, slow, sli.S.LATENCY_BREACH_MINUTES)
+    slow = F.col("p95_ms") >= S.SLO_P95_MS
+    return sli.sustained(windows, slow, S.LATENCY_BREACH_MINUTES)

@@ -212,6 +212,26 @@ def test_spread_join_equals_join(spark, how):
     spread = spread_join(left, right, ["k"], how, F.col("id"), hot_rows=30)
     plain = left.join(right, ["k"], how)
     assert sorted(map(str, spread.collect())) == sorted(map(str, plain.collect()))
-    skewed = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
-    if how == "left_anti":
-        assert max(skewed) < 2000
+
+
+def test_hot_key_is_split_over_tasks(spark):
+    """A third of the rows share one key; no task gets much more than its share."""
+    n, tasks = 6000, 8
+    left = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    right = spark.range(n).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    settings = {
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": str(tasks),
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = spread_join(left, right, ["k"], "inner", F.col("id"), hot_rows=50)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(sizes) == n and max(sizes) < 1.6 * n / tasks
