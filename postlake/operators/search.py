@@ -38,15 +38,29 @@ def _records(addresses: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _token_records(records: DataFrame, tokens: list[Column]) -> DataFrame:
-    """(token, record) rows, the first 200 records of each token in result order."""
-    rows = records.withColumn("token", F.explode(F.array_distinct(F.array(*tokens))))
+def _token_records(addresses: DataFrame, tokens: list[Column]) -> DataFrame:
+    """(token, record) rows, the first 200 records of each token in result order.
+
+    Written once, as matching reads the tokens and the records separately.
+    """
+    rows = _records(addresses).withColumn("token", F.explode(F.array_distinct(F.array(*tokens))))
     order = Window.partitionBy("token").orderBy(*S.ADDRESS_ORDER)
-    return (
+    cut = (
         rows.withColumn("_n", F.row_number().over(order))
         .filter(F.col("_n") <= S.SEARCH_LIMIT_MAX)
         .drop("_n")
     )
+    return materialise(cut, "tokens")
+
+
+def column_index(addresses: DataFrame) -> DataFrame:
+    """What :func:`search_addresses` searches; build it once for many batches of requests."""
+    return _token_records(addresses, [F.col("prefecture"), F.col("city"), F.col("town")])
+
+
+def concat_index(addresses: DataFrame) -> DataFrame:
+    """What :func:`search_concat` searches."""
+    return _token_records(addresses, [F.concat("prefecture", "city", "town")])
 
 
 def _keyed_terms(terms: DataFrame, wildcards: bool) -> DataFrame:
@@ -143,8 +157,7 @@ def _token_pieces(tokens: DataFrame, want: _Pieces) -> DataFrame:
 
 def match_terms(
     terms: DataFrame,
-    records: DataFrame,
-    tokens: list[Column],
+    token_records: DataFrame,
     wildcards: bool = True,
     broadcast_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
@@ -152,10 +165,9 @@ def match_terms(
     """The first 200 distinct records of each (mode, term), in result order."""
     keyed = _keyed_terms(terms, wildcards)
     want = _pieces(keyed)
-    token_records = _token_records(records, tokens)
     if not want.terms:
-        schema = T.StructType(terms.select(*_MATCH).schema.fields + records.schema.fields)
-        return empty(terms.sparkSession, schema)
+        found = terms.select(*_MATCH).schema.fields + token_records.drop("token").schema.fields
+        return empty(terms.sparkSession, T.StructType(found))
     # Few bytes of tokens turn into many pieces: keep the tokens spread over all tasks.
     tasks = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct_tokens = token_records.select("token").distinct().repartition(tasks)
@@ -260,6 +272,7 @@ def search_addresses(
     addresses: DataFrame,
     fold_search_width: bool = False,
     keep_all: bool = False,
+    index: DataFrame | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -269,6 +282,7 @@ def search_addresses(
     hiragana; hits of an earlier spelling come first, then by the fixed order.  Work is
     done once per distinct (mode, keyword), and only the short result lists meet the
     requests again.  ``keep_all`` also returns requests without a hit, with a ``status``.
+    ``index`` is a :func:`column_index` of the addresses built before.
     """
     prepared = _prepared(requests, text.normalize_keyword(F.col("address")))
     asked = _asked(prepared)
@@ -281,8 +295,7 @@ def search_addresses(
     )
     hits = match_terms(
         spelled.select(*_MATCH).distinct(),
-        _records(addresses),
-        [F.col("prefecture"), F.col("city"), F.col("town")],
+        column_index(addresses) if index is None else index,
         broadcast_rows=broadcast_rows,
         hot_rows=hot_rows,
     )
@@ -303,6 +316,7 @@ def search_concat(
     requests: DataFrame,
     addresses: DataFrame,
     keep_all: bool = False,
+    index: DataFrame | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -316,8 +330,7 @@ def search_concat(
     asked = _asked(prepared)
     hits = match_terms(
         asked.keys.select(F.col("_mode").alias("mode"), F.col("_word").alias("term")),
-        _records(addresses),
-        [F.concat("prefecture", "city", "town")],
+        concat_index(addresses) if index is None else index,
         wildcards=False,
         broadcast_rows=broadcast_rows,
         hot_rows=hot_rows,

@@ -64,6 +64,8 @@ def test_sample_searches(spark, addresses):
         6: "empty",
         10: "invalid_mode",
     }
+    index = search.column_index(addresses)
+    assert hits(search.search_addresses(requests, addresses, index=index)) == want
     assert hits(search.search_concat(requests, addresses)) == {
         1: ["1600023"],
         2: ["0600001", "1600023"],
