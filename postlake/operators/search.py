@@ -27,8 +27,9 @@ from postlake.functions import text
 from postlake.operators.skew import BROADCAST_ROWS, HOT_ROWS, key_counts, spread_join
 from postlake.session import empty, materialise
 
-# Control character that no keyword holds: keeps backslashes literal in LIKE.
-_ESCAPE = "\\u0001"
+# LIKE's escape: a control character instead of the backslash, which stays literal.  Where
+# a keyword holds it, it is doubled.
+_ESCAPE = "\u0001"
 _MATCH = ["mode", "term"]
 
 
@@ -63,8 +64,8 @@ def concat_index(addresses: DataFrame) -> DataFrame:
     return _token_records(addresses, [F.concat("prefecture", "city", "town")])
 
 
-def _keyed_terms(terms: DataFrame, wildcards: bool) -> DataFrame:
-    """Give each (mode, term) the piece it is matched on.
+def _with_piece(terms: DataFrame, wildcards: bool) -> DataFrame:
+    """Add the piece each (mode, term) is matched on.
 
     ``kind`` is the sort of piece: ``exact``, ``prefix``, ``part``, or ``length`` for
     patterns made of wildcards only, which ask for a least length.  A wildcard pattern is
@@ -88,14 +89,19 @@ def _keyed_terms(terms: DataFrame, wildcards: bool) -> DataFrame:
         .otherwise("part")
     )
     key = F.when(bare, least.cast("string")).when(wild, longest).otherwise(term)
-    pattern = F.when(wild & ~bare, text.search_pattern(term, mode))
-    return terms.select("mode", "term", kind.alias("kind"), key.alias("key"), pattern.alias("like"))
+    escaped = F.replace(term, F.lit(_ESCAPE), F.lit(_ESCAPE * 2))
+    pattern = F.when(wild & ~bare, text.search_pattern(escaped, mode))
+    return terms.select("*", kind.alias("kind"), key.alias("key"), pattern.alias("like"))
 
 
 @dataclass
-class _Pieces:
-    """What the keywords ask for: how many there are, and which piece lengths."""
+class _Asked:
+    """The distinct (mode, keyword) pairs of the requests and what they ask for."""
 
+    keys: DataFrame  # _mode, _word, and _n requests asking it
+    spelled: DataFrame  # each key once per spelling, with the piece to match
+    distinct: int
+    most_often: int
     terms: int
     exact: bool
     prefix: list[int]
@@ -103,25 +109,42 @@ class _Pieces:
     length: list[int]
 
 
-def _pieces(keyed: DataFrame) -> _Pieces:
-    """One small row: distinct lengths only, so at most as many numbers as the longest
-    keyword has characters."""
+def _usable() -> Column:
+    return (F.col("_word") != "") & F.col("_mode").isin(*S.SEARCH_MODES)
+
+
+def _asked(prepared: DataFrame, spellings: Column, wildcards: bool) -> _Asked:
+    """Reduce requests to distinct keywords, write those, and describe them in one row:
+    counts and distinct piece lengths, at most as many as the longest keyword has
+    characters."""
+    keys = materialise(key_counts(prepared.filter(_usable()), ["_mode", "_word"]), "keywords")
+    spelled = _with_piece(
+        keys.select(
+            F.col("_mode").alias("mode"),
+            "_word",
+            "_n",
+            F.posexplode(spellings).alias("_spelling", "term"),
+        ),
+        wildcards,
+    )
 
     def lengths(kind: str, value: Column) -> Column:
         return F.sort_array(F.collect_set(F.when(F.col("kind") == kind, value))).alias(kind)
 
     size = F.length("key")
-    row = keyed.agg(
+    row = spelled.agg(
+        F.count_if(F.col("_spelling") == 0).alias("distinct"),
+        F.coalesce(F.max("_n"), F.lit(0)).alias("most_often"),
         F.count(F.lit(1)).alias("terms"),
         F.coalesce(F.bool_or(F.col("kind") == "exact"), F.lit(False)).alias("exact"),
         lengths("prefix", size),
         lengths("part", size),
         lengths("length", F.col("key").try_cast("int")),
     ).first()
-    return _Pieces(**row.asDict())
+    return _Asked(keys, spelled, **row.asDict())
 
 
-def _token_pieces(tokens: DataFrame, want: _Pieces) -> DataFrame:
+def _token_pieces(tokens: DataFrame, want: _Asked) -> DataFrame:
     """(token, kind, key) for every piece of a token that a keyword could equal."""
     token, n = F.col("token"), F.length("token")
 
@@ -155,30 +178,25 @@ def _token_pieces(tokens: DataFrame, want: _Pieces) -> DataFrame:
     )
 
 
-def match_terms(
-    terms: DataFrame,
-    token_records: DataFrame,
-    wildcards: bool = True,
-    broadcast_rows: int = BROADCAST_ROWS,
-    hot_rows: int = HOT_ROWS,
+def _match(
+    asked: _Asked, token_records: DataFrame, broadcast_rows: int, hot_rows: int
 ) -> DataFrame:
     """The first 200 distinct records of each (mode, term), in result order."""
-    keyed = _keyed_terms(terms, wildcards)
-    want = _pieces(keyed)
-    if not want.terms:
-        found = terms.select(*_MATCH).schema.fields + token_records.drop("token").schema.fields
-        return empty(terms.sparkSession, T.StructType(found))
+    if not asked.terms:
+        found = asked.spelled.select(*_MATCH).schema.fields
+        found += token_records.drop("token").schema.fields
+        return empty(asked.keys.sparkSession, T.StructType(found))
+    terms = asked.spelled.select(*_MATCH, "kind", "key", "like").distinct()
     # Few bytes of tokens turn into many pieces: keep the tokens spread over all tasks.
     tasks = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct_tokens = token_records.select("token").distinct().repartition(tasks)
-    pieces = _token_pieces(distinct_tokens, want)
-    if want.terms <= broadcast_rows:
-        met = pieces.join(F.broadcast(keyed), ["kind", "key"])
+    pieces = _token_pieces(distinct_tokens, asked)
+    if asked.terms <= broadcast_rows:
+        met = pieces.join(F.broadcast(terms), ["kind", "key"])
     else:
-        met = spread_join(pieces, keyed, ["kind", "key"], hot_rows=hot_rows)
-    matched = met.filter(
-        F.expr(f"like IS NULL OR token LIKE like ESCAPE '{_ESCAPE}'")
-    ).select(*_MATCH, "token")
+        met = spread_join(pieces, terms, ["kind", "key"], hot_rows=hot_rows)
+    matches = F.expr("like IS NULL OR token LIKE like ESCAPE '\\u0001'")
+    matched = met.filter(matches).select(*_MATCH, "token")
     # A record can match through several of its columns; equal rows share a rank.
     order = Window.partitionBy(*_MATCH).orderBy(*S.ADDRESS_ORDER)
     return (
@@ -203,25 +221,6 @@ def _prepared(requests: DataFrame, keyword: Column) -> DataFrame:
     )
 
 
-@dataclass
-class _Asked:
-    """The distinct (mode, keyword) pairs of the requests, with how often each is asked."""
-
-    keys: DataFrame
-    distinct: int
-    most_often: int
-
-
-def _usable() -> Column:
-    return (F.col("_word") != "") & F.col("_mode").isin(*S.SEARCH_MODES)
-
-
-def _asked(prepared: DataFrame) -> _Asked:
-    keys = materialise(key_counts(prepared.filter(_usable()), ["_mode", "_word"]), "keywords")
-    row = keys.agg(F.count(F.lit(1)).alias("n"), F.max("_n").alias("most")).first()
-    return _Asked(keys, row["n"], row["most"] or 0)
-
-
 def _answer(
     prepared: DataFrame,
     asked: _Asked,
@@ -285,24 +284,15 @@ def search_addresses(
     ``index`` is a :func:`column_index` of the addresses built before.
     """
     prepared = _prepared(requests, text.normalize_keyword(F.col("address")))
-    asked = _asked(prepared)
-    spelled = asked.keys.select(
-        F.col("_mode").alias("mode"),
-        "_word",
-        F.posexplode(text.search_candidates(F.col("_word"), fold_search_width)).alias(
-            "_spelling", "term"
-        ),
-    )
-    hits = match_terms(
-        spelled.select(*_MATCH).distinct(),
-        column_index(addresses) if index is None else index,
-        broadcast_rows=broadcast_rows,
-        hot_rows=hot_rows,
-    )
+    spellings = text.search_candidates(F.col("_word"), fold_search_width)
+    asked = _asked(prepared, spellings, wildcards=True)
+    token_records = column_index(addresses) if index is None else index
+    hits = _match(asked, token_records, broadcast_rows, hot_rows)
     key = ["mode", "_word"]
     order = Window.partitionBy(*key).orderBy("_spelling", *S.ADDRESS_ORDER)
     ranked = (
-        spelled.join(hits, _MATCH)
+        asked.spelled.select(*key, "_spelling", "term")
+        .join(hits, _MATCH)
         .groupBy(*key, *S.ADDRESS_COLUMNS)
         .agg(F.min("_spelling").alias("_spelling"))
         .withColumn("position", F.row_number().over(order))
@@ -327,14 +317,9 @@ def search_concat(
     prepared = _prepared(requests, text.strip_whitespace(F.col("address"))).withColumn(
         "_mode", F.lit("partial")
     )
-    asked = _asked(prepared)
-    hits = match_terms(
-        asked.keys.select(F.col("_mode").alias("mode"), F.col("_word").alias("term")),
-        concat_index(addresses) if index is None else index,
-        wildcards=False,
-        broadcast_rows=broadcast_rows,
-        hot_rows=hot_rows,
-    )
+    asked = _asked(prepared, F.array("_word"), wildcards=False)
+    token_records = concat_index(addresses) if index is None else index
+    hits = _match(asked, token_records, broadcast_rows, hot_rows)
     order = Window.partitionBy(*_MATCH).orderBy(*S.ADDRESS_ORDER)
     ranked = hits.withColumn("position", F.row_number().over(order)).select(
         F.col("mode").alias("_mode"), F.col("term").alias("_word"), "position", *S.ADDRESS_COLUMNS

@@ -75,6 +75,14 @@ def test_sample_searches(spark, addresses):
     }
 
 
+def test_control_characters_are_literal(spark):
+    rows = spark.createDataFrame([("1", 1, "1", "a\u0001b", "c\\\\d", "t")], S.ADDRESS)
+    words = ["a\u0001_", "%\u0001b", "\u0001%c", "c\\\\_", "\\\\d%"]
+    asked = [(i, w, "partial", None) for i, w in enumerate(words)]
+    got = hits(search.search_addresses(spark.createDataFrame(asked, REQUEST), rows))
+    assert sorted(got) == [0, 1, 3, 4]
+
+
 def test_no_requests(spark, addresses):
     empty = spark.createDataFrame([], REQUEST)
     assert search.search_addresses(empty, addresses).count() == 0
