@@ -91,6 +91,15 @@ def test_p95_counts_postal_gets_only(spark):
     assert got.p95_ms == pytest.approx(95.05) and (got.probes, got.probes_ok) == (50, 50)
 
 
+def test_approximate_p95_and_groups(spark):
+    rows = [(0, 200, i) for i in range(1, 101)] + [(0, 200, 7, "/postal_codes/2")] * 3
+    got = sli.sli_windows(log(spark, rows), approx=True, by=["path"]).collect()
+    assert {(r.path, r.p95_ms, r.requests) for r in got} == {
+        ("/postal_codes/1000001", 95.0, 100),
+        ("/postal_codes/2", 7.0, 3),
+    }
+
+
 def test_freshness(spark):
     runs = audit(spark, (T0, "success", 1), (T0 + timedelta(hours=5), "failed", 0))
 
