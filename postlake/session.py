@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,19 +29,47 @@ def build_session(app_name: str = "postlake", **extra: str) -> SparkSession:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in
-    ``spark.checkpoint.dir``.  Only a local session may fall back to a temporary one."""
+    ``spark.checkpoint.dir``.
+
+    Only a session whose executors are threads of the driver may fall back to a temporary
+    one.  Elsewhere a folder that is sure to be local to a machine is refused.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    one_machine = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not one_machine:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="postlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
+    own = {tempfile.gettempdir(), "/tmp", "/var/tmp"}
+    if not one_machine and folder.removeprefix("file:").replace("//", "").rstrip("/") in own:
+        raise RuntimeError(f"spark.checkpoint.dir is {folder}, which is local to each machine")
     return folder.rstrip("/")
 
 
+#: Paths handed out and not yet deleted, by application.
+_scratch: dict[str, set[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/postlake/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; ``release`` deletes it."""
+    path = f"{shared_folder(spark)}/postlake/{name}-{uuid.uuid4().hex}"
+    _scratch.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context.hadoopConfiguration()).delete(at, True)
+    _scratch.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediates of this application.  Call it when the results that were
+    computed from them are written; lazy results cannot be read afterwards."""
+    for path in sorted(_scratch.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -49,7 +78,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for ``frames``, once all that was computed from them
+    is written too."""
+    for df in frames:
+        _delete(df.sparkSession, df.scratch)
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
