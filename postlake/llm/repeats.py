@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from postlake.llm.encoding import slices
 from postlake.llm.frames import sized, written
+from postlake.session import discard
 
 #: Windows of a text that are looked at together.
 CHUNK = 1 << 19
@@ -219,18 +220,24 @@ def _distinct(contexts: DataFrame) -> DataFrame:
     return written(kept.select("gram", "context", "place.*"), "repeat-contexts")
 
 
-def _sized_groups(contexts: DataFrame, search: Search, group: int) -> DataFrame:
-    """Contexts grouped by grams so long that no group has more than ``group``."""
-    small = None
+def _sized_groups(
+    contexts: DataFrame, search: Search, group: int
+) -> tuple[DataFrame, list[DataFrame]]:
+    """Contexts grouped by grams so long that no group has more than ``group``, and the
+    written tables that they are read from."""
+    small, tables = None, [contexts]
     for size in (*search.grams[1:], None):
         counts = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
         large = written(counts.filter(F.col("n") > group).select("gram"), "repeat-large")
+        tables.append(large)
         if size is None or large.isEmpty():
-            return contexts if small is None else small.unionByName(contexts)
+            break
         large = sized(large)
         rest = contexts.join(large, "gram", "left_anti")
         small = rest if small is None else small.unionByName(rest)
         contexts = _distinct(_finer(contexts.join(large, "gram", "left_semi"), search, size))
+        tables.append(contexts)
+    return contexts if small is None else small.unionByName(contexts), tables
 
 
 def _firsts(contexts: DataFrame, search: Search, room: int) -> DataFrame:
@@ -343,10 +350,11 @@ def with_marks(
     again = written(counts.filter("n > 1").select("gram"), "repeat-grams")
     hits = found.join(sized(again), "gram", "left_semi")
     hits = written(hits.groupBy("key").agg(F.collect_set("gram").alias("grams")), "repeat-hits")
+    discard(found, again)
     contexts = _distinct(_contexts(texts.join(hits, "key"), search))
-    firsts = _firsts(_sized_groups(contexts, search, group), search, room)
+    groups, tables = _sized_groups(contexts, search, group)
+    firsts = _firsts(groups, search, room)
     runs = F.collect_list(F.struct("low", "high")).alias("firsts")
-    marks = hits.join(firsts.groupBy("key").agg(runs), "key", "left")
-    return texts.join(written(marks, "repeat-marks"), "key", "left").select(
-        "doc_id", "data", "grams", "firsts"
-    )
+    marks = written(hits.join(firsts.groupBy("key").agg(runs), "key", "left"), "repeat-marks")
+    discard(hits, *tables)
+    return texts.join(marks, "key", "left").select("doc_id", "data", "grams", "firsts")
