@@ -31,7 +31,7 @@ from postlake.session import discard
 CHUNK = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
 #: Contexts of one anchor that a task takes; larger groups are split by longer grams.
-GROUP = 20_000
+GROUP = 1_000
 #: Bytes of contexts that a task compares at once.
 ROOM = 3 << 20
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
