@@ -7,10 +7,9 @@ slowest request and not by its number of requests.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -252,29 +251,22 @@ def dashboard(log: DataFrame, as_of: datetime | str) -> DataFrame:
         *[F.when(F.col("ts") > since(minutes), F.lit(name)) for name, minutes in ranges.items()]
     )
     recent = log.filter((F.col("ts") > since(1440)) & (F.col("ts") <= at))
-    return (
+    found = (
         recent.withColumn("range", F.explode(covering))
         .filter(F.col("range").isNotNull())
         .groupBy("range")
         .agg(*counts(), p95().alias("p95_ms"))
-        .select("range", "requests", "errors", "not_found", *ratios(), "p95_ms")
     )
+    # a range without events is shown with zeros
+    names = log.sparkSession.createDataFrame([(name,) for name in ranges], "range string")
+    shown = F.broadcast(names).join(found, "range", "left")
+    zeros = shown.fillna(0, ["requests", "errors", "not_found"])
+    return zeros.select("range", "requests", "errors", "not_found", *ratios(), "p95_ms")
 
 
 def dedup_events(events: DataFrame, ids: Sequence[str], watermark: str, ts: str = "ts") -> DataFrame:
-    """Drop repeated deliveries of an event, on a stream within the watermark.
-
-    A batch combines copies before its shuffle by itself.  A stream does not, so copies
-    that arrive together are thinned out first, Arrow batch by Arrow batch; an event
-    delivered very often then reaches its state store as few rows.
-    """
+    """Drop repeated deliveries of an event, on a stream within the watermark."""
     names = list(ids)
     if not events.isStreaming:
         return events.dropDuplicates(names)
-
-    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.drop_duplicates(names)
-
-    thinned = events.mapInPandas(thin, events.schema)
-    return thinned.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(names)
+    return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(names)

@@ -52,14 +52,24 @@ def monthly_indicators(log: DataFrame) -> DataFrame:
 
 
 def monthly_freshness(runs: DataFrame) -> DataFrame:
-    """The longest time without a successful update that ended in each month, in hours."""
-    order = Window.orderBy("run_finished_at")
-    gap = F.unix_micros("run_finished_at") - F.lag(F.unix_micros("run_finished_at")).over(order)
-    return (
-        runs.filter("status = 'success'")
-        .withColumn("_gap", gap / F.lit(3_600_000_000))
-        .groupBy(_month(F.col("run_finished_at")).alias("month"))
-        .agg(F.max("_gap").alias("longest_gap_hours"))
+    """The longest time without a successful update inside each month, in hours.
+
+    Months run from the first success to the last run of any outcome.  A gap counts in every
+    month it touches, cut at the month's edges; the time since the last success is a gap too.
+    """
+    order = Window.orderBy("run_finished_at")  # one row per run
+    gaps = (
+        runs.withColumn("_end", F.max("run_finished_at").over(Window.partitionBy()))
+        .filter("status = 'success' AND run_finished_at IS NOT NULL")
+        .withColumn("_next", F.coalesce(F.lead("run_finished_at").over(order), "_end"))
+    )
+    first, last = F.date_trunc("month", "run_finished_at"), F.date_trunc("month", "_next")
+    months = gaps.withColumn("_month", F.explode(F.sequence(first, last, F.expr("INTERVAL 1 MONTH"))))
+    low = F.greatest("run_finished_at", "_month")
+    high = F.least(F.col("_next"), F.col("_month") + F.expr("INTERVAL 1 MONTH"))
+    hours = (F.unix_micros(high) - F.unix_micros(low)) / F.lit(3_600_000_000)
+    return months.groupBy(_month(F.col("_month")).alias("month")).agg(
+        F.max(hours).alias("longest_gap_hours")
     )
 
 
@@ -114,20 +124,22 @@ def update_history(runs: DataFrame, month: str) -> DataFrame:
 
 
 def monthly_compare(log: DataFrame, runs: DataFrame) -> DataFrame:
-    """Each month's record count, ratios and p95 next to the month before."""
+    """Each month's record count, ratios and p95 next to the calendar month before, null where
+    that has none."""
     records = (
         runs.filter(F.col("status").isin("success", "rollback"))
         .groupBy(_month(F.col("created_at")).alias("month"))
         .agg(F.max_by("total_count", F.struct("created_at", "data_version")).alias("record_count"))
     )
     shown = ["record_count", "not_found_ratio", "error_rate", "p95_ms"]
-    joined = monthly_indicators(log).join(records, "month", "full").select("month", *shown)
-    order = Window.orderBy("month")
-    return joined.select(
+    found = monthly_indicators(log).join(records, "month", "full").select("month", *shown)
+    after = F.date_format(F.add_months(F.to_date("month", "yyyy-MM"), 1), "yyyy-MM")
+    earlier = found.select(after.alias("month"), *[F.col(c).alias(f"previous_{c}") for c in shown])
+    return found.join(earlier, "month", "left").select(
         "month",
         *shown,
-        *[F.lag(c).over(order).alias(f"previous_{c}") for c in shown],
-        *[(F.col(c) - F.lag(c).over(order)).alias(f"change_{c}") for c in shown],
+        *[f"previous_{c}" for c in shown],
+        *[(F.col(c) - F.col(f"previous_{c}")).alias(f"change_{c}") for c in shown],
     )
 
 

@@ -340,7 +340,8 @@ last AS (
 SELECT {_at("window_end", "window_end")},
        CASE WHEN level = 'none' AND (done IS NULL OR window_end - done > INTERVAL 12 HOUR) THEN 'P3'
             ELSE level END AS level FROM last"""
-_INCIDENTS = f"WITH {_TRIPLES}, {_islands('leveled', chr(39).join(('level <> ', 'none', '')), ', min(level) AS level')}"
+_ALERTED = _islands("leveled", "level <> 'none'", ", min(level) AS level")
+_INCIDENTS = f"WITH {_TRIPLES}, {_ALERTED}"
 SQL["incident_list"] = f"""{_INCIDENTS}
 SELECT printf('INC-%s-%03d', strftime(s, '%Y%m'),
               row_number() OVER (PARTITION BY strftime(s, '%Y-%m') ORDER BY s)) AS incident,
@@ -349,9 +350,11 @@ SQL["incident_counts"] = f"""{_INCIDENTS}
 SELECT strftime(s, '%Y-%m') AS month, level, count(*) AS incidents FROM found GROUP BY 1, 2"""
 SQL["dashboard"] = f"""WITH {t.LOG_SQL},
 r AS (SELECT * FROM (VALUES ('15m', 15), ('1h', 60), ('24h', 1440)) v(range, minutes))
-SELECT range, {_metrics()}, round(errors / requests, 6) AS error_rate,
+SELECT range, count(ts) AS requests, count(*) FILTER (status BETWEEN 500 AND 599) AS errors,
+       count(*) FILTER (status = 404) AS not_found,
+       CASE WHEN requests = 0 THEN 0 ELSE round(errors / requests, 6) END AS error_rate,
        round(quantile_cont(latency_ms, 0.95) FILTER ({_POSTAL}), 6) AS p95_ms
-FROM log JOIN r ON ts > TIMESTAMP '2024-01-31' - minutes * INTERVAL 1 MINUTE AND ts <= TIMESTAMP '2024-01-31'
+FROM r LEFT JOIN log ON ts > TIMESTAMP '2024-01-31' - minutes * INTERVAL 1 MINUTE AND ts <= TIMESTAMP '2024-01-31'
 GROUP BY range"""
 SQL["update_freshness"] = f"""WITH {t.ORDER_RUNS_SQL},
 l AS (SELECT max(run_finished_at) AS last FROM runs
@@ -376,12 +379,23 @@ ind AS (
          not_found / requests AS not_found_ratio, quantile_cont(latency_ms, 0.95) AS p95_ms FROM log GROUP BY 1
 )"""
 SQL["slo_report"] = f"""WITH {_MONTHLY},
+ends AS (SELECT max(run_finished_at) AS stop FROM runs),
+ok_runs AS (SELECT DISTINCT run_finished_at AS done FROM runs WHERE status = 'success'),
+spine AS (
+  SELECT unnest(generate_series(date_trunc('month', (SELECT min(done) FROM ok_runs)),
+                                date_trunc('month', (SELECT stop FROM ends)), INTERVAL 1 MONTH)) AS first
+),
+edges AS (
+  -- a month's successes, its own edges, and the end of the report
+  SELECT first, done FROM spine JOIN ok_runs ON done >= first AND done < first + INTERVAL 1 MONTH
+  UNION SELECT first, greatest(first, (SELECT min(done) FROM ok_runs)) FROM spine
+  UNION SELECT first, least(first + INTERVAL 1 MONTH, (SELECT stop FROM ends)) FROM spine
+),
 gaps AS (
-  SELECT strftime(run_finished_at, '%Y-%m') AS month,
-         date_diff('hour', lag(run_finished_at) OVER (ORDER BY run_finished_at), run_finished_at) AS gap
-  FROM runs WHERE status = 'success'
+  SELECT strftime(first, '%Y-%m') AS month,
+         date_diff('second', lag(done) OVER (PARTITION BY first ORDER BY done), done) / 3600 AS gap FROM edges
 ),
-g AS (SELECT month, CAST(max(gap) AS DOUBLE) AS gap FROM gaps GROUP BY 1),
+g AS (SELECT month, CAST(coalesce(max(gap), 0) AS DOUBLE) AS gap FROM gaps GROUP BY 1),
 m AS (SELECT * FROM ind FULL JOIN budget USING (month) FULL JOIN g USING (month)),
 rows AS (
   SELECT month, 'availability' AS item, 0.999::DOUBLE AS target, availability::DOUBLE AS actual, availability >= 0.999 AS ok FROM m
@@ -399,13 +413,14 @@ recs AS (
   FROM runs WHERE status = 'success' GROUP BY 1
 ),
 j AS (SELECT month, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _SHOWN)} FROM ind FULL JOIN recs USING (month))
-SELECT month, """
+SELECT j.month, """
     + ", ".join(
-        [f"round(coalesce({c}, -1), 6) AS {c}" for c in _SHOWN]
-        + [f"round(coalesce(lag({c}) OVER w, -1), 6) AS previous_{c}" for c in _SHOWN]
-        + [f"round(coalesce({c} - lag({c}) OVER w, -1), 6) AS change_{c}" for c in _SHOWN]
+        [f"round(coalesce(j.{c}, -1), 6) AS {c}" for c in _SHOWN]
+        + [f"round(coalesce(p.{c}, -1), 6) AS previous_{c}" for c in _SHOWN]
+        + [f"round(coalesce(j.{c} - p.{c}, -1), 6) AS change_{c}" for c in _SHOWN]
     )
-    + " FROM j WINDOW w AS (ORDER BY month)"
+    + """ FROM j LEFT JOIN j p
+      ON p.month = strftime(strptime(j.month || '-01', '%Y-%m-%d') - INTERVAL 1 MONTH, '%Y-%m')"""
 )
 SQL["update_history"] = f"""WITH {t.ORDER_RUNS_SQL}
 SELECT {_at("run_finished_at", "at")}, 'data update' AS kind,

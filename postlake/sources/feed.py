@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake import schema as S
@@ -18,6 +19,16 @@ _FEED_DDL = ", ".join(f"{name} string" for name in S.FEED_LINE.fieldNames())
 _LINES_PER_BATCH = 20_000
 
 
+def _part_order(path: Column) -> list[Column]:
+    """Folder, part number and path: text would put part 100000 before part 99999."""
+    number = F.regexp_extract(path, r"/[^/0-9]*([0-9]+)[^/]*$", 1)
+    return [
+        F.regexp_extract(path, r"^(.*)/", 1).alias("folder"),
+        number.try_cast("decimal(38,0)").alias("part"),
+        path.alias("path"),
+    ]
+
+
 def _check_charset(spark: SparkSession, encoding: str) -> None:
     allowed = spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "true"
     if encoding.lower() not in ("utf-8", "us-ascii", "iso-8859-1") and not allowed:
@@ -58,7 +69,8 @@ def read_feed(
 
     Large files are split.  A malformed line is set aside before lines are numbered, so
     its neighbours stay adjacent.  With ``joined`` the files are the parts of one feed, in
-    the order of their paths, and lines are numbered through.
+    the order of their folders and of the first number in their names, and lines are numbered
+    through.
     """
     _check_charset(spark, encoding)
     parsed = (
@@ -70,7 +82,10 @@ def read_feed(
         .select(
             "*",
             F.col("_metadata.file_path").alias("feed_file"),
-            F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_block"),
+            F.struct(
+                *_part_order(F.col("_metadata.file_path")),
+                F.col("_metadata.file_block_start").alias("start"),
+            ).alias("_block"),
         )
     )
     return _split(parsed, joined)
@@ -97,7 +112,11 @@ def _archive_lines(
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
         entries = archive.infolist()
-    except zipfile.BadZipFile as e:
+        if entries:
+            with archive.open(entries[0]) as whole:  # to its end, where the checksum is compared
+                while whole.read(1 << 20):
+                    pass
+    except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError) as e:
         yield frame(None, f"unreadable archive: {e}")
         return
     if not entries:
@@ -138,7 +157,7 @@ def read_zipped_feed(
     lines = raw.filter(F.col("error").isNull())
     parsed = lines.select(
         "feed_file",
-        F.col("feed_file").alias("_block"),
+        F.struct(*_part_order(F.col("feed_file"))).alias("_block"),
         F.from_csv("line", _FEED_DDL, _CSV).alias("r"),
     ).select("feed_file", "_block", "r.*")
     good, malformed = _split(parsed, joined)

@@ -25,9 +25,10 @@ def parse_request_log(lines: DataFrame, line: str = "value") -> tuple[DataFrame,
 def dependency_errors(lines: DataFrame, line: str = "value", window: str = "5 minutes") -> DataFrame:
     """Failed connections to the database and to the cache per window."""
     text = F.col(line)
-    failed = text.rlike("Failed to (connect|create)")
+    failed = text.rlike(r"Failed to (connect|create|scan|delete)\b")
     cache = text.contains("Redis")
-    kind = F.when(failed & cache, "redis").when(text.contains("Failed to connect"), "database")
+    database = text.rlike(r"Failed to (connect\b|get (a )?client\b|open SQLite database)")
+    kind = F.when(failed & cache, "redis").when(database, "database")
     return (
         lines.withColumn("dependency", kind)
         .filter(F.col("dependency").isNotNull())

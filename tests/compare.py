@@ -22,6 +22,8 @@ def connect(sf_dir: str):
 def _plain(value):
     if isinstance(value, decimal.Decimal):
         value = float(value)
+    if isinstance(value, float) and value != value:
+        return None  # pandas writes a null number so, and it equals nothing
     if isinstance(value, float) and value.is_integer():
         return int(value)
     return value.item() if hasattr(value, "item") else value

@@ -195,3 +195,25 @@ def test_joined_files_are_one_feed(spark, tmp_path):
     good, _ = read_feed(spark, str(tmp_path), joined=True)
     assert rows(prepare_feed(good, prefecture_dimension(spark))) == sorted(EXPECTED)
     assert sorted(r.line_no for r in good.collect()) == list(range(18))
+
+
+def test_joined_parts_are_ordered_by_number(spark, tmp_path):
+    line = '01101,"060","0600001","a","b","c","北海道","札幌市",{},0,0,0,0,0,0'
+    for number, town in ((99_999, "前"), (100_000, "後")):
+        row = line.format('"' + town + '"')
+        (tmp_path / f"part-{number:05d}-x.csv").write_text(row + "\n", encoding="utf-8")
+    good, _ = read_feed(spark, str(tmp_path), encoding="utf-8", joined=True)
+    assert [r.town for r in good.orderBy("line_no").collect()] == ["前", "後"]
+
+
+def test_damaged_archive_gives_one_quarantine_row(spark, tmp_path):
+    text = "\n".join(f'01101,"060","{n:07d}","a","b","c","p","c","t",0,0,0,0,0,0' for n in range(5000))
+    path = tmp_path / "a.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.csv", text)
+    data = bytearray(path.read_bytes())
+    data[len(data) // 2] ^= 1
+    path.write_bytes(bytes(data))
+    good, bad = read_zipped_feed(spark, str(tmp_path), encoding="utf-8")
+    assert good.count() == 0
+    assert [r.line.startswith("unreadable archive") for r in bad.collect()] == [True]

@@ -149,7 +149,7 @@ def test_monthly_reports(spark):
     assert got[("2026-03", "error_rate")] == "Fail"
     assert got[("2026-03", "p95_ms")] == "Pass"
     assert got[("2026-03", "freshness_hours")] == "Fail"
-    assert got[("2026-04", "freshness_hours")] == "no data"
+    assert got[("2026-04", "freshness_hours")] == "Pass"  # the month is an hour old
     cmp = reports.monthly_compare(events, runs).orderBy("month").collect()
     assert [(r.month, r.record_count, r.previous_record_count) for r in cmp] == [
         ("2026-03", 110, None),
@@ -249,3 +249,32 @@ def test_access_audit(spark):
     assert [r.outcome for r in got.collect()] == [200, 401, 200, 403, 200]
     assert {r.outcome: r.requests for r in access.access_counts(got).collect()} == {200: 3, 401: 1, 403: 1}
     assert {r.outcome for r in access.access_audit(df).collect()} == {200}
+
+
+def test_gaps_count_in_every_month_they_touch(spark):
+    rows = [("2026-01-01", "success"), ("2026-01-02", "success"), ("2026-03-01", "success")]
+    rows.append(("2026-03-03", "failed"))
+    runs = spark.createDataFrame(rows, "d string, status string").select(
+        F.to_timestamp("d").alias("run_finished_at"), "status"
+    )
+    got = {r.month: r.longest_gap_hours for r in reports.monthly_freshness(runs).collect()}
+    assert got == {"2026-01": 30 * 24, "2026-02": 28 * 24, "2026-03": 48}
+
+
+def test_previous_month_is_the_calendar_one(spark):
+    rows = [("2026-01-05", 200), ("2026-03-05", 200), ("2026-04-05", 500)]
+    log = spark.createDataFrame(rows, "d string, status int").select(
+        F.to_timestamp("d").alias("ts"),
+        F.lit("GET").alias("method"),
+        F.lit("/postal_codes/1").alias("path"),
+        "status",
+        F.lit(5.0).alias("latency_ms"),
+    )
+    kinds = "created_at timestamp, run_finished_at timestamp, status string, total_count long, data_version string"
+    runs = spark.createDataFrame([], kinds)
+    got = reports.monthly_compare(log, runs).orderBy("month").collect()
+    assert [(r.month, r.previous_error_rate) for r in got] == [
+        ("2026-01", None),
+        ("2026-03", None),
+        ("2026-04", 0.0),
+    ]
