@@ -210,8 +210,8 @@ def publish(
 ) -> Row:
     """Publish ``feed`` (clean, unique by key) as the next version; returns its audit row.
 
-    Repeating a published batch changes nothing.  A failure is recorded as a ``failed``
-    audit row and leaves the current version as it was.
+    Repeating a published batch changes nothing.  A failure, such as a feed that repeats a
+    key, is recorded as a ``failed`` audit row and leaves the current version as it was.
     """
     batch_ts = _utc(batch_ts)
     version, started = version_id(batch_ts), datetime.now(UTC)
@@ -233,6 +233,10 @@ def publish(
     fed = feed.select(*S.ADDRESS_COLUMNS)
 
     def write() -> None:
+        keys = fed.groupBy(*S.ADDRESS_KEY).agg(F.count(F.lit(1)).alias("n"))
+        repeated = keys.filter("n > 1").first()
+        if repeated is not None:
+            raise ValueError(f"the feed repeats the key of zip code {repeated.zip_code}")
         rows = apply_feed(prior, fed, batch, update_columns=update_columns).filter("op <> 'deleted'")
         _sorted_files(rows.select(*S.ADDRESS_VERSIONED.fieldNames())).write.mode(
             "overwrite"
@@ -247,6 +251,8 @@ def publish(
             gone = prior.filter(F.col("updated_at") < batch)
             records = fed.count()
             deleted = gone.join(fed, S.ADDRESS_KEY, "left_anti").count()
+        if deleted < 0:
+            raise ValueError(f"{-deleted} rows more than before are called old")
         return {
             "records_in_feed": records,
             "inserted_count": seen.inserted_count,

@@ -151,3 +151,11 @@ def test_export(spark, tmp_path, fmt):
     for r in manifest.collect():
         data = open("/" + r.file.removeprefix("file:").lstrip("/"), "rb").read()
         assert (len(data), hashlib.sha256(data).hexdigest()) == (r.size_bytes, r.sha256)
+
+
+def test_feed_that_repeats_a_key_is_refused(spark, store):
+    V.publish(spark, store, feed(spark, A, B), T1, "one")
+    before = state(V.current(spark, store))
+    bad = V.publish(spark, store, feed(spark, A, B, B2), T2, "two")
+    assert bad.status == "failed" and bad.error_message.startswith("bulk_insert: the feed repeats")
+    assert state(V.current(spark, store)) == before
