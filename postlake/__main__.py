@@ -8,12 +8,17 @@ from datetime import UTC, datetime
 
 from postlake.plans import versions
 from postlake.plans.clean import prepare_feed
+from postlake.schema import FEED_WIDTH
 from postlake.session import build_session
 from postlake.sources.export import export_release
 from postlake.sources.feed import prefecture_dimension, read_feed, read_zipped_feed
 from postlake.streaming.jobs import publish_arrivals
 
 
+def _width(value: str) -> int | None:
+    return None if value == "first" else int(value)
+
+
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="postlake")
     jobs = parser.add_subparsers(dest="job", required=True)
@@ -26,8 +31,11 @@ def _parser() -> argparse.ArgumentParser:
         job.add_argument("--header", action="store_true")
         job.add_argument("--merge-before-strip", action="store_true")
         job.add_argument("--trim", action="store_true")
+        job.add_argument("--width", type=_width, default=FEED_WIDTH, help="fields of a line, or 'first'")
+        job.add_argument("--max-deleted-ratio", type=float)
         if name == "watch":
             job.add_argument("--checkpoint", required=True)
+            job.add_argument("--lists", action="store_true", help="files list the parts of a feed")
     back = jobs.add_parser("rollback")
     back.add_argument("--store", required=True)
     back.add_argument("--data-version", required=True)
@@ -44,10 +52,20 @@ def main(argv: list[str] | None = None) -> int:
     named = {"encoding": args.encoding} if getattr(args, "encoding", None) else {}
     if args.job == "publish":
         read = read_zipped_feed if args.zipped else read_feed
-        records, _ = read(spark, args.feed, header=args.header, joined=True, **named)
+        records, malformed = read(
+            spark, args.feed, header=args.header, joined=True, width=args.width, **named
+        )
         prefectures = prefecture_dimension(spark)
         rows = prepare_feed(records, prefectures, args.merge_before_strip, args.trim)
-        run = versions.publish(spark, args.store, rows, datetime.now(UTC), args.feed)
+        run = versions.publish(
+            spark,
+            args.store,
+            rows,
+            datetime.now(UTC),
+            args.feed,
+            rejected_lines=malformed,
+            max_deleted_ratio=args.max_deleted_ratio,
+        )
         print(f"{run.status}: {run.data_version}, {run.total_count} rows", file=sys.stderr)
         return 0 if run.status == "success" else 1
     if args.job == "watch":
@@ -60,6 +78,9 @@ def main(argv: list[str] | None = None) -> int:
             header=args.header,
             merge_before_strip=args.merge_before_strip,
             trim=args.trim,
+            file_is_feed=not args.lists,
+            width=args.width,
+            max_deleted_ratio=args.max_deleted_ratio,
             **named,
         ).awaitTermination()
     elif args.job == "rollback":

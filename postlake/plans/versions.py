@@ -2,7 +2,8 @@
 
 A store is a folder: ``versions/data_version=<id>`` holds one immutable copy of the table
 per publish, ``audits`` one row per run.  Writing the audit row is the commit: a version
-folder without a successful audit row is not seen by anyone.  One writer at a time.
+folder without a successful audit row is not seen by anyone.  Rows and lines that a publish
+refuses are kept in ``quarantine/data_version=<id>``.  One writer at a time.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from postlake import schema as S
-from postlake.session import empty
+from postlake.session import discard, empty, materialise
 
 _T = TypeVar("_T")
 _LIVE = ("success", "rollback")
@@ -153,6 +154,18 @@ def current(spark: SparkSession, store: str) -> DataFrame:
     return read_version(spark, store, version)
 
 
+def quarantine(spark: SparkSession, store: str) -> DataFrame:
+    """What publishes refused: ``kind`` is ``row`` or ``line``, ``rows`` how often it occurred,
+    ``data_version`` the publish, which may itself have failed."""
+    fields = [*S.QUARANTINE.fields, T.StructField("data_version", T.StringType())]
+    try:
+        return spark.read.schema(T.StructType(fields)).parquet(f"{store}/quarantine")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty(spark, T.StructType(fields))
+
+
 def snapshots(spark: SparkSession, store: str) -> DataFrame:
     """All published versions as one table; a filter on ``data_version`` prunes folders."""
     fields = [*S.ADDRESS_VERSIONED.fields, T.StructField("data_version", T.StringType())]
@@ -200,6 +213,39 @@ def _sorted_files(table: DataFrame) -> DataFrame:
     return table.repartitionByRange(*S.ADDRESS_KEY).sortWithinPartitions("zip_code", "town")
 
 
+def first_per_key(rows: DataFrame, keys: Sequence[str] = S.ADDRESS_KEY) -> tuple[DataFrame, DataFrame]:
+    """(the row of each key with the smallest other values, all other rows with the number
+    of times ``rows`` they occur).  Equal rows are counted before the shuffle."""
+    keys = list(keys)
+    payload = F.struct(*[c for c in rows.columns if c not in keys])
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    per_key = rows.groupBy(*keys).agg(F.min(payload).alias("_first"), F.count(F.lit(1)).alias("_all"))
+    unique = per_key.select(*keys, "_first.*").select(*rows.columns)
+    repeated = per_key.filter("_all > 1").select(*[F.col(c).alias(f"_k_{c}") for c in keys], "_first")
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    beyond = F.col("_n") - payload.eqNullSafe(F.col("_first")).cast("long")
+    others = counted.join(repeated, same).withColumn("rows", beyond).filter("rows > 0")
+    return unique, others.select(*rows.columns, "rows")
+
+
+def _quarantined(rows: DataFrame, lines: DataFrame | None) -> DataFrame:
+    """Refused rows and malformed lines (``feed_file``, ``line``) in one form."""
+
+    def form(df: DataFrame, **values: Column) -> DataFrame:
+        own = {c: F.col(c) for c in df.columns} | values
+        return df.select(
+            *[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.QUARANTINE.fields]
+        )
+
+    found = form(rows, kind=F.lit("row"))
+    if lines is None:
+        return found
+    rules = F.array(F.lit("malformed_line"))
+    return found.unionByName(form(lines, kind=F.lit("line"), broken_rules=rules, rows=F.lit(1)))
+
+
 def publish(
     spark: SparkSession,
     store: str,
@@ -207,11 +253,20 @@ def publish(
     batch_ts: datetime,
     source: str,
     update_columns: Sequence[str] | None = None,
+    rejected_lines: DataFrame | None = None,
+    rules: Sequence[str] | None = None,
+    max_deleted_ratio: float | None = None,
 ) -> Row:
-    """Publish ``feed`` (clean, unique by key) as the next version; returns its audit row.
+    """Publish ``feed`` as the next version; returns its audit row.
+
+    Rows that break one of ``rules`` (by default all ``quality_rules`` but the one against
+    unknown prefectures, which are published with id 0) and rows that repeat a key beyond the
+    first by their values go to the quarantine of this version, beside the ``rejected_lines``
+    (``feed_file``, ``line``) of the reader.
 
-    Repeating a published batch changes nothing.  A failure, such as a feed that repeats a
-    key, is recorded as a ``failed`` audit row and leaves the current version as it was.
+    Repeating a published batch changes nothing.  A failure is recorded as a ``failed`` audit
+    row and leaves the current version as it was; so is a feed of which nothing is left, and
+    one that deletes more than ``max_deleted_ratio`` of the table.
     """
     batch_ts = _utc(batch_ts)
     version, started = version_id(batch_ts), datetime.now(UTC)
@@ -230,19 +285,28 @@ def publish(
         "run_started_at": started,
         "batch_timestamp": second,
     }
-    fed = feed.select(*S.ADDRESS_COLUMNS)
-
-    def write() -> None:
-        keys = fed.groupBy(*S.ADDRESS_KEY).agg(F.count(F.lit(1)).alias("n"))
-        repeated = keys.filter("n > 1").first()
-        if repeated is not None:
-            raise ValueError(f"the feed repeats the key of zip code {repeated.zip_code}")
+    checked: list[DataFrame] = []
+
+    def check() -> DataFrame:
+        # read by the quarantine and by the table, which must see the same rows
+        marked = feed.select(*S.ADDRESS_COLUMNS).withColumn("broken_rules", _broken(rules))
+        checked.append(materialise(marked, "publish-feed"))
+        good = checked[0].filter(F.size("broken_rules") == 0).drop("broken_rules")
+        bad = checked[0].filter(F.size("broken_rules") > 0)
+        bad = bad.groupBy(*bad.columns).agg(F.count(F.lit(1)).alias("rows"))
+        unique, repeated = first_per_key(good)
+        repeated = repeated.withColumn("broken_rules", F.array(F.lit("duplicate_key")))
+        refused = _quarantined(bad.unionByName(repeated), rejected_lines)
+        refused.write.mode("overwrite").parquet(f"{store}/quarantine/data_version={version}")
+        return unique
+
+    def write(fed: DataFrame) -> None:
         rows = apply_feed(prior, fed, batch, update_columns=update_columns).filter("op <> 'deleted'")
         _sorted_files(rows.select(*S.ADDRESS_VERSIONED.fieldNames())).write.mode(
             "overwrite"
         ).parquet(_version_path(store, version))
 
-    def count() -> dict[str, int]:
+    def count(fed: DataFrame) -> dict[str, int]:
         seen = table_counts(read_version(spark, store, version), batch).first()
         before = live.total_count if live else 0
         records, deleted = seen.touched_count, before - seen.older_count
@@ -253,6 +317,11 @@ def publish(
             deleted = gone.join(fed, S.ADDRESS_KEY, "left_anti").count()
         if deleted < 0:
             raise ValueError(f"{-deleted} rows more than before are called old")
+        refused = quarantine(spark, store).filter(F.col("data_version") == version)
+        if records == 0 and not refused.isEmpty():
+            raise ValueError("nothing of the feed could be used; see the quarantine")
+        if max_deleted_ratio is not None and deleted > max_deleted_ratio * before:
+            raise ValueError(f"the feed lacks {deleted} of {before} rows")
         return {
             "records_in_feed": records,
             "inserted_count": seen.inserted_count,
@@ -262,10 +331,13 @@ def publish(
         }
 
     try:
-        _stage("bulk_insert", write)
-        counts = _stage("compute_diff_counts", count)
+        fed = _stage("bulk_insert", check)
+        _stage("bulk_insert", lambda: write(fed))
+        counts = _stage("compute_diff_counts", lambda: count(fed))
     except StageError as e:
         return _append_audit(spark, store, **run, status="failed", error_message=str(e))
+    finally:
+        discard(*checked)
     return _append_audit(
         spark, store, **run, **counts, content_version=version, status="success"
     )
@@ -393,13 +465,20 @@ def quality_rules() -> dict[str, Column]:
     return rules
 
 
-def quality_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that keep every rule, rows that do not with their ``broken_rules``)."""
-    broken = F.filter(
-        F.array(*[F.when(rule, F.lit(name)) for name, rule in quality_rules().items()]),
+def _broken(names: Sequence[str] | None) -> Column:
+    """The broken ones of the rules ``names``, by default those a published row must keep."""
+    rules = quality_rules()
+    if names is None:
+        names = [name for name in rules if name != "unknown_prefecture"]
+    return F.filter(
+        F.array(*[F.when(rules[name], F.lit(name)) for name in names]).cast("array<string>"),
         lambda name: name.isNotNull(),
     )
-    checked = df.withColumn("broken_rules", broken)
+
+
+def quality_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that keep every rule, rows that do not with their ``broken_rules``)."""
+    checked = df.withColumn("broken_rules", _broken(list(quality_rules())))
     good = checked.filter(F.size("broken_rules") == 0).drop("broken_rules")
     return good, checked.filter(F.size("broken_rules") > 0)
 

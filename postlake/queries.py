@@ -435,6 +435,29 @@ def quality_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.groupBy(rules).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _published_dirty(spark: SparkSession, sf_dir: str) -> str:
+    store = scratch_path(spark, "store")
+    V.publish(spark, store, _dirty(spark, sf_dir), FIRST_BATCH, "dirty")
+    return store
+
+
+@query
+def publish_dirty_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is published of a feed with bad and repeated rows."""
+    return _store_rows(V.current(spark, _published_dirty(spark, sf_dir)))
+
+
+@query
+def publish_dirty_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What that publish refused, by broken rules, beside the published and audited totals."""
+    store = _published_dirty(spark, sf_dir)
+    rules = F.array_join("broken_rules", ",").alias("what")
+    refused = V.quarantine(spark, store).groupBy(rules).agg(F.sum("rows").alias("rows"))
+    audited = V.audits(spark, store).select(F.col("status").alias("what"), F.col("total_count").alias("rows"))
+    held = V.current(spark, store).agg(F.lit("current").alias("what"), F.count(F.lit(1)).alias("rows"))
+    return refused.unionByName(audited).unionByName(held)
+
+
 @query
 def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, out = addr(spark, sf_dir), scratch_path(spark, "release")
@@ -702,20 +725,44 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_stream(sli.dedup_events(twice, ["event_id"], "1 hour")).select("event_id")
 
 
-@query
-def feed_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed files that arrive in a folder, published as they are found."""
-    landing, store = scratch_path(spark, "landing"), scratch_path(spark, "store")
+def _arrived_feed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """A folder of feed parts, and a folder with the list of them."""
+    parts, landing = scratch_path(spark, "parts"), scratch_path(spark, "landing")
     order = ["zip_code", "o_orderkey"]
     lines = t.feed_lines(spark, sf_dir).repartitionByRange(*order).sortWithinPartitions(*order)
-    lines.select("line").write.text(landing)
+    lines.select("line").write.text(parts)
+    spark.read.format("binaryFile").load(parts).select("path").coalesce(1).write.text(landing)
+    return parts, landing
+
+
+def _publish_lists(spark: SparkSession, landing: str, store: str, progress: str) -> None:
     jobs.publish_arrivals(
         spark,
         f"{landing}/part-*.txt",
         store,
-        scratch_path(spark, "progress"),
+        progress,
         encoding="utf-8",
         file_is_feed=False,
         clock=lambda: FIRST_BATCH,
     ).awaitTermination()
+
+
+@query
+def feed_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed parts of a feed, published as the list is found."""
+    _, landing = _arrived_feed(spark, sf_dir)
+    store = scratch_path(spark, "store")
+    _publish_lists(spark, landing, store, scratch_path(spark, "progress"))
+    return _store_rows(V.current(spark, store))
+
+
+@query
+def late_part_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same feed when a further part arrives after the list, before and after publishing."""
+    parts, landing = _arrived_feed(spark, sf_dir)
+    store, progress = scratch_path(spark, "store"), scratch_path(spark, "progress")
+    late = t.feed_lines(spark, sf_dir).select(F.replace("line", F.lit("1"), F.lit("7")).alias("line"))
+    for _ in range(2):
+        late.write.mode("append").text(parts)
+        _publish_lists(spark, landing, store, progress)
     return _store_rows(V.current(spark, store))

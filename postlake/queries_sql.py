@@ -252,6 +252,20 @@ SQL["quality_counts"] = (
 _BROKEN = "concat_ws(',', " + ", ".join(f"CASE WHEN {r} THEN '{n}' END" for n, r in _RULES.items()) + ")"
 SQL["quality_quarantine"] = f"""WITH {_DIRTY}, b AS (SELECT {_BROKEN} AS broken_rules FROM dirty)
 SELECT broken_rules, count(*) AS rows FROM b WHERE broken_rules <> '' GROUP BY 1"""
+_KEPT_RULES = {n: r for n, r in _RULES.items() if n != "unknown_prefecture"}
+_KEPT_BROKEN = "concat_ws(',', " + ", ".join(f"CASE WHEN {r} THEN '{n}' END" for n, r in _KEPT_RULES.items()) + ")"
+_PUBLISHED_DIRTY = f"""{_DIRTY},
+checked AS (SELECT *, {_KEPT_BROKEN} AS broken_rules FROM dirty),
+published AS (
+  SELECT {_KEY}, min({{'city_id': city_id, 'prefecture': prefecture}}) AS p FROM checked WHERE broken_rules = '' GROUP BY ALL
+)"""
+SQL["publish_dirty_feed"] = f"""WITH {_PUBLISHED_DIRTY}
+SELECT {_KEY}, p.city_id AS city_id, p.prefecture AS prefecture, {_T1} AS created_at, {_T1} AS updated_at FROM published"""
+SQL["publish_dirty_quarantine"] = f"""WITH {_PUBLISHED_DIRTY}
+SELECT broken_rules AS what, count(*) AS rows FROM checked WHERE broken_rules <> '' GROUP BY 1
+UNION ALL SELECT 'duplicate_key', (SELECT count(*) FROM checked WHERE broken_rules = '') - (SELECT count(*) FROM published)
+UNION ALL SELECT 'success', count(*) FROM published
+UNION ALL SELECT 'current', count(*) FROM published"""
 SQL["export_manifest"] = f"WITH {t.ADDR_SQL} SELECT count(*) AS row_count, true AS hash_matches FROM addr"
 
 # ---- monitoring ----------------------------------------------------------------------
@@ -470,3 +484,4 @@ SELECT {_at(f"window_end - 3 * {_STEP}", "start")}, {_at("window_end", '"end"')}
 FROM alert WHERE slow_15m AND window_end <= {_CLOSED}"""
 SQL["stream_dedup"] = "SELECT event_id FROM events"
 SQL["feed_arrivals"] = f"SELECT *, {_T1} AS created_at, {_T1} AS updated_at FROM ({t.feed_files_sql(merge_before_strip=False)})"
+SQL["late_part_ignored"] = SQL["feed_arrivals"]

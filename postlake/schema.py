@@ -52,13 +52,23 @@ AUDIT = _struct(
     ("created_at", _TS, False),
 )
 
-# A feed line has 15 positional fields; the last column keeps unparsable lines.
+# What a publish refused: address rows, or malformed lines of a feed file.
+QUARANTINE = T.StructType(
+    [T.StructField(n, _S, True) for n in ("kind", "feed_file", "line")]
+    + [T.StructField(f.name, f.dataType, True) for f in ADDRESS.fields]
+    + [T.StructField("broken_rules", T.ArrayType(_S), True), T.StructField("rows", _L, True)]
+)
+
+# A feed line has 15 positional fields unless told otherwise; the last column keeps unparsable lines.
 FEED_WIDTH = 15
 CORRUPT = "_corrupt_record"
-FEED_LINE = T.StructType(
-    [T.StructField(f"_c{i}", _S, True) for i in range(FEED_WIDTH)]
-    + [T.StructField(CORRUPT, _S, True)]
-)
+
+
+def feed_line(width: int = FEED_WIDTH) -> T.StructType:
+    fields = [T.StructField(f"_c{i}", _S, True) for i in range(width)]
+    return T.StructType([*fields, T.StructField(CORRUPT, _S, True)])
+
+
 # Positions of the feed fields that are used.
 FEED_FIELDS = {
     "city_id": 0,

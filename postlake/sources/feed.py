@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 import zlib
@@ -15,7 +16,6 @@ from postlake import schema as S
 from postlake.operators.lines import number_lines
 
 _CSV = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT}
-_FEED_DDL = ", ".join(f"{name} string" for name in S.FEED_LINE.fieldNames())
 _LINES_PER_BATCH = 20_000
 
 
@@ -39,7 +39,10 @@ def _check_charset(spark: SparkSession, encoding: str) -> None:
 
 def feed_records(lines: DataFrame) -> DataFrame:
     """Pick the used fields by position; an absent one reads as empty, the flag as false."""
-    fields = {k: F.coalesce(F.col(f"_c{i}"), F.lit("")) for k, i in S.FEED_FIELDS.items()}
+    fields = {
+        k: F.coalesce(F.col(f"_c{i}"), F.lit("")) if f"_c{i}" in lines.columns else F.lit("")
+        for k, i in S.FEED_FIELDS.items()
+    }
     fields["flag"] = fields["flag"] == "1"
     return lines.select("feed_file", "_block", *[v.alias(k) for k, v in fields.items()])
 
@@ -64,6 +67,8 @@ def read_feed(
     encoding: str = "windows-31j",
     header: bool = False,
     joined: bool = False,
+    width: int | None = S.FEED_WIDTH,
+    multi_line: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Read a folder of feed files as (numbered records, malformed lines).
 
@@ -71,11 +76,18 @@ def read_feed(
     its neighbours stay adjacent.  With ``joined`` the files are the parts of one feed, in
     the order of their folders and of the first number in their names, and lines are numbered
     through.
+
+    Lines of another number of fields than ``width`` are malformed; None takes the number of
+    the first record that Spark reads.  ``multi_line`` allows line breaks inside quotes; files
+    are then not split, so each must fit in a task.
     """
     _check_charset(spark, encoding)
+    options = {**_CSV, "encoding": encoding, "header": header, "multiLine": multi_line}
+    if width is None:
+        width = len(spark.read.options(**options).csv(path).columns) or S.FEED_WIDTH
     parsed = (
-        spark.read.schema(S.FEED_LINE)
-        .options(**_CSV, encoding=encoding, header=header)
+        spark.read.schema(S.feed_line(width))
+        .options(**options)
         # With pruning on, Spark does not notice malformed lines in unread columns.
         .option("columnPruning", False)
         .csv(path)
@@ -142,11 +154,12 @@ def read_zipped_feed(
     encoding: str = "cp932",
     header: bool = False,
     joined: bool = False,
+    width: int | None = S.FEED_WIDTH,
 ) -> tuple[DataFrame, DataFrame]:
     """Read a folder of zip archives, one task per group of archives.
 
     Only the first entry of an archive is read.  Archives without one, or not readable,
-    go to quarantine.  ``encoding`` is a Python codec name.
+    go to quarantine.  ``encoding`` is a Python codec name, ``width`` as in ``read_feed``.
     """
     raw = (
         spark.read.format("binaryFile")
@@ -155,10 +168,14 @@ def read_zipped_feed(
         .mapInPandas(_unzip(encoding, header), "feed_file string, line string, error string")
     )
     lines = raw.filter(F.col("error").isNull())
+    if width is None:
+        first = lines.select("line").first()
+        width = len(next(csv.reader([first.line]))) if first else S.FEED_WIDTH
+    names = S.feed_line(width).fieldNames()
     parsed = lines.select(
         "feed_file",
         F.struct(*_part_order(F.col("feed_file"))).alias("_block"),
-        F.from_csv("line", _FEED_DDL, _CSV).alias("r"),
+        F.from_csv("line", ", ".join(f"{n} string" for n in names), _CSV).alias("r"),
     ).select("feed_file", "_block", "r.*")
     good, malformed = _split(parsed, joined)
     broken = raw.filter(F.col("error").isNotNull()).select(

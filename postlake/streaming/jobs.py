@@ -26,6 +26,13 @@ _FILES = T.StructType(
 )
 
 
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """The paths that a list of parts names."""
+    folder = path.rsplit("/", 1)[0]
+    named = [row.value.strip() for row in spark.read.text(path).collect()]
+    return [p if p.startswith("/") or ":/" in p else f"{folder}/{p}" for p in named if p]
+
+
 def publish_arrivals(
     spark: SparkSession,
     landing: str,
@@ -37,37 +44,53 @@ def publish_arrivals(
     merge_before_strip: bool = False,
     trim: bool = False,
     file_is_feed: bool = True,
+    width: int | None = S.FEED_WIDTH,
+    max_deleted_ratio: float | None = None,
     clock: Callable[[], datetime] = lambda: datetime.now(UTC),
 ) -> StreamingQuery:
     """Publish the feed files waiting in ``landing``, then stop.
 
-    Either each file is a whole feed and becomes one version, oldest first, or all files
-    that wait are one feed.  The checkpoint remembers which files are done; the batch
-    number in the run's source keeps a batch that is repeated after a crash from being
-    published twice.
+    Each file becomes one version, oldest first.  Either it is a whole feed, or
+    (``file_is_feed`` off) a list of the parts of one: a text file with a path per line,
+    relative ones being beside the list, written when all parts are there.  A part that no
+    list names is not read, and a list that names a missing one publishes nothing, so a
+    feed replaces the table as a whole or not at all.  The checkpoint remembers which files
+    are done; the batch number in the run's source keeps a batch that is repeated after a
+    crash from being published twice.  Lines and rows that cannot be used are kept in the
+    store's quarantine.
     """
     arrivals = spark.readStream.format("binaryFile").schema(_FILES)
-    if file_is_feed:
-        arrivals = arrivals.option("maxFilesPerTrigger", 1)
+    arrivals = arrivals.option("maxFilesPerTrigger", 1)
     # The stream only finds the files; their bytes are read by the feed reader.
     arrivals = arrivals.load(landing).select("path")
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        paths = [row.path for row in batch.orderBy("path").collect()]  # names only
-        if not paths:
+        arrived = batch.first()  # one file per batch, and only its name
+        if arrived is None:
             return
-        source = f"{paths[0] if file_is_feed else landing}#{batch_id}"
+        source = f"{arrived.path}#{batch_id}"
         session = batch.sparkSession
         runs = versions.audits(session, store)
         if runs.filter((F.col("source_url") == source) & (F.col("status") == "success")).first():
             return
         read = feeds.read_zipped_feed if zipped else feeds.read_feed
         named = {"encoding": encoding} if encoding else {}
-        records, _ = read(session, paths, header=header, joined=not file_is_feed, **named)
+        paths = [arrived.path] if file_is_feed else _listed(session, arrived.path)
+        records, malformed = read(
+            session, paths, header=header, joined=not file_is_feed, width=width, **named
+        )
         rows = prepare_feed(
             records, feeds.prefecture_dimension(session), merge_before_strip, trim
         )
-        done = versions.publish(session, store, rows, clock(), source)
+        done = versions.publish(
+            session,
+            store,
+            rows,
+            clock(),
+            source,
+            rejected_lines=malformed,
+            max_deleted_ratio=max_deleted_ratio,
+        )
         if done.status != "success":
             raise RuntimeError(f"publishing {source} failed: {done.error_message}")
 

@@ -88,6 +88,32 @@ def test_merge_before_strip(spark, tmp_path):
     assert ("0660005", 1, "01224", "北海道", "千歳市", "協和") in got
 
 
+@pytest.mark.parametrize("zipped", [False, True])
+def test_width_of_the_first_record(spark, tmp_path, zipped):
+    lines = [line[:11] for line in (line_of(r) for r in SAMPLE[:3])] + [["short"]]
+    data = csv_text(lines).encode("cp932")
+    if zipped:
+        with zipfile.ZipFile(tmp_path / "feed.zip", "w") as z:
+            z.writestr("feed.csv", data)
+    else:
+        (tmp_path / "feed.csv").write_bytes(data)
+    read = read_zipped_feed if zipped else read_feed
+    good, bad = read(spark, str(tmp_path))
+    assert (good.count(), bad.select("feed_file", "line").count()) == (0, 4)
+    good, bad = read(spark, str(tmp_path), width=None)
+    got = good.select("zip_code", "town", "flag").collect()
+    assert sorted((r.zip_code, r.flag) for r in got) == sorted((s[1], False) for s in SAMPLE[:3])
+    assert bad.select("feed_file", "line").count() == 1
+
+
+def test_line_break_inside_quotes(spark, tmp_path):
+    line = line_of(("13101", "1000001", "東京都", "千代田区", "千代\n田", "0"))
+    (tmp_path / "feed.csv").write_text(csv_text([line, line]), encoding="utf-8", newline="")
+    good, bad = read_feed(spark, str(tmp_path), encoding="utf-8", multi_line=True)
+    assert [r.town for r in good.collect()] == ["千代\n田"] * 2
+    assert bad.select("feed_file", "line").count() == 0
+
+
 def random_lines(rng: random.Random, n: int) -> list[list[str]]:
     towns = ["あ", "い（ろ", "は）に", "１番（東（西）北）", "以下に掲載がない場合", "", "セー、"]
     out = []

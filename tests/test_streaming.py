@@ -4,10 +4,13 @@ import os
 import zipfile
 from datetime import UTC, datetime, timedelta
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from postlake.operators import sli
 from postlake.plans import versions
+from postlake.schema import ADDRESS_COLUMNS as EXPECTED_COLUMNS
 from postlake.streaming import jobs
 from tests.test_feed import EXPECTED, SAMPLE, csv_text, line_of
 
@@ -94,3 +97,40 @@ def test_arriving_feeds_are_published_in_order(spark, tmp_path):
     last = versions.audits(spark, store).orderBy(F.desc("batch_timestamp")).first()
     assert (last.records_in_feed, last.deleted_count, last.total_count) == (2, 11, 2)
     assert versions.current(spark, store).count() == 2 and len(EXPECTED) == 13
+
+
+def test_listed_parts_are_published_whole(spark, tmp_path):
+    landing, store, checkpoint = (str(tmp_path / n) for n in ("landing", "store", "check"))
+    os.mkdir(landing)
+    lines = [line_of(r) for r in SAMPLE]
+
+    def part(name, some):
+        (tmp_path / name).write_text(csv_text(some), encoding="utf-8")
+
+    ticks = iter(T0 + timedelta(days=d) for d in range(9))
+    run = lambda: jobs.publish_arrivals(
+        spark,
+        landing,
+        store,
+        checkpoint,
+        encoding="utf-8",
+        file_is_feed=False,
+        clock=lambda: next(ticks),
+    ).awaitTermination()
+    part("p-1.csv", lines[:5])
+    run()
+    assert versions.audits(spark, store).count() == 0  # no list yet
+    part("p-2.csv", lines[5:])
+    (tmp_path / "landing" / "one.txt").write_text(f"../p-1.csv\n{tmp_path}/p-2.csv\n")
+    part("p-3.csv", lines[:1])
+    run()
+    assert rows(versions.current(spark, store).select(*EXPECTED_COLUMNS)) == sorted(EXPECTED, key=str)
+    kinds = [(r.kind, r.rows) for r in versions.quarantine(spark, store).collect()]
+    assert kinds == [("line", 1)]
+    part("p-4.csv", lines[:1])
+    run()
+    assert versions.audits(spark, store).count() == 1
+    (tmp_path / "landing" / "two.txt").write_text("../p-1.csv\n../absent.csv\n")
+    with pytest.raises(StreamingQueryException):
+        run()
+    assert versions.current(spark, store).count() == len(EXPECTED)

@@ -153,9 +153,40 @@ def test_export(spark, tmp_path, fmt):
         assert (len(data), hashlib.sha256(data).hexdigest()) == (r.size_bytes, r.sha256)
 
 
-def test_feed_that_repeats_a_key_is_refused(spark, store):
+def refused(spark, store):
+    rows = V.quarantine(spark, store).collect()
+    return sorted((r.data_version, r.kind, r.town or r.line, tuple(r.broken_rules), r.rows) for r in rows)
+
+
+def test_bad_and_repeated_rows_go_to_quarantine(spark, store):
+    v1, v2 = V.version_id(T1), V.version_id(T2)
     V.publish(spark, store, feed(spark, A, B), T1, "one")
+    assert refused(spark, store) == []
+    blank = ("12", 0, "", "", "", "Z")
+    placeless = ("0000009", 0, "01101", "？県", "市", "P")
+    lines = spark.createDataFrame([("f.csv", '"broken"')], "feed_file string, line string")
+    # the first of a key by its other values stays, whatever the order of the feed
+    rows = feed(spark, B2, B2, A, B, blank, placeless)
+    done = V.publish(spark, store, rows, T2, "two", rejected_lines=lines)
+    assert (done.status, *counts(done)) == ("success", 3, 1, 2, 0, 3)
+    got = state(V.current(spark, store))
+    assert set(got) == {"A", "B", "P"} and got["B"][0] == "01101"
+    assert refused(spark, store) == [
+        (v2, "line", '"broken"', ("malformed_line",), 1),
+        (v2, "row", "B", ("duplicate_key",), 2),
+        (v2, "row", "Z", ("blank_key", "zip_not_7_digits"), 1),
+    ]
+    assert v1 != v2
+
+
+def test_feed_that_loses_too_much_is_refused(spark, store):
+    V.publish(spark, store, feed(spark, A, B, C), T1, "one")
     before = state(V.current(spark, store))
-    bad = V.publish(spark, store, feed(spark, A, B, B2), T2, "two")
-    assert bad.status == "failed" and bad.error_message.startswith("bulk_insert: the feed repeats")
+    lost = V.publish(spark, store, feed(spark, A), T2, "two", max_deleted_ratio=0.5)
+    assert lost.status == "failed" and "lacks 2 of 3 rows" in lost.error_message
+    blank = ("12", 0, "", "", "", "Z")
+    none = V.publish(spark, store, feed(spark, blank), T2 + timedelta(days=1), "three")
+    assert none.status == "failed" and "nothing of the feed" in none.error_message
     assert state(V.current(spark, store)) == before
+    fine = V.publish(spark, store, feed(spark, A), T2 + timedelta(days=2), "four", max_deleted_ratio=0.7)
+    assert (fine.status, fine.total_count) == ("success", 1)
