@@ -239,31 +239,108 @@ def breach_runs(windows: DataFrame, breach: Column, by: Sequence[str] = ()) -> D
     )
 
 
-def dashboard(log: DataFrame, as_of: datetime | str) -> DataFrame:
-    """Throughput, ratios and p95 over the last 15 minutes, hour and day, in one pass."""
-    at = F.lit(as_of).cast("timestamp")
-    ranges = {"15m": 15, "1h": 60, "24h": 1440}
+#: Ranges a dashboard shows, in minutes.
+RANGES = {"15m": 15, "1h": 60, "24h": 1440}
 
-    def since(minutes: int) -> Column:
-        return at - F.expr(f"INTERVAL {minutes} MINUTES")
 
-    covering = F.array(
-        *[F.when(F.col("ts") > since(minutes), F.lit(name)) for name, minutes in ranges.items()]
-    )
-    recent = log.filter((F.col("ts") > since(1440)) & (F.col("ts") <= at))
+def _since(as_of: datetime | str, minutes: int) -> Column:
+    return F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {minutes} MINUTES")
+
+
+def _in_ranges(log: DataFrame, as_of: datetime | str, *aggregates: Column) -> DataFrame:
+    """``aggregates`` of the requests of each range, in one pass; a range without any has nulls."""
+    ts = F.col("ts")
+    covering = F.array(*[F.when(ts > _since(as_of, m), F.lit(name)) for name, m in RANGES.items()])
+    recent = log.filter((ts > _since(as_of, max(RANGES.values()))) & (ts <= _since(as_of, 0)))
     found = (
         recent.withColumn("range", F.explode(covering))
         .filter(F.col("range").isNotNull())
         .groupBy("range")
-        .agg(*counts(), p95().alias("p95_ms"))
+        .agg(*aggregates)
     )
-    # a range without events is shown with zeros
-    names = log.sparkSession.createDataFrame([(name,) for name in ranges], "range string")
-    shown = F.broadcast(names).join(found, "range", "left")
-    zeros = shown.fillna(0, ["requests", "errors", "not_found"])
+    names = log.sparkSession.createDataFrame([(name,) for name in RANGES], "range string")
+    return F.broadcast(names).join(found, "range", "left")
+
+
+def dashboard(log: DataFrame, as_of: datetime | str) -> DataFrame:
+    """Throughput, ratios and p95 over the last 15 minutes, hour and day, in one pass.  A range
+    without events is shown with zeros."""
+    zeros = _in_ranges(log, as_of, *counts(), p95().alias("p95_ms"))
+    zeros = zeros.fillna(0, ["requests", "errors", "not_found"])
     return zeros.select("range", "requests", "errors", "not_found", *ratios(), "p95_ms")
 
 
+def dashboard_panels(
+    log: DataFrame, failures: DataFrame, runs: DataFrame, as_of: datetime | str
+) -> DataFrame:
+    """The eight panels of each range: range, panel, value (null without data) and state
+    (``ok``, ``warning`` or ``critical``).
+
+    ``failures`` has ``ts`` and ``dependency`` of each failed connection; more of them than in
+    the range before, of the same length, are a warning.  The ready panel is critical if no
+    probe succeeded in the last 10 minutes, be it that none was sent.
+    """
+    ready = F.col("path") == "/ready"
+    fine = ready & _status_in(200)
+    late = F.col("ts") > _since(as_of, S.READY_BREACH_MINUTES)
+    seen = _in_ranges(
+        log,
+        as_of,
+        *counts(),
+        p95().alias("p95_ms"),
+        F.count_if(ready).alias("probes"),
+        F.count_if(fine).alias("probes_ok"),
+        F.count_if(fine & late).alias("late_ok"),
+    ).fillna(0, ["requests", "errors", "not_found", "probes", "probes_ok", "late_ok"])
+
+    def failed(kind: str, first: int, last: int) -> Column:
+        inside = (F.col("ts") > _since(as_of, first)) & (F.col("ts") <= _since(as_of, last))
+        return F.count_if((F.col("dependency") == kind) & inside)
+
+    kinds = ("database", "redis")
+    broken = failures.filter(F.col("ts") > _since(as_of, 2 * max(RANGES.values()))).agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(name).alias("range"),
+                    *[failed(k, m, 0).alias(k) for k in kinds],
+                    *[failed(k, 2 * m, m).alias(f"{k}_before") for k in kinds],
+                )
+                for name, m in RANGES.items()
+            ]
+        ).alias("r")
+    )
+    fresh = freshness(runs, as_of).select(
+        F.explode(F.array(*map(F.lit, RANGES))).alias("range"), "hours", F.col("state").alias("_fresh")
+    )
+    every = seen.join(F.broadcast(broken.select(F.inline("r"))), "range")
+    every = every.join(F.broadcast(fresh), "range").select("*", *ratios())
+
+    def level(critical: Column | bool, warning: Column | bool) -> Column:
+        return F.when(critical, "critical").when(warning, "warning").otherwise("ok")
+
+    rate, never = F.col("error_rate"), F.lit(False)
+    panels = {
+        "request_throughput": (F.col("requests"), F.lit("ok")),
+        "error_rate": (rate, level(rate >= S.P1_ERROR_RATE, rate >= S.P2_ERROR_RATE)),
+        "p95_latency": (F.col("p95_ms"), level(never, F.col("p95_ms") > S.SLO_P95_MS)),
+        "ready_status": (
+            F.when(F.col("probes") > 0, F.col("probes_ok") / F.col("probes")),
+            level(F.col("late_ok") == 0, never),
+        ),
+        "not_found_ratio": (F.col("not_found_ratio"), F.lit("ok")),
+        "update_freshness": (F.col("hours"), F.col("_fresh")),
+        **{f"{k}_errors": (F.col(k), level(never, F.col(k) > F.col(f"{k}_before"))) for k in kinds},
+    }
+    rows = F.array(
+        *[
+            F.struct(F.lit(n).alias("panel"), v.cast("double").alias("value"), state.alias("state"))
+            for n, (v, state) in panels.items()
+        ]
+    )
+    return every.select("range", F.inline(rows))
+
+
 def dedup_events(events: DataFrame, ids: Sequence[str], watermark: str, ts: str = "ts") -> DataFrame:
     """Drop repeated deliveries of an event, on a stream within the watermark."""
     names = list(ids)

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from postlake import schema as S
 from postlake.functions.text import safe_ratio
-from postlake.operators.sli import breach_runs, counts, p95, ratios
+from postlake.operators.sli import SLI_MINUTES, SLI_WINDOW, breach_runs, counts, p95, ratios
 
 
 def _month(ts: Column) -> Column:
@@ -153,6 +153,31 @@ def incidents(alerted: DataFrame) -> DataFrame:
     return runs.select(name.alias("incident"), "level", "started_at", "ended_at", "windows")
 
 
+def incident_categories(found: DataFrame, runs: DataFrame, errors: DataFrame) -> DataFrame:
+    """``found`` incidents with a ``category``: which of update failure, cache and database had
+    failures in one of its 5-minute windows, comma-separated, or ``other``.
+
+    ``errors`` are the dependency errors per 5-minute window.  An incident meets failures by
+    window, so neither side is compared as a whole.
+    """
+    step = F.expr(f"INTERVAL {SLI_MINUTES} MINUTES")
+    windows = found.withColumn(
+        "window_start", F.explode(F.sequence("started_at", F.col("ended_at") - step, step))
+    )
+    failed_at = F.window("run_finished_at", SLI_WINDOW)["start"]
+    failed = runs.filter("status = 'failed'").select(
+        failed_at.alias("window_start"), F.lit("update failure").alias("category")
+    )
+    names = F.when(F.col("dependency") == "redis", "cache").otherwise("database")
+    causes = failed.unionByName(errors.select("window_start", names.alias("category"))).distinct()
+    every = F.array_join(F.sort_array(F.collect_set("category")), ",")
+    return (
+        windows.join(causes, "window_start", "left")
+        .groupBy(*found.columns)
+        .agg(F.when(every == "", "other").otherwise(every).alias("category"))
+    )
+
+
 def incident_counts(found: DataFrame) -> DataFrame:
     """Incidents per month and level."""
     return found.groupBy(_month(F.col("started_at")).alias("month"), "level").agg(

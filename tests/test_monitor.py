@@ -123,6 +123,57 @@ def test_dashboard(spark):
     }
 
 
+def test_dashboard_panels(spark):
+    as_of = T0 + timedelta(minutes=1439)
+    lines = [(5, "database"), (1390, "redis"), (1430, "redis"), (1438, "redis"), (1400, "database")]
+    failures = spark.createDataFrame(
+        [(T0 + timedelta(minutes=m), k) for m, k in lines], "ts timestamp, dependency string"
+    )
+
+    def shown(rows, finished):
+        runs = spark.createDataFrame(
+            [(T0 + timedelta(minutes=finished), "success")], "run_finished_at timestamp, status string"
+        )
+        found = sli.dashboard_panels(log(spark, rows), failures, runs, as_of).collect()
+        assert len(found) == 24
+        return {(r.range, r.panel): (r.value, r.state) for r in found}
+
+    quiet = shown([(0, 200, 10)], 1439 - 13 * 60)
+    assert quiet["15m", "request_throughput"] == (0.0, "ok")
+    assert quiet["15m", "p95_latency"] == (None, "ok")
+    assert quiet["1h", "ready_status"] == (None, "critical")  # nobody probed
+    assert quiet["15m", "update_freshness"] == (13.0, "warning")
+    assert quiet["15m", "redis_errors"] == (2.0, "warning")
+    assert quiet["1h", "database_errors"] == (1.0, "warning")
+    assert quiet["15m", "database_errors"] == (0.0, "ok")
+    assert quiet["24h", "database_errors"] == (2.0, "warning")
+    busy = shown([(1430 + i % 9, 500 if i < 2 else 200, 400) for i in range(100)], 1439 - 60)
+    assert busy["15m", "error_rate"] == (0.02, "warning")
+    assert busy["24h", "p95_latency"][1] == "warning"
+    assert busy["15m", "update_freshness"] == (1.0, "ok")
+    stale = shown([(1430, 500, 1)], 1439 - 25 * 60)
+    assert stale["15m", "error_rate"] == (1.0, "critical")
+    assert stale["24h", "update_freshness"] == (25.0, "critical")
+
+
+def test_incident_categories(spark):
+    at = lambda m: T0 + timedelta(minutes=m)
+    found = spark.createDataFrame(
+        [("a", at(0), at(10)), ("b", at(20), at(25)), ("c", at(30), at(35))],
+        "incident string, started_at timestamp, ended_at timestamp",
+    )
+    runs = spark.createDataFrame(
+        [(at(7), "failed"), (at(21), "success"), (at(27), "failed")],
+        "run_finished_at timestamp, status string",
+    )
+    errors = spark.createDataFrame(
+        [(at(0), "redis"), (at(5), "redis"), (at(30), "database")],
+        "window_start timestamp, dependency string",
+    )
+    got = {r.incident: r.category for r in reports.incident_categories(found, runs, errors).collect()}
+    assert got == {"a": "cache,update failure", "b": "other", "c": "database"}
+
+
 def test_error_budget(spark):
     df = spark.createDataFrame([(30,), (31,), (28,)], "d int")
     got = [r[0] for r in df.select(reports.budget_seconds(F.col("d"))).collect()]
