@@ -355,7 +355,7 @@ QUALIFY row_number() OVER (PARTITION BY zip_code, prefecture_id, city, town ORDE
 
 # ---- logs ----------------------------------------------------------------------------
 
-_STATUS = "CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 ELSE 200 END"
+LOG_STATUS = "CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 ELSE 200 END"
 _PATH = (
     "CASE event_type WHEN 'click' THEN '/ready' "
     "ELSE concat('/postal_codes/', CAST(user_id AS VARCHAR(20))) END"
@@ -371,14 +371,14 @@ def request_log(events: DataFrame) -> DataFrame:
         "user_id",
         F.lit("GET").alias("method"),
         F.expr(_PATH).alias("path"),
-        F.expr(_STATUS).alias("status"),
+        F.expr(LOG_STATUS).alias("status"),
         F.floor(F.col("value") * 10).cast("long").alias("latency_ms"),
     )
 
 
 LOG_SQL = f"""
 log AS (
-  SELECT event_id, ts, event_type, user_id, 'GET' AS method, {_PATH} AS path, {_STATUS} AS status,
+  SELECT event_id, ts, event_type, user_id, 'GET' AS method, {_PATH} AS path, {LOG_STATUS} AS status,
          CAST(floor(value * 10) AS BIGINT) AS latency_ms FROM events
 )"""
 

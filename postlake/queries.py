@@ -81,6 +81,14 @@ def zip_lookup_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(lookup.lookup_zip(t.zip_requests(spark, sf_dir), addr(spark, sf_dir)))
 
 
+@query
+def zip_lookup_null_town(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some addresses have no town, which a hit shows as empty; a miss shows null."""
+    town = F.expr("CASE WHEN city LIKE '%7' THEN NULL ELSE town END")
+    rows = lookup.lookup_zip(t.zip_requests(spark, sf_dir), addr(spark, sf_dir).withColumn("town", town))
+    return rows.select("request_id", "status", F.coalesce("town", F.lit("<null>")).alias("town"))
+
+
 @query
 def zip_lookup_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(lookup.lookup_zip_one(addr(spark, sf_dir), "〒000-0003"))
@@ -571,6 +579,16 @@ def alert_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def alert_not_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of a log in which most probes fail, some for 10 minutes on end."""
+    log = events_log(spark, sf_dir)
+    fails = (F.col("path") == "/ready") & (F.col("event_id") % 5 > 0)
+    log = log.withColumn("status", F.when(fails, 503).otherwise(F.col("status")))
+    rows = sli.alerts(sli.sli_windows(log))
+    return rows.select(_at("window_end"), "requests", "slow_15m", "not_ready_10m", "level")
+
+
 @query
 def alert_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels with a run history of one run per day, done when the day's first event came."""

@@ -25,6 +25,12 @@ SELECT request_id, zip,
        coalesce(prefecture, '') AS prefecture, coalesce(city, '') AS city, coalesce(town, '') AS town
 FROM zip_norm LEFT JOIN addr a ON z = a.zip_code"""
 
+SQL["zip_lookup_null_town"] = f"""WITH {t.ADDR_SQL}, {t.ZIP_REQUESTS_SQL}
+SELECT request_id,
+       CASE WHEN length(z) <> 7 THEN 'invalid' WHEN a.zip_code IS NULL THEN 'not_found' ELSE 'ok' END AS status,
+       CASE WHEN a.zip_code IS NULL THEN '<null>' WHEN city LIKE '%7' THEN '' ELSE town END AS town
+FROM zip_norm LEFT JOIN addr a ON z = a.zip_code"""
+
 SQL["zip_lookup_one"] = f"WITH {t.ADDR_SQL} SELECT {_ADDRESS} FROM addr WHERE zip_code = '0000003'"
 
 SQL["zip_format"] = """WITH n AS (
@@ -346,6 +352,9 @@ SQL["breach_runs"] = f"""WITH {_TRIPLES}, {_islands("tri", "rate >= 0.01")}
 SELECT {_at("s", "started_at")}, {_at("e", "ended_at")}, windows FROM found"""
 _ALERT_COLUMNS = f"{_at('window_end', 'window_end')}, requests, slow_15m, not_ready_10m, level"
 SQL["alert_level"] = f"WITH {_TRIPLES} SELECT {_ALERT_COLUMNS} FROM leveled"
+_FAILING = f"CASE WHEN event_type = 'click' AND event_id % 5 > 0 THEN 503 ELSE {t.LOG_STATUS} END"
+_FAILING_LOG = t.LOG_SQL.replace(f"{t.LOG_STATUS} AS status", f"{_FAILING} AS status")
+SQL["alert_not_ready"] = f"WITH {_TRIPLES.replace(t.LOG_SQL, _FAILING_LOG)} SELECT {_ALERT_COLUMNS} FROM leveled"
 SQL["alert_freshness"] = f"""WITH {_TRIPLES},
 runs AS (SELECT min(ts) AS done FROM log GROUP BY date_trunc('day', ts)),
 last AS (
