@@ -1,9 +1,10 @@
 """Toxicity by multiple-instance learning.
 
-Labels say whether a document is toxic, not which of its sentences.  Every sentence gets a
-probability from its words, a document is toxic with the noisy-or of its sentences, and the
-word weights are trained through that from document labels alone.  The same weights then
-point out the sentences.
+Labels say whether a document is toxic, not which of its sentences.  Every sentence with a
+learnt feature gets a probability from its words, a document is toxic with the noisy-or of
+these sentences and of one leak, and the word weights are trained through that from document
+labels alone.  The same weights then point out the sentences.  Sentences without a learnt
+feature add nothing, so length alone makes no document toxic.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ MIN_DOCS = 3
 STEMS = (3, 4, 5, 6, 7, 8)
 #: Words whose weight a worker keeps.
 CACHE = 300_000
+#: Most that the leak can be, so that no document is toxic without a learnt feature.
+LEAK = 0.25
 SENTENCE = regex.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -43,33 +46,37 @@ def features(word: str) -> list[str]:
 @dataclass
 class Model:
     """A sentence's log-odds are ``bias`` and the weights of its different words, a word's
-    being the sum of its features' weights."""
+    being the sum of its features' weights.  ``leak`` is the probability that a document is
+    toxic for what no feature shows."""
 
     bias: float
     weights: dict[str, float]
-    _words: dict[str, float] = field(default_factory=dict, compare=False, repr=False)
+    leak: float = 0.0
+    _words: dict[str, float | None] = field(default_factory=dict, compare=False, repr=False)
 
     def __getstate__(self):
-        return {"bias": self.bias, "weights": self.weights, "_words": {}}
+        return {"bias": self.bias, "weights": self.weights, "leak": self.leak, "_words": {}}
 
-    def word(self, word: str) -> float:
-        known = self._words.get(word)
-        if known is None:
+    def word(self, word: str) -> float | None:
+        """The weight of a word, None if it has no learnt feature."""
+        try:
+            return self._words[word]
+        except KeyError:
             if len(self._words) >= CACHE:
                 self._words.clear()
-            known = math.fsum(self.weights.get(f, 0.0) for f in features(word))
-            self._words[word] = known
-        return known
+            known = [self.weights[f] for f in features(word) if f in self.weights]
+            found = self._words[word] = math.fsum(known) if known else None
+            return found
 
     def sentence(self, text: str) -> float:
-        """Probability that one sentence is toxic."""
-        return _sigmoid(self.bias + math.fsum(map(self.word, set(WORD.findall(text.lower())))))
+        """Probability that one sentence is toxic; 0 without a learnt feature."""
+        found = [v for v in map(self.word, set(WORD.findall(text.lower()))) if v is not None]
+        return _sigmoid(self.bias + math.fsum(found)) if found else 0.0
 
     def score(self, text: str | None) -> float:
-        """Noisy-or over the sentences of a whole text; a text without any has the
-        probability of an empty sentence."""
-        found = [self.sentence(s) for s in SENTENCE.findall(text or "")]
-        clean = math.fsum(math.log1p(-p) for p in found or [_sigmoid(self.bias)])
+        """Noisy-or over the leak and the sentences of a whole text."""
+        found = [p for s in SENTENCE.findall(text or "") if (p := self.sentence(s))]
+        clean = math.log1p(-self.leak) + math.fsum(math.log1p(-p) for p in found)
         return min(1.0, max(0.0, -math.expm1(clean)))
 
 
@@ -109,42 +116,49 @@ def fit(
 ) -> Model:
     """Train on whole texts and their labels by Adagrad on the log loss of the noisy-or.
 
-    Without both labels there is nothing to tell apart: no weights, and a bias that gives a
-    sentence the share of toxic labels (one half without any).
+    Without both labels there is nothing to tell apart: no weights and no leak, so every
+    document scores 0 and is kept.  The leak stays at most ``LEAK``.
     """
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
-        share = (y.sum() + 0.5) / (len(y) + 1)
-        return Model(float(np.log(share / (1 - share))), {})
+        return Model(-30.0, {})
     names = telling_features(texts, toxic)
     index = {f: k for k, f in enumerate(names)}
     known: dict[str, list[int]] = {}
     doc, sentence, feature, n = [], [], [], 0
     for d, text in enumerate(texts):
-        for s in SENTENCE.findall(text.lower()) or [""]:
+        for s in SENTENCE.findall(text.lower()):
+            before = len(feature)
             for w in set(WORD.findall(s)):
                 if w not in known:
                     known[w] = [index[f] for f in features(w) if f in index]
                 feature += known[w]
-                sentence += [n] * len(known[w])
-            doc.append(d)
-            n += 1
+            if len(feature) > before:
+                sentence += [n] * (len(feature) - before)
+                doc.append(d)
+                n += 1
     doc, sentence, feature = (np.array(x, np.int64) for x in (doc, sentence, feature))
     cost = np.full(len(y), 1 / len(y))
-    w, b = np.zeros(len(names)), -4.0
-    seen_w, seen_b = np.full(len(names), 1e-10), 1e-10
+    w, b, c, most = np.zeros(len(names)), -4.0, -4.0, math.log(LEAK / (1 - LEAK))
+    seen_w, seen_b, seen_c = np.full(len(names), 1e-10), 1e-10, 1e-10
     for _ in range(epochs):
         z = b + np.bincount(sentence, w[feature], n)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clean = np.minimum(np.bincount(doc, np.log1p(-p), len(y)), -1e-9)
+        leak = _sigmoid(c)
+        clean = math.log1p(-leak) + np.bincount(doc, np.log1p(-p), len(y))
+        clean = np.minimum(clean, -1e-9)
         # d loss / d z of a sentence: p for clean documents, -p (1 - q) / q for toxic ones
-        g = p * np.where(y > 0, cost * np.exp(clean) / np.expm1(clean), cost)[doc]
+        pull = np.where(y > 0, cost * np.exp(clean) / np.expm1(clean), cost)
+        g = p * pull[doc]
         grad = np.bincount(feature, g[sentence], len(w)) + decay * w / max(1, len(w))
         seen_w += grad**2
         w -= rate * grad / np.sqrt(seen_w)
         seen_b += g.sum() ** 2
         b -= rate * g.sum() / math.sqrt(seen_b)
-    return Model(float(b), dict(zip(names, w.tolist(), strict=True)))
+        g = leak * pull.sum()
+        seen_c += g**2
+        c = min(most, c - rate * g / math.sqrt(seen_c))
+    return Model(float(b), dict(zip(names, w.tolist(), strict=True)), _sigmoid(c))
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

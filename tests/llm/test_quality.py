@@ -158,3 +158,24 @@ def test_toxicity_edge_cases(spark, frame, odd):
         assert toxicity.scores(frame([]), model).count() == 0
         kept = toxicity.without_toxic(frame(rows), marks)
         assert kept.columns == frame(rows).columns
+
+
+def test_length_alone_is_not_toxic(spark):
+    # a tenth of the toxic labels has no telling word, which a text's length must not pay for
+    rows = [(d, t, int(y or d % 50 == 3)) for d, t, y in toxic_docs(1500)]
+    rnd = random.Random(9)
+    long = "".join(f"v{rnd.randrange(3000)} v{rnd.randrange(3000)}. " for _ in range(30_000))
+    rows += [(10_000, long, None), (10_001, long + "you grubla7 thing.", None), (10_002, "", None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model.score(long) < 0.1 < 0.5 < model.score(long + "you grubla7 thing.")
+    assert model.sentence("nothing learnt here.") == 0 < model.leak
+    kept = {r.doc_id for r in toxicity.without_toxic(docs, labels).collect()}
+    assert {10_000, 10_002} <= kept and 10_001 not in kept
+
+
+def test_the_leak_alone_drops_nothing():
+    texts = [f"w{d}." for d in range(100)]
+    model = toxicity.fit(texts, [int(d % 10 > 0) for d in range(100)])
+    assert all(model.score(t) < 0.5 for t in [*texts, "", None])
