@@ -181,8 +181,11 @@ def train(
 
     Up to ``max_toxic`` toxic rows are drawn, so that rare labels are seen, and clean ones up
     to ``max_docs`` in all, in the order of a hash of their id while their texts have at most
-    ``max_chars`` characters.  Null labels, ids and texts are not drawn; an id with several
-    labels counts as toxic if one of them is.
+    ``max_chars`` characters.  Toxic rows have the first call on their share of the characters
+    and clean ones on the rest; texts longer than a hundredth of ``max_chars`` come after the
+    others, and one that no longer fits is passed over, so no text takes the place of many.
+    Null labels, ids and texts are not drawn; an id with several labels counts as toxic if
+    one of them is, and its texts are drawn together.
     """
     marks = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
@@ -198,14 +201,16 @@ def train(
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = texts.filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    sizes = known.select("doc_id", F.length("text").alias("n")).orderBy(turn, "doc_id")
-    taken, chars = [], 0
-    for row in sizes.limit(max_docs).collect():
-        if chars + row.n > max_chars:
-            break
-        taken.append(row.doc_id)
-        chars += row.n
-    sample = known.filter(F.col("doc_id").isin(taken)).orderBy(turn, "doc_id").limit(max_docs)
+    sizes = known.groupBy("doc_id", "label").agg(F.sum(F.length("text")).alias("n"))
+    sizes = sizes.orderBy(turn, "doc_id").limit(max_docs).collect()
+    sizes.sort(key=lambda row: row.n > max_chars // 100)
+    taken, chars = {}, 0
+    for label, most in ((1, max_chars * max_toxic // max_docs), (0, max_chars), (1, max_chars)):
+        for row in sizes:
+            if row.label == label and row.doc_id not in taken and chars + row.n <= most:
+                taken[row.doc_id] = row.n
+                chars += row.n
+    sample = known.filter(F.col("doc_id").isin(list(taken))).orderBy(turn, "doc_id").limit(max_docs)
     rows = sample.select("text", "label").toPandas()
     return fit(rows["text"].tolist(), rows["label"].tolist())
 

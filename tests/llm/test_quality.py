@@ -179,3 +179,36 @@ def test_the_leak_alone_drops_nothing():
     texts = [f"w{d}." for d in range(100)]
     model = toxicity.fit(texts, [int(d % 10 > 0) for d in range(100)])
     assert all(model.score(t) < 0.5 for t in [*texts, "", None])
+
+
+def marked(spark, rows):
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    return docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+
+
+def test_without_both_labels_every_document_stays(spark):
+    rows = toxic_docs(150)
+    docs, labels = marked(spark, rows)
+    held = labels.filter(toxicity.held_out(labels["doc_id"]))
+    for some in (labels.limit(0), held, labels.filter("toxic = 1"), labels.filter("toxic = 0")):
+        kept = toxicity.without_toxic(docs, some)
+        assert sorted(r.doc_id for r in kept.collect()) == [r[0] for r in rows]
+        got = toxicity.scores(docs, toxicity.train(docs, some))
+        assert got.filter("predicted = 1").count() == 0
+
+
+def test_one_long_text_does_not_end_the_sample(spark):
+    rows = toxic_docs(300)
+    drawn = spark.createDataFrame([(r[0],) for r in rows if not r[2]], "doc_id long")
+    order = drawn.filter(~toxicity.held_out(drawn["doc_id"])).selectExpr("doc_id", "xxhash64(doc_id) h")
+    first = order.orderBy("h").first().doc_id
+    want = toxicity.train(*marked(spark, [r for r in rows if r[0] != first]), max_chars=400_000)
+    # longer than the budget, or just fitting: either way the others are drawn
+    for n in (400_001, 399_000):
+        long = [(d, "zz " * (n // 3) if d == first else t, y) for d, t, y in rows]
+        docs, labels = marked(spark, long)
+        model = toxicity.train(docs, labels, max_chars=400_000)
+        assert model == want
+        kept = {r.doc_id for r in toxicity.without_toxic(docs, labels, max_chars=400_000).collect()}
+        assert kept == {d for d, t, y in long if model.score(t) < 0.5}
+        assert np.mean([(d in kept) != bool(y) for d, _, y in long]) > 0.95
