@@ -1,11 +1,12 @@
 """Quality rules whose cutoffs come with a guarantee.
 
 Each rule measures a text and rejects it above a cutoff.  For each stratum the labelled rows
-are a holdout on which the strictest cutoff is chosen whose share of wrongly rejected good
-texts is, by an exact binomial test, below the rule's part of a risk.  The tests of one rule
-run from the laxest cutoff to the strictest and stop at the first that fails, so they need no
-correction among themselves; the confidence is divided among rules and strata.  Together: with
-probability 1 - ``delta``, in every stratum at most ``risk`` of the good texts are rejected.
+are a holdout.  One fixed sequence of steps, each of which makes one rule stricter, is tested
+from the laxest on: a step passes if the share of good texts that the rules together reject is,
+by an exact binomial test, below the risk.  The union of the rules only grows, and the tests
+stop at the first that fails, so they need no correction among themselves; the confidence is
+divided among strata.  Together: with probability 1 - ``delta``, in every stratum at most
+``risk`` of the good texts are rejected.
 """
 
 from __future__ import annotations
@@ -167,6 +168,21 @@ def strictest(rejected: list[int], n: int, risk: float, delta: float) -> int:
     return passed
 
 
+def steps(rules: tuple[Rule, ...]) -> list[tuple[int, int]]:
+    """The fixed sequence of (rule, place of its cutoff), in which the places of a rule rise.
+
+    Rule by rule the laxer half of the cutoffs, then rule by rule the stricter half, so that a
+    rule that good texts break does not keep the others from being used.  The last rule comes
+    whole at the end: of ``RULES`` it is the one whose laxer half the base rule has already.
+    """
+    out = []
+    for half in (0, 1):
+        for k, rule in enumerate(rules[:-1]):
+            cut = len(rule.cutoffs) // 2
+            out += [(k, j) for j in (range(cut, len(rule.cutoffs)) if half else range(cut))]
+    return out + [(len(rules) - 1, j) for j in range(len(rules[-1].cutoffs))] if rules else out
+
+
 def cutoffs(
     marked: DataFrame,
     labels: DataFrame,
@@ -177,7 +193,7 @@ def cutoffs(
     label_col: str = "quality",
 ) -> DataFrame:
     """One row per stratum with labelled good texts: stratum, n_good and a cutoff per rule,
-    null where no cutoff passes.  ``marked`` is what ``signals`` returns.
+    null where no step of it passes.  ``marked`` is what ``signals`` returns.
 
     All labelled rows count.  Null labels and ids are ignored; an id with several labels is
     good only if all say so.
@@ -190,34 +206,29 @@ def cutoffs(
         .filter("good = 1")
     )
     held = marked.join(good, "doc_id")
-    # how many cutoffs of each rule a good text stays below: counted, not carried
-    cells = [
-        F.struct(
-            F.lit(k).alias("rule"),
-            sum((F.expr(_value(r)) > c).cast("int") for c in r.cutoffs).alias("above"),
-        )
-        for k, r in enumerate(rules)
-    ]
-    counts = (
-        held.select("stratum", F.explode(F.array(*cells)).alias("c"))
-        .groupBy("stratum", "c.rule", "c.above")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    counts = written(counts, "quality-counts")
-    strata = counts.select("stratum").distinct().count()
-    part, sure = risk / len(rules), delta / max(1, strata * len(rules))
+    # the first step that rejects a good text, as later ones do too: counted, not carried
+    order = steps(rules)
+    place = {step: t for t, step in enumerate(order)}
+    firsts = []
+    for k, rule in enumerate(rules):
+        own = F.array(*[F.lit(place[k, j]) for j in range(len(rule.cutoffs))])
+        above = sum((F.expr(_value(rule)) > c).cast("int") for c in rule.cutoffs)
+        # a text above n cutoffs is rejected from the n-th last on
+        firsts.append(F.try_element_at(own, F.when(above > 0, F.lit(len(rule.cutoffs) + 1) - above)))
+    first = F.coalesce(F.array_min(F.array(*firsts)), F.lit(len(order)))
+    counts = held.select("stratum", first.alias("first")).groupBy("stratum", "first")
+    counts = written(counts.agg(F.count(F.lit(1)).alias("n")), "quality-counts")
+    sure = delta / max(1, counts.select("stratum").distinct().count())
 
     def choose(part_of: pd.DataFrame) -> pd.DataFrame:
-        row: dict[str, object] = {"stratum": part_of["stratum"].iloc[0]}
+        n_first = np.zeros(len(order) + 1, np.int64)
+        np.add.at(n_first, part_of["first"].to_numpy(), part_of["n"].to_numpy())
+        n = int(n_first.sum())
+        passed = strictest(np.cumsum(n_first)[:-1].tolist(), n, risk, sure)
+        last = dict(order[:passed])
+        row: dict[str, object] = {"stratum": part_of["stratum"].iloc[0], "n_good": n}
         for k, rule in enumerate(rules):
-            n_above = np.zeros(len(rule.cutoffs) + 1, np.int64)
-            own = part_of[part_of["rule"] == k]
-            np.add.at(n_above, own["above"].to_numpy(), own["n"].to_numpy())
-            n = int(n_above.sum())
-            # a text above j cutoffs is rejected by the j last ones, the strictest
-            rejected = np.cumsum(n_above[::-1])[:-1].tolist()
-            passed = strictest(rejected, n, part, sure)
-            row |= {"n_good": n, f"cut_{rule.name}": rule.cutoffs[passed - 1] if passed else None}
+            row[f"cut_{rule.name}"] = rule.cutoffs[last[k]] if k in last else None
         return pd.DataFrame([row])
 
     kinds = ", ".join(f"cut_{r.name} double" for r in rules)

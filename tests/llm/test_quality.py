@@ -212,3 +212,57 @@ def test_one_long_text_does_not_end_the_sample(spark):
         kept = {r.doc_id for r in toxicity.without_toxic(docs, labels, max_chars=400_000).collect()}
         assert kept == {d for d, t, y in long if model.score(t) < 0.5}
         assert np.mean([(d in kept) != bool(y) for d, _, y in long]) > 0.95
+
+
+def test_steps_use_each_cutoff_once_and_get_stricter():
+    order = quality_gate.steps(quality_gate.RULES)
+    assert len(order) == len(set(order)) == sum(len(r.cutoffs) for r in quality_gate.RULES)
+    for k, rule in enumerate(quality_gate.RULES):
+        assert [j for r, j in order if r == k] == list(range(len(rule.cutoffs)))
+
+
+def test_few_good_labels_suffice(spark):
+    # (1 - risk)^n <= delta / strata with two strata, and one text fewer
+    need = math.ceil(math.log(quality_gate.DELTA / 2) / math.log(1 - quality_gate.RISK))
+    rows, labels = [], []
+    for lang, n in (("a", need), ("b", need - 1)):
+        for good in [1] * n + [0] * 20:
+            words = [f"w{k}{'' if good or k % 2 else '#'}" for k in range(60)]
+            rows.append((len(rows), " ".join(words), lang))
+            labels.append((len(labels), good))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = quality_gate.judged(docs, marks).collect()
+    good = dict(labels)
+    assert {(r.stratum, good[r.doc_id], r.kept) for r in got} == {
+        ("a", 1, True),
+        ("a", 0, False),
+        ("b", 1, True),
+        ("b", 0, True),
+    }
+
+
+def test_cutoffs_of_the_union_by_brute_force(spark):
+    rnd = random.Random(4)
+    rows = []
+    for d in range(900):
+        marks = {0: "#", 1: "!", 2: "X"}.get(rnd.randrange(60), "")
+        part = rnd.random()
+        words = [f"w{rnd.randrange(10**6)}{marks if rnd.random() < part else ''}" for _ in range(60)]
+        rows.append((d, " ".join(words), "a"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, 1) for d, *_ in rows], "doc_id long, quality int")
+    signals = quality_gate.signals(docs)
+    rules = quality_gate.RULES
+    found = quality_gate.cutoffs(signals, labels, risk=0.04).first()
+    texts, cut, rejected = signals.collect(), {}, set()
+    for k, j in quality_gate.steps(rules):
+        rule = rules[k]
+        over = {r.doc_id for r in texts if r[rule.part] / (r[rule.whole] or 1) > rule.cutoffs[j]}
+        rejected |= over
+        if quality_gate.binomial_tail(len(rejected), len(texts), 0.04) > 0.05:
+            break
+        cut[rule.name] = rule.cutoffs[j]
+    assert rejected and {r.name: found[f"cut_{r.name}"] for r in rules} == {
+        r.name: cut.get(r.name) for r in rules
+    }
