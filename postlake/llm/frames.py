@@ -50,12 +50,26 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df
 
 
-def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without the rows whose id is in the written one-column table ``dropped``.
-    Rows without an id stay."""
-    gone = fresh(docs.columns, "_gone")
-    ids = sized(dropped.select(F.col(dropped.columns[0]).alias(gone)))
-    return docs.join(ids, docs[id_col] == ids[gone], "left_anti")
+def keep_one(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows that ``verdicts`` drops, and one of those identical in id and
+    text that it keeps.
+
+    ``verdicts`` is a written table of doc_id, raw (the text's xxhash64) and kept, with a row
+    per row of ``docs`` that has a verdict; rows without one stay.  Only rows that occur
+    repeatedly are grouped, and combined before the shuffle.
+    """
+    dropped = written(verdicts.filter("NOT kept").select("doc_id", "raw"), "dropped")
+    often = verdicts.filter("kept").groupBy("doc_id", "raw").agg(F.count(F.lit(1)).alias("n"))
+    often = written(often.filter("n > 1").select("doc_id", "raw"), "repeated")
+    gone, raw = fresh(docs.columns, "_gone"), fresh(docs.columns, "_raw")
+    same = docs[id_col].eqNullSafe(F.col(gone)) & (F.xxhash64(docs[text_col]) == F.col(raw))
+    left = docs.join(sized(dropped.toDF(gone, raw)), same, "left_anti")
+    if often.isEmpty():
+        return left
+    keys = sized(often.toDF(gone, raw))
+    once = left.join(keys, same, "left_semi").withColumn(raw, F.xxhash64(F.col(text_col)))
+    once = once.dropDuplicates([id_col, raw]).drop(raw)
+    return left.join(keys, same, "left_anti").union(once)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from postlake.llm.components import connected_components
 from postlake.llm.encoding import slices
-from postlake.llm.frames import drop_ids, fresh, written
+from postlake.llm.frames import keep_one, sized, written
 
 #: Bytes of a fingerprint.
 POSITIONS = 8
@@ -57,17 +57,23 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def fingerprints(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3
 ) -> DataFrame:
-    """doc_id and fingerprint (a long with the fingerprint's bits) of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """doc_id, fingerprint (a long with the fingerprint's bits) and raw, the text's xxhash64,
+    of every row."""
+    text = F.col(text_col)
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("raw")
+    )
     kind = rows.schema["doc_id"].dataType
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = [fingerprint(t, shingle) for part in slices(batch["text"]) for t in part]
             signed = pa.array(np.array(marks, "<u8").view("<i8"))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], signed], ["doc_id", "mark"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], signed, batch["raw"]], ["doc_id", "mark", "raw"]
+            )
 
-    return rows.mapInArrow(marked, f"doc_id {kind.simpleString()}, mark long")
+    return rows.mapInArrow(marked, f"doc_id {kind.simpleString()}, mark long, raw long")
 
 
 def linked(members: np.ndarray, max_bits: int, least: int) -> list[tuple[int, int]]:
@@ -131,6 +137,22 @@ def near_pairs(marks: DataFrame, max_bits: int = 2) -> DataFrame:
     return lists.mapInArrow(verified, "a long, b long")
 
 
+def _components(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int
+) -> DataFrame:
+    """doc_id, mark, raw, root (a fingerprint of the component) and component_id of every row."""
+    rows = written(fingerprints(docs, id_col, text_col, shingle), "marks")
+    first = written(rows.groupBy("mark").agg(F.min("doc_id").alias("first")), "marks-first")
+    roots = connected_components(near_pairs(first.select("mark"), max_bits))
+    classes = first.join(roots, first["mark"] == roots["node"], "left").select(
+        "mark", "first", F.coalesce("root", "mark").alias("root")
+    )
+    classes = written(classes, "marks-classes")
+    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = classes.join(least, "root").select("mark", "root", "component_id")
+    return rows.join(named, "mark")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -146,16 +168,7 @@ def near_duplicates(
     id never names a component unless all its ids are null.  Rows that repeat an id are
     linked by their own texts; an empty table gives an empty result.
     """
-    rows = written(fingerprints(docs, id_col, text_col, shingle), "marks")
-    first = written(rows.groupBy("mark").agg(F.min("doc_id").alias("first")), "marks-first")
-    roots = connected_components(near_pairs(first.select("mark"), max_bits))
-    classes = first.join(roots, first["mark"] == roots["node"], "left").select(
-        "mark", "first", F.coalesce("root", "mark").alias("root")
-    )
-    classes = written(classes, "marks-classes")
-    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.join(least, "root").select("mark", "component_id")
-    return rows.join(named, "mark").select(
+    return _components(docs, id_col, text_col, shingle, max_bits).select(
         "doc_id",
         F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -169,9 +182,13 @@ def without_near_duplicates(
     shingle: int = 3,
     max_bits: int = 2,
 ) -> DataFrame:
-    """``docs`` with the smallest id of each component, all columns unchanged.  Rows without
-    an id stay; rows that repeat an id leave or stay together."""
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    name = fresh(docs.columns, "_id")
-    dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(name))
-    return drop_ids(docs, written(dropped, "near-dropped"), id_col)
+    """``docs`` with one row of each component, all columns unchanged: the smallest id, null
+    ids last, then the smallest hash of the text, also where rows repeat an id."""
+    rows = _components(docs, id_col, text_col, shingle, max_bits)
+    rows = written(rows.select("root", "doc_id", "raw"), "near-rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw"))
+    firsts = rows.groupBy("root").agg(least.alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = written(firsts.filter("n > 1").select("root", "first"), "near-firsts")
+    kept = F.expr("doc_id <=> first.doc_id AND raw = first.raw")
+    verdicts = rows.join(sized(firsts), "root").select("doc_id", "raw", kept.alias("kept"))
+    return keep_one(docs, written(verdicts, "near-verdicts"), id_col, text_col)

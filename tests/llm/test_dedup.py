@@ -219,3 +219,14 @@ def test_deep_nodes_are_equal_windows():
         assert len({node[i] for i in same}) == 1
         assert (node[same[0]] == -1) == (len(same) == 1)
     assert len({n for n in node if n >= 0}) == sum(len(s) > 1 for s in by.values())
+
+
+def test_one_row_of_each_group_stays_and_no_unique_text_leaves(frame):
+    long = [" ".join(f"{c}{i}" for i in range(300)) for c in "abcd"]
+    a, b, c, d = long
+    docs = [(1, a), (1, a), (2, a), (2, b), (3, c), (3, c), (None, d), (None, d), (4, d + " "), (4, "x"), (4, " x")]
+    for without in (exact_dedup.without_duplicates, simhash.without_near_duplicates):
+        got = without(frame(docs))
+        assert got.columns == frame(docs).columns
+        kept = sorted((str(r.doc_id), r.text.strip()) for r in got.collect())
+        assert kept == [("1", a), ("2", b), ("3", c), ("4", d), ("4", "x")]
