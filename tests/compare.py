@@ -20,6 +20,8 @@ def connect(sf_dir: str):
 
 
 def _plain(value):
+    if value is pd.NA:
+        return None
     if isinstance(value, decimal.Decimal):
         value = float(value)
     if isinstance(value, float) and value != value:
