@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from postlake.llm import (
     exact_dedup,
+    line_dedup,
     mixing,
     packing,
     quality_gate,
     simhash,
+    spelling,
     substrings,
     suffix_sort,
     token_counts,
     token_files,
     toxicity,
+    whitening,
 )
 from postlake.llm.frames import read_table
 from postlake.session import scratch_path
@@ -110,6 +113,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.train(docs, labels))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened(read_table(spark, sf_dir, "embeddings"), count=4)
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(read_table(spark, sf_dir, "documents"), min_points=7, min_count=2, every=31)
+    return spelling.spelling_variants(words, ratio=10)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.digests(line_dedup.without_common_lines(docs, min_points=20, min_docs=3))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_gate": op1_quality_gate,
     "op2_exact_dedup": op2_exact_dedup,
@@ -121,5 +139,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_line_dedup": op13_line_dedup,
     "pipeline": corpus_pipeline.run,
 }

@@ -68,6 +68,72 @@ SELECT doc_id, domain, lang, source, epoch::BIGINT AS epoch, given::BIGINT AS le
 FROM placed WHERE leaf_tokens > 0 AND (before < given OR (epoch + 1) * leaf_tokens <= given)
 """
 
-SQL: dict[str, str] = {"op2_exact_dedup": EXACT_DEDUP, "op3_mix_sources": MIX_SOURCES}
+ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+# A run's characters are below U+0100, so UTF-8 needs two bytes at most.  The hash takes a bit at a
+# time: each byte is followed by seven zeros.
+SPELLING = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, {ALPHABET}) AS run FROM (
+    SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 7),
+hashed AS (
+  SELECT doc_id, run, n, xor(4294967295, list_reduce(
+    flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+      lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c), 0, 0, 0, 0, 0, 0, 0]
+        ELSE [192 + unicode(c) // 64, 0, 0, 0, 0, 0, 0, 0, 128 + unicode(c) % 64, 0, 0, 0, 0, 0, 0, 0] END))::BIGINT[],
+    lambda h, b: xor(xor(h, b) >> 1, 3988292384 * (xor(h, b) & 1)), 4294967295::BIGINT)) AS h
+  FROM (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run)),
+edited AS (
+  SELECT n, CASE WHEN h % 31 = 0
+    THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word
+  FROM hashed),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM edited WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS (
+  SELECT word, n, i, substr(word, 1, i) AS head, substr(word, i + 2) AS tail
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cuts a JOIN cuts b USING (head, tail) WHERE a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON b.word = a.head || a.tail
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON b.word = a.head || a.tail),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, encode(other)) AS form, max(m) AS m
+  FROM near GROUP BY word),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN form END AS form,
+    CASE WHEN m >= 10 * n THEN m END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+ways AS (
+  SELECT word, word AS root, 0 AS steps FROM formed
+  UNION ALL SELECT w.word, f.form, steps + 1 FROM ways w JOIN formed f ON f.word = w.root WHERE f.form IS NOT NULL),
+ends AS (SELECT word, first(root ORDER BY steps DESC) AS root FROM ways GROUP BY word)
+SELECT word, n, n_near, form, form_n, root FROM formed JOIN ends USING (word)
+"""
+
+LINE_DEDUP = rf"""
+WITH lines AS (
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS place
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {ALPHABET}) AS key
+  FROM lines),
+common AS (
+  SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+judged AS (
+  SELECT doc_id, line, place, coalesce(doc_id <> last_doc, false) AS gone
+  FROM keyed LEFT JOIN common USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+SQL: dict[str, str] = {
+    "op2_exact_dedup": EXACT_DEDUP,
+    "op3_mix_sources": MIX_SOURCES,
+    "op12_spelling_variants": SPELLING,
+    "op13_line_dedup": LINE_DEDUP,
+}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import re
 import zlib
 
 import xxhash
@@ -124,3 +125,65 @@ def ids(tokenizer, text):
 
 def crc32(tokens):
     return zlib.crc32(b"".join(t.to_bytes(4, "little") for t in tokens))
+
+
+def line_key(line):
+    bare = line.strip(" \t\n\x0b\x0c\r")
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in bare)
+
+
+def line_dedup(docs, min_points=20, min_docs=3):
+    """docs: (doc_id, text); rows doc_id, n_lines, n_dropped, sha256."""
+    holders = collections.defaultdict(set)
+    for d, t in docs:
+        for line in (t or "").split("\n"):
+            holders[line_key(line)].add((d is not None, d))
+    out = []
+    for d, t in docs:
+        lines = (t or "").split("\n")
+        kept = []
+        for line in lines:
+            key = line_key(line)
+            common = len(key) >= min_points and len(holders[key]) >= min_docs
+            if not common or max(holders[key]) == (d is not None, d):
+                kept.append(line)
+        out.append((d, len(lines), len(lines) - len(kept), sha("\n".join(kept).encode())))
+    return sorted(out, key=repr)
+
+
+def word_counts(docs):
+    n = collections.Counter()
+    for d, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += 1
+    return {w: k for w, k in n.items() if len(w) >= 7 and k >= 2}
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    if abs(len(a) - len(b)) != 1:
+        return False
+    short, long = sorted((a, b), key=len)
+    return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def spelling_variants(n, ratio=10):
+    """n: counts by word; rows word, n, n_near, form, form_n, root."""
+    near = {w: [v for v in n if one_edit(v, w)] for w in n}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        if best is not None and n[best] >= ratio * n[w]:
+            form[w] = best
+    out = []
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, n[w], len(near[w]), form.get(w), n.get(form.get(w)), root))
+    return sorted(out, key=repr)
