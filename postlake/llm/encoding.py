@@ -13,10 +13,36 @@ import json
 import os
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import regex
 
+
+class Cache(dict):
+    """What ``make`` returns for a key, for at most ``size`` keys.
+
+    When half of them are new, the older half goes, but for what is met again meanwhile; so
+    frequent keys stay however many others pass.
+    """
+
+    def __init__(self, make: Callable[[str], object], size: int):
+        self.make, self.half, self.older = make, size // 2, {}
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class Unsplit(Exception):
+    """A text's words cannot be looked up one by one."""
+
+
 #: Cuts a text into pre-tokens; `\s` is spelt out as Unicode's White_Space, as the library has it.
 PRE_TOKEN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -24,8 +50,8 @@ PRE_TOKEN = regex.compile(
 )
 #: Beyond these the classes of letters and numbers may differ between Unicode versions.
 UNSURE = regex.compile(r"[^\u0000-ɏ‐-‧‰-⁞₠-₿]")
-#: Words and pre-tokens kept per worker; the caches are emptied when they reach it.
-CACHE = 400_000
+#: Words kept per worker, and pre-tokens kept besides.
+CACHE, PRE_TOKENS = 700_000, 60_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -66,8 +92,8 @@ class Encoder:
         )
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.pre_tokens: dict[str, bytes] = {}
+        self.words = Cache(self._word, CACHE)
+        self.pre_tokens = Cache(self.pre_token, PRE_TOKENS)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """The library's own ids of ``texts``, as little-endian unsigned 32-bit integers."""
@@ -75,35 +101,40 @@ class Encoder:
         return [_packed(e.ids) for e in found]
 
     def pre_token(self, piece: str) -> bytes:
-        """Ids of one pre-token: kept, or from the library's model."""
-        ids = self.pre_tokens.get(piece)
-        if ids is None:
-            if piece.isascii():
-                written = piece.translate(self.letters)
-            else:
-                written = piece.encode().decode("latin-1").translate(self.letters)
-            ids = _packed([t.id for t in self.library.model.tokenize(written)])
-            if len(self.pre_tokens) >= CACHE:
-                self.pre_tokens.clear()
-            self.pre_tokens[piece] = ids
-        return ids
+        """Ids of one pre-token, from the library's model."""
+        if piece.isascii():
+            letters = piece.translate(self.letters)
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+        return _packed([t.id for t in self.library.model.tokenize(letters)])
+
+    def cuttable(self, text: str) -> bool:
+        """Whether ``PRE_TOKEN`` cuts ``text`` as the library does."""
+        return (
+            self.cuts
+            and (text.isascii() or not UNSURE.search(text))
+            and not any(s in text for s in self.special)
+        )
 
     def _joined(self, text: str) -> bytes:
         """Ids of a text without special tokens, through its pre-tokens."""
         if not text.isascii() and UNSURE.search(text):
             return self.whole([text])[0]
-        return b"".join(map(self.pre_token, PRE_TOKEN.findall(text)))
+        return b"".join(map(self.pre_tokens.__getitem__, PRE_TOKEN.findall(text)))
 
     def _word(self, word: str) -> bytes:
         """Ids of a word with the space before it, or of a line end with the word after it."""
-        if word[0] == "\n":
-            return self._joined(word)
-        if word.isascii() or not UNSURE.search(word):
-            if word.isalpha():
-                return self.pre_token(" " + word)
-            if word[-1] in ".,;:!?" and word[:-1].isalpha():
-                return self.pre_token(" " + word[:-1]) + self.pre_token(word[-1])
-        return self._joined(" " + word)
+        if word[:1] == "\n":
+            if word == "\n" or word[1:].split() == [word[1:]]:
+                return self._joined(word)
+        elif word.split() == [word]:
+            if word.isascii() or not UNSURE.search(word):
+                if word.isalpha():
+                    return self.pre_token(" " + word)
+                if word[-1] in ".,;:!?" and word[:-1].isalpha():
+                    return self.words[word[:-1]] + self.pre_tokens[word[-1]]
+            return self._joined(" " + word)
+        raise Unsplit
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers; null counts as empty.
@@ -116,25 +147,19 @@ class Encoder:
             return b""
         if not self.cuts or any(s in text for s in self.special):
             return self.whole([text])[0]
-        words = text.replace("\n", " \n").split(" ")
-        kept = self.words
-        if len(kept) + len(words) > CACHE:
-            kept.clear()
-        first = words[0]
-        fresh = set(words).difference(kept)
-        plain = first.split() == [first] and "\n\n" not in text
-        for word in fresh:
-            bare = word[1:] if word[:1] == "\n" else word
-            plain = plain and (bare.split() == [bare] or word == "\n")
-        if not plain:
+        try:
+            first, rest = split_words(text)
+            return self._joined(first) + b"".join(map(self.words.__getitem__, rest))
+        except Unsplit:
             return self._joined(text)
-        for word in fresh:
-            kept[word] = self._word(word)
-        words[0] = ""
-        kept[""] = self._joined(first)
-        out = b"".join(map(kept.__getitem__, words))
-        del kept[""]
-        return out
+
+
+def split_words(text: str) -> tuple[str, list[str]]:
+    """The first word of a text and the others; a line end goes with the word after it."""
+    words = text.replace("\n", " \n").split(" ")
+    if words[0].split() != [words[0]] or "\n\n" in text:
+        raise Unsplit
+    return words[0], words[1:]
 
 
 @functools.lru_cache(maxsize=4)
