@@ -92,6 +92,8 @@ class Encoder:
         )
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.letters = _byte_letters()
+        self.space = self.letters[32]
+        self.packed = [_packed([k]) for k in range(max(self.library.get_vocab().values(), default=0) + 1)]
         self.words = Cache(self._word, CACHE)
         self.pre_tokens = Cache(self.pre_token, PRE_TOKENS)
 
@@ -106,7 +108,12 @@ class Encoder:
             letters = piece.translate(self.letters)
         else:
             letters = piece.encode().decode("latin-1").translate(self.letters)
-        return _packed([t.id for t in self.library.model.tokenize(letters)])
+        return self._merged(letters)
+
+    def _merged(self, letters: str) -> bytes:
+        """Ids of one pre-token that is written in the vocabulary's letters."""
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.library.model.tokenize(letters)])
 
     def cuttable(self, text: str) -> bool:
         """Whether ``PRE_TOKEN`` cuts ``text`` as the library does."""
@@ -124,6 +131,8 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of a word with the space before it, or of a line end with the word after it."""
+        if word.isascii() and word.isalpha():  # letters that stand for themselves
+            return self._merged(self.space + word)
         if word[:1] == "\n":
             if word == "\n" or word[1:].split() == [word[1:]]:
                 return self._joined(word)
