@@ -1,13 +1,16 @@
 """Published versions of the address table.
 
-A store is a folder: ``versions/data_version=<id>`` holds one immutable copy of the table
-per publish, ``audits`` one row per run.  Writing the audit row is the commit: a version
-folder without a successful audit row is not seen by anyone.  Rows and lines that a publish
-refuses are kept in ``quarantine/data_version=<id>``.  One writer at a time.
+A version is a list of immutable files, each with the range of its zips (``plans/store.py``).
+Publishing rewrites only files that hold a row that is inserted, deleted or changed; the others
+are listed again.  That all rows of a listed file were in the feed is a time in the list, so
+nothing is rewritten for it.  The numbered commit that a run adds is its audit row: of several
+writers that start from one version, one succeeds.  Rows and lines that a publish refuses are
+kept in ``quarantine/data_version=<id>``.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
 from typing import TypeVar
@@ -19,6 +22,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from postlake import schema as S
+from postlake.operators.skew import BROADCAST_ROWS, fits
+from postlake.plans import store as files
 from postlake.session import discard, empty, materialise
 
 _T = TypeVar("_T")
@@ -29,10 +34,6 @@ def version_id(ts: datetime, prefix: str = "v") -> str:
     return f"{prefix}{ts:%Y%m%d%H%M%S}{ts.microsecond // 1000:03d}"
 
 
-def _version_path(store: str, version: str) -> str:
-    return f"{store}/versions/data_version={version}"
-
-
 def _utc(ts: datetime) -> datetime:
     return ts.astimezone(UTC) if ts.tzinfo else ts.replace(tzinfo=UTC)
 
@@ -40,32 +41,44 @@ def _utc(ts: datetime) -> datetime:
 # ---- the upsert itself ---------------------------------------------------------------
 
 
+def null_safe(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Whether columns are pairwise equal, nulls counting as equal."""
+    same = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        same = same & F.col(a).eqNullSafe(F.col(b))
+    return same
+
+
 def apply_feed(
     prior: DataFrame,
     feed: DataFrame,
     batch: Column,
     keys: Sequence[str] = S.ADDRESS_KEY,
     update_columns: Sequence[str] | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Upsert ``feed`` into ``prior`` and mark rows the feed no longer has.
 
-    One full outer join on the key, unique on both sides.  ``op`` is ``inserted``,
-    ``updated`` (in both, changed or not), ``deleted`` (only in prior, touched before the
-    batch) or ``kept``; ``changed`` tells whether a payload value really differs.
-    ``update_columns`` limits which payload columns an update replaces.
+    One full outer join on the key, unique on both sides; null parts of a key are equal.
+    ``op`` is ``inserted``, ``updated`` (in both, changed or not), ``deleted`` (only in prior,
+    touched before the batch) or ``kept``; ``changed`` tells whether a payload value really
+    differs.  ``update_columns`` limits which payload columns an update replaces, ``carry``
+    names columns of ``prior`` to keep.
     """
     keys = list(keys)
     payload = [c for c in feed.columns if c not in keys]
     replaced = set(payload if update_columns is None else update_columns)
+    old = [f"_p_{c}" for c in keys]
+    fed_keys = [f"_f_{c}" for c in keys]
     both = prior.select(
-        *keys,
-        *[F.col(c).alias(f"_p_{c}") for c in payload],
+        *[F.col(c).alias(f"_p_{c}") for c in (*keys, *payload)],
         F.col("created_at").alias("_created"),
         F.col("updated_at").alias("_updated"),
         F.lit(True).alias("_in_prior"),
+        *carry,
     ).join(
-        feed.select(*keys, *[F.col(c).alias(f"_f_{c}") for c in payload], F.lit(True).alias("_in_feed")),
-        keys,
+        feed.select(*[F.col(c).alias(f"_f_{c}") for c in (*keys, *payload)], F.lit(True).alias("_in_feed")),
+        null_safe(old, fed_keys),
         "full",
     )
     new, fed = F.col("_in_prior").isNull(), F.col("_in_feed").isNotNull()
@@ -83,12 +96,13 @@ def apply_feed(
     for c, value in values.items():
         differs = differs | ~value.eqNullSafe(F.col(f"_p_{c}"))
     return both.select(
-        *keys,
+        *[F.coalesce(f"_p_{c}", f"_f_{c}").alias(c) for c in keys],
         *[v.alias(c) for c, v in values.items()],
         F.when(new, batch).otherwise(F.col("_created")).alias("created_at"),
         F.when(fed, batch).otherwise(F.col("_updated")).alias("updated_at"),
         op.alias("op"),
         (~new & fed & differs).alias("changed"),
+        *carry,
     )
 
 
@@ -122,19 +136,22 @@ def table_counts(table: DataFrame, batch: Column) -> DataFrame:
 
 
 def audits(spark: SparkSession, store: str) -> DataFrame:
-    """The run history; small, one row per run."""
+    """The run history; small, one row per run.  Commits succeeded, the others failed."""
+    done = files.commits(spark, store).drop("commit")
     try:
-        return spark.read.schema(S.AUDIT).parquet(f"{store}/audits")
+        return done.unionByName(spark.read.schema(S.AUDIT).parquet(f"{store}/failures/*"))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return empty(spark, S.AUDIT)
+        return done
 
 
-def _live_audit(spark: SparkSession, store: str) -> Row | None:
-    live = audits(spark, store).filter(F.col("status").isin(*_LIVE))
-    live = live.withColumn("batch_seconds", F.unix_seconds("batch_timestamp"))
-    return live.orderBy(F.desc("created_at"), F.desc("data_version")).first()
+def _live_audit(spark: SparkSession, store: str, number: int | None = None) -> Row | None:
+    """The last commit, or the one with ``number`` (0: none, before the first)."""
+    rows = files.commits(spark, store)
+    if number is not None:
+        rows = rows.filter(F.col("commit") <= number)
+    return rows.orderBy(F.desc("commit")).first()
 
 
 def current_version(spark: SparkSession, store: str) -> str | None:
@@ -143,7 +160,7 @@ def current_version(spark: SparkSession, store: str) -> str | None:
 
 
 def read_version(spark: SparkSession, store: str, version: str) -> DataFrame:
-    return spark.read.schema(S.ADDRESS_VERSIONED).parquet(_version_path(store, version))
+    return files.read(spark, store, files.listed(spark, store, version))
 
 
 def current(spark: SparkSession, store: str) -> DataFrame:
@@ -167,32 +184,40 @@ def quarantine(spark: SparkSession, store: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, store: str) -> DataFrame:
-    """All published versions as one table; a filter on ``data_version`` prunes folders."""
-    fields = [*S.ADDRESS_VERSIONED.fields, T.StructField("data_version", T.StringType())]
-    rows = spark.read.schema(T.StructType(fields)).parquet(f"{store}/versions")
-    good = audits(spark, store).filter("status = 'success'").select("data_version")
-    return rows.join(F.broadcast(good), "data_version", "left_semi")
+    """All published versions as one table with ``data_version``.  Each file is read once,
+    however many versions list it."""
+    good = files.commits(spark, store).filter("status = 'success'").select("data_version")
+    lists = files.all_listed(spark, store).join(good, "data_version", "left_semi")
+    rows = files.with_file(spark.read.schema(S.ADDRESS_VERSIONED).parquet(f"{store}/data/*"))
+    if fits(lists):
+        lists = F.broadcast(lists)
+    found = rows.join(lists, rows["_file"] == lists["path"])
+    return found.select(*files.touched(S.ADDRESS_VERSIONED.fieldNames()), "data_version")
 
 
 # ---- writing the store ---------------------------------------------------------------
 
 
-def _append_audit(spark: SparkSession, store: str, **values: object) -> Row:
+def _audit(**values: object) -> Row:
     now = datetime.now(UTC)
+    counts = ("records_in_feed", "inserted_count", "updated_count", "deleted_count", "total_count")
     row = {
-        **dict.fromkeys(
-            ("records_in_feed", "inserted_count", "updated_count", "deleted_count", "total_count"),
-            0,
-        ),
+        **dict.fromkeys(counts, 0),
         "content_version": None,
         "error_message": None,
         "run_finished_at": now,
         "created_at": now,
         **values,
     }
-    record = Row(**{name: row[name] for name in S.AUDIT.fieldNames()})
+    return Row(**{name: row[name] for name in S.AUDIT.fieldNames()})
+
+
+def _failed(spark: SparkSession, store: str, **values: object) -> Row:
+    record = _audit(**values, status="failed")
     values_of = [F.lit(record[f.name]).cast(f.dataType).alias(f.name) for f in S.AUDIT.fields]
-    spark.range(0, 1, 1, 1).select(*values_of).write.mode("append").parquet(f"{store}/audits")
+    # a folder each: runs may fail at the same time
+    row = spark.range(0, 1, 1, 1).select(*values_of)
+    row.write.mode("overwrite").parquet(f"{store}/failures/{record.data_version}")
     return record
 
 
@@ -207,27 +232,30 @@ def _stage(name: str, work: Callable[[], _T]) -> _T:
         raise StageError(f"{name}: {e}") from e
 
 
-def _sorted_files(table: DataFrame) -> DataFrame:
-    """Range files by the whole key (a crowded zip spans files), sorted so that zip
-    lookups skip row groups."""
-    return table.repartitionByRange(*S.ADDRESS_KEY).sortWithinPartitions("zip_code", "town")
-
-
-def first_per_key(rows: DataFrame, keys: Sequence[str] = S.ADDRESS_KEY) -> tuple[DataFrame, DataFrame]:
+def first_per_key(
+    rows: DataFrame, keys: Sequence[str] = S.ADDRESS_KEY
+) -> tuple[DataFrame, DataFrame | None]:
     """(the row of each key with the smallest other values, all other rows with the number
-    of times ``rows`` they occur).  Equal rows are counted before the shuffle."""
+    of times ``rows`` they occur, None without any).  The first is written; rows that repeat
+    no key are shuffled once, and equal rows are counted before the shuffle."""
     keys = list(keys)
     payload = F.struct(*[c for c in rows.columns if c not in keys])
-    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
     per_key = rows.groupBy(*keys).agg(F.min(payload).alias("_first"), F.count(F.lit(1)).alias("_all"))
+    per_key = materialise(per_key, "publish-keys")
     unique = per_key.select(*keys, "_first.*").select(*rows.columns)
+    unique.scratch = per_key.scratch
     repeated = per_key.filter("_all > 1").select(*[F.col(c).alias(f"_k_{c}") for c in keys], "_first")
-    same = F.lit(True)
-    for c in keys:
-        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    number = repeated.count()
+    if not number:
+        return unique, None
+    if number <= BROADCAST_ROWS:
+        repeated = F.broadcast(repeated)
+    again = rows.join(repeated, null_safe(keys, [f"_k_{c}" for c in keys]))
+    others = again.groupBy(*rows.columns).agg(
+        F.count(F.lit(1)).alias("_n"), F.first("_first").alias("_first")
+    )
     beyond = F.col("_n") - payload.eqNullSafe(F.col("_first")).cast("long")
-    others = counted.join(repeated, same).withColumn("rows", beyond).filter("rows > 0")
-    return unique, others.select(*rows.columns, "rows")
+    return unique, others.withColumn("rows", beyond).filter("rows > 0").select(*rows.columns, "rows")
 
 
 def _quarantined(rows: DataFrame, lines: DataFrame | None) -> DataFrame:
@@ -246,6 +274,22 @@ def _quarantined(rows: DataFrame, lines: DataFrame | None) -> DataFrame:
     return found.unionByName(form(lines, kind=F.lit("line"), broken_rules=rules, rows=F.lit(1)))
 
 
+def _rewritten(prior: DataFrame, delta: DataFrame, seen: Column) -> DataFrame:
+    """The rows of touched files after ``delta``: rows without one were seen at ``seen``."""
+    names = S.ADDRESS_VERSIONED.fieldNames()
+    news = delta.filter("op <> 'inserted'").select(*[F.col(c).alias(f"_d_{c}") for c in names], "op")
+    both = prior.join(news, null_safe(S.ADDRESS_KEY, [f"_d_{c}" for c in S.ADDRESS_KEY]), "left")
+    still = both.filter(F.coalesce(F.col("op") != "deleted", F.lit(True))).select(
+        *[
+            F.when(F.col("op").isNotNull(), F.col(f"_d_{c}"))
+            .otherwise(seen if c == "updated_at" else F.col(c))
+            .alias(c)
+            for c in names
+        ]
+    )
+    return still.unionByName(delta.filter("op = 'inserted'").select(*names))
+
+
 def publish(
     spark: SparkSession,
     store: str,
@@ -256,6 +300,9 @@ def publish(
     rejected_lines: DataFrame | None = None,
     rules: Sequence[str] | None = None,
     max_deleted_ratio: float | None = None,
+    partial: bool = False,
+    file_rows: int = files.FILE_ROWS,
+    follows: int | None = None,
 ) -> Row:
     """Publish ``feed`` as the next version; returns its audit row.
 
@@ -264,9 +311,15 @@ def publish(
     first by their values go to the quarantine of this version, beside the ``rejected_lines``
     (``feed_file``, ``line``) of the reader.
 
+    The feed is the whole table, and rows it lacks are deleted; or (``partial``) it holds the
+    rows to insert or update alone, and files whose range has none of its zips are not read.
+    Files get about ``file_rows`` rows.  ``follows`` is the number of the commit that the feed
+    was made from, if not the last one.
+
     Repeating a published batch changes nothing.  A failure is recorded as a ``failed`` audit
-    row and leaves the current version as it was; so is a feed of which nothing is left, and
-    one that deletes more than ``max_deleted_ratio`` of the table.
+    row and leaves the current version and its files as they were; so is a feed of which
+    nothing is left, one that deletes more than ``max_deleted_ratio`` of the table, and a run
+    during which another one was published.
     """
     batch_ts = _utc(batch_ts)
     version, started = version_id(batch_ts), datetime.now(UTC)
@@ -275,8 +328,7 @@ def publish(
         return done
     if done is not None:
         raise ValueError(f"version {version} was tried before and failed; use a new batch time")
-    live = _live_audit(spark, store)
-    prior = current(spark, store)
+    live = _live_audit(spark, store, follows)
     second = batch_ts.replace(microsecond=0)
     batch = F.lit(second)
     run = {
@@ -285,62 +337,95 @@ def publish(
         "run_started_at": started,
         "batch_timestamp": second,
     }
-    checked: list[DataFrame] = []
+    scratch: list[DataFrame] = []
 
     def check() -> DataFrame:
         # read by the quarantine and by the table, which must see the same rows
         marked = feed.select(*S.ADDRESS_COLUMNS).withColumn("broken_rules", _broken(rules))
-        checked.append(materialise(marked, "publish-feed"))
-        good = checked[0].filter(F.size("broken_rules") == 0).drop("broken_rules")
-        bad = checked[0].filter(F.size("broken_rules") > 0)
-        bad = bad.groupBy(*bad.columns).agg(F.count(F.lit(1)).alias("rows"))
+        scratch.append(materialise(marked, "publish-feed"))
+        good = scratch[0].filter(F.size("broken_rules") == 0).drop("broken_rules")
+        bad = scratch[0].filter(F.size("broken_rules") > 0)
         unique, repeated = first_per_key(good)
-        repeated = repeated.withColumn("broken_rules", F.array(F.lit("duplicate_key")))
-        refused = _quarantined(bad.unionByName(repeated), rejected_lines)
-        refused.write.mode("overwrite").parquet(f"{store}/quarantine/data_version={version}")
+        scratch.append(unique)
+        some = not bad.isEmpty()
+        if some or repeated is not None or rejected_lines is not None:
+            bad = bad.groupBy(*bad.columns).agg(F.count(F.lit(1)).alias("rows"))
+            if repeated is not None:
+                bad = bad.unionByName(repeated.withColumn("broken_rules", F.array(F.lit("duplicate_key"))))
+            refused = _quarantined(bad, rejected_lines)
+            refused.write.mode("overwrite").parquet(f"{store}/quarantine/data_version={version}")
         return unique
 
-    def write(fed: DataFrame) -> None:
-        rows = apply_feed(prior, fed, batch, update_columns=update_columns).filter("op <> 'deleted'")
-        _sorted_files(rows.select(*S.ADDRESS_VERSIONED.fieldNames())).write.mode(
-            "overwrite"
-        ).parquet(_version_path(store, version))
-
-    def count(fed: DataFrame) -> dict[str, int]:
-        seen = table_counts(read_version(spark, store, version), batch).first()
-        before = live.total_count if live else 0
-        records, deleted = seen.touched_count, before - seen.older_count
-        if live and live.batch_seconds >= second.timestamp():
-            # Rows of the version before carry this batch's time too: ask the feed.
-            gone = prior.filter(F.col("updated_at") < batch)
-            records = fed.count()
-            deleted = gone.join(fed, S.ADDRESS_KEY, "left_anti").count()
-        if deleted < 0:
-            raise ValueError(f"{-deleted} rows more than before are called old")
-        refused = quarantine(spark, store).filter(F.col("data_version") == version)
-        if records == 0 and not refused.isEmpty():
+    def compare(fed: DataFrame, listed: list[Row]) -> DataFrame:
+        """The rows that differ from the version before, with the file that has them."""
+        if not listed:
+            return fed.select(
+                *S.ADDRESS_COLUMNS,
+                batch.alias("created_at"),
+                batch.alias("updated_at"),
+                F.lit("inserted").alias("op"),
+                F.lit(None).cast("string").alias("_file"),
+            )
+        at = listed
+        if partial:
+            held = files.covering(spark, listed, fed.select("zip_code"))
+            at = [f for f in listed if f.path in held]
+        prior = files.read(spark, store, at, with_files=True)
+        rows = apply_feed(prior, fed, batch, update_columns=update_columns, carry=["_file"])
+        wanted = F.col("op").isin("inserted", "updated") if partial else (F.col("op") != "updated") | F.col("changed")
+        scratch.append(materialise(rows.filter(wanted), "publish-delta"))
+        return scratch[-1]
+
+    def count(found: list[Row], listed: list[Row]) -> dict[str, int]:
+        ops: Counter[str] = Counter()
+        for r in found:
+            ops[r.op] += r.rows
+        before = sum(f.rows for f in listed)
+        updated = ops["updated"] if partial else before - ops["deleted"] - ops["kept"]
+        if ops["inserted"] + updated == 0 and not quarantine(spark, store).filter(
+            F.col("data_version") == version
+        ).isEmpty():
             raise ValueError("nothing of the feed could be used; see the quarantine")
-        if max_deleted_ratio is not None and deleted > max_deleted_ratio * before:
-            raise ValueError(f"the feed lacks {deleted} of {before} rows")
+        if max_deleted_ratio is not None and ops["deleted"] > max_deleted_ratio * before:
+            raise ValueError(f"the feed lacks {ops['deleted']} of {before} rows")
         return {
-            "records_in_feed": records,
-            "inserted_count": seen.inserted_count,
-            "updated_count": seen.updated_count,
-            "deleted_count": deleted,
-            "total_count": seen.total_count,
+            "records_in_feed": ops["inserted"] + updated,
+            "inserted_count": ops["inserted"],
+            "updated_count": updated,
+            "deleted_count": ops["deleted"],
+            "total_count": before - ops["deleted"] + ops["inserted"],
         }
 
+    def write(delta: DataFrame, found: list[Row], listed: list[Row]) -> None:
+        inserted = sum(r.rows for r in found if r.op == "inserted")
+        hit = {r._file for r in found}
+        if inserted:
+            hit |= files.covering(spark, listed, delta.filter("op = 'inserted'").select("zip_code"))
+        old = [f for f in listed if f.path in hit]
+        same = [f for f in listed if f.path not in hit]
+        rows = delta
+        if old:
+            rows = _rewritten(files.read(spark, store, old), delta, F.col("updated_at") if partial else batch)
+        size = sum(f.rows for f in old) + inserted
+        files.write(spark, store, version, rows, size, same, None if partial else second, file_rows)
+
     try:
         fed = _stage("bulk_insert", check)
-        _stage("bulk_insert", lambda: write(fed))
-        counts = _stage("compute_diff_counts", lambda: count(fed))
+        listed = files.listed(spark, store, live.content_version) if live else []
+        delta = _stage("bulk_insert", lambda: compare(fed, listed))
+        per_file = delta.groupBy("_file", "op").agg(F.count(F.lit(1)).alias("rows"))
+        found = _stage("compute_diff_counts", per_file.collect)
+        counts = _stage("compute_diff_counts", lambda: count(found, listed))
+        _stage("bulk_insert", lambda: write(delta, found, listed))
+        record = _audit(**run, **counts, content_version=version, status="success")
+        if not files.commit(spark, store, (live.commit if live else 0) + 1, record):
+            raise StageError("commit: another run was published meanwhile")
     except StageError as e:
-        return _append_audit(spark, store, **run, status="failed", error_message=str(e))
+        files.forget(spark, store, version)
+        return _failed(spark, store, **run, error_message=str(e))
     finally:
-        discard(*checked)
-    return _append_audit(
-        spark, store, **run, **counts, content_version=version, status="success"
-    )
+        discard(*scratch)
+    return record
 
 
 def rollback(
@@ -352,12 +437,12 @@ def rollback(
     published = audits(spark, store).filter(
         (F.col("data_version") == target) & (F.col("status") == "success")
     )
-    restored = 0 if published.first() is None else read_version(spark, store, target).count()
+    restored = 0
+    if published.first() is not None:
+        restored = sum(f.rows for f in files.listed(spark, store, target))
     if restored == 0:
         raise ValueError(f"no rows found for version {target}")
-    return _append_audit(
-        spark,
-        store,
+    record = _audit(
         data_version=version_id(now, "rv"),
         content_version=target,
         source_url=f"rollback_cli:{target}",
@@ -369,6 +454,9 @@ def rollback(
         total_count=restored,
         status="rollback",
     )
+    while not files.commit(spark, store, _live_audit(spark, store).commit + 1, record):
+        pass  # another run was faster; a rollback does not depend on it
+    return record
 
 
 # ---- comparing versions --------------------------------------------------------------
@@ -384,10 +472,14 @@ def diff_versions(
 
     def side(df: DataFrame, p: str) -> DataFrame:
         return df.select(
-            *keys, *[F.col(c).alias(f"{p}_{c}") for c in payload], F.lit(True).alias(f"_{p}")
+            *[F.col(c).alias(f"_{p}_{c}") for c in keys],
+            *[F.col(c).alias(f"{p}_{c}") for c in payload],
+            F.lit(True).alias(f"_{p}"),
         )
 
-    both = side(old, "old").join(side(new, "new"), list(keys), "full")
+    same = null_safe([f"_old_{c}" for c in keys], [f"_new_{c}" for c in keys])
+    both = side(old, "old").join(side(new, "new"), same, "full")
+    both = both.withColumns({c: F.coalesce(f"_old_{c}", f"_new_{c}") for c in keys})
     changed = F.filter(
         F.array(
             *[

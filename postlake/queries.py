@@ -18,6 +18,7 @@ from postlake.plans import reports
 from postlake.plans import tables as t
 from postlake.plans import versions as V
 from postlake.plans.clean import prepare_feed
+from postlake.plans.store import all_listed, commits
 from postlake.session import SETTINGS, scratch_path
 from postlake.sources import export
 from postlake.sources.feed import prefecture_dimension, read_feed
@@ -294,6 +295,26 @@ def feed_files_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(prepare_feed(records, prefecture_dimension(spark)))
 
 
+@query
+def joined_parts_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed in parts whose names hold a year, an encoding and the part's number, the last of
+    which gains a digit; runs of split rows cross from part to part."""
+    path = scratch_path(spark, "feed-parts")
+    order = ["zip_code", "o_orderkey"]
+    lines = t.feed_lines(spark, sf_dir).repartitionByRange(4, *order).sortWithinPartitions(*order)
+    lines.select("line").write.text(path)
+    parts = []
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    written = sorted(f.getPath().getName() for f in system.listStatus(folder))
+    for k, name in enumerate(n for n in written if n.startswith("part-")):
+        parts.append(f"{path}/utf8_2025_part-{99_998 + k}.csv")
+        system.rename(fs.Path(folder, name), fs.Path(parts[-1]))
+    records, _ = read_feed(spark, parts, encoding="utf-8", joined=True)
+    return _shown(prepare_feed(records, prefecture_dimension(spark)))
+
+
 @query
 def feed_merge_before_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same feed with split towns joined before their parentheses are stripped."""
@@ -411,6 +432,95 @@ def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("data_version").agg(F.count("zip_code").alias("rows"))
 
 
+@query
+def republish_null_towns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same feed twice, some towns null: the second run updates all rows and deletes none."""
+    rows = addr(spark, sf_dir).withColumn("town", F.when(~F.col("city").like("%7"), F.col("town")))
+    rows = rows.dropDuplicates(S.ADDRESS_KEY)
+    store = scratch_path(spark, "store")
+    for batch, name in ((FIRST_BATCH, "first"), (SECOND_BATCH, "second")):
+        V.publish(spark, store, rows, batch, name)
+    counted = V.audits(spark, store).select(
+        F.col("source_url").alias("run"), "inserted_count", "updated_count", "deleted_count", "total_count"
+    )
+    held = V.current(spark, store).filter("created_at < updated_at").agg(
+        F.lit("rows kept").alias("run"),
+        *[F.lit(0).cast("long").alias(f"{c}_count") for c in ("inserted", "updated", "deleted")],
+        F.count(F.lit(1)).alias("total_count"),
+    )
+    return counted.unionByName(held)
+
+
+def _changed_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All addresses, those of the lowest zips (one in a hundred) with another city id."""
+    rows = addr(spark, sf_dir)
+    few = F.col("zip_code").cast("long") * 3 < rows.count() // 100
+    return rows.withColumn("city_id", F.when(few, "99999").otherwise(F.col("city_id")))
+
+
+def _small_change(spark: SparkSession, sf_dir: str, partial: bool) -> str:
+    """A store with two versions in files of about a fiftieth of the rows."""
+    store, rows = scratch_path(spark, "store"), addr(spark, sf_dir)
+    size = -(-rows.count() // 50)
+    V.publish(spark, store, rows, FIRST_BATCH, "first", file_rows=size)
+    news = _changed_addresses(spark, sf_dir)
+    if partial:
+        news = news.filter("city_id = '99999'")
+    V.publish(spark, store, news, SECOND_BATCH, "second", partial=partial, file_rows=size)
+    return store
+
+
+@query
+def publish_small_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after a feed that changes one row in a hundred."""
+    return _store_rows(V.current(spark, _small_change(spark, sf_dir, partial=False)))
+
+
+@query
+def publish_partial_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after a feed of the changed rows alone."""
+    return _store_rows(V.current(spark, _small_change(spark, sf_dir, partial=True)))
+
+
+@query
+def publish_rewrites_little(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of both publishes, whether the second rewrote at most one row in twenty, and the rows of
+    the version before, which stays as it was."""
+    out = []
+    for partial in (False, True):
+        store = _small_change(spark, sf_dir, partial)
+        first, second = V.version_id(FIRST_BATCH), V.version_id(SECOND_BATCH)
+        lists = all_listed(spark, store)
+        new = F.col("path").contains(second)
+        rows = lists.filter(F.col("data_version") == second).agg(
+            (F.sum(F.when(new, F.col("rows")).otherwise(0)) * 20 <= F.sum("rows")).alias("little"),
+            F.sum("rows").alias("rows"),
+        )
+        before = V.read_version(spark, store, first).filter("city_id = '99999'")
+        rows = rows.crossJoin(before.agg(F.count(F.lit(1)).alias("changed_before")))
+        out.append(rows.select(F.lit(partial).alias("partial"), "*"))
+    return out[0].unionByName(out[1])
+
+
+@query
+def publish_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs that follow one version: the commit number of the first is taken for the other."""
+    store, rows = _published(spark, sf_dir), addr(spark, sf_dir)
+    last = commits(spark, store).agg(F.max("commit")).first()[0]
+    for day in (3, 4):
+        V.publish(spark, store, rows, SECOND_BATCH.replace(day=day), f"day {day}", follows=last)
+    runs = V.audits(spark, store).select(
+        F.col("source_url").alias("run"), "status", F.coalesce("error_message", F.lit("")).alias("error"), "total_count"
+    )
+    held = V.current(spark, store).agg(
+        F.lit("current").alias("run"),
+        F.lit("").alias("status"),
+        F.lit("").alias("error"),
+        F.count(F.lit(1)).alias("total_count"),
+    )
+    return runs.unionByName(held)
+
+
 @query
 def run_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.drift(t.order_runs(spark, sf_dir), 0.2)

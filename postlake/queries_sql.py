@@ -212,6 +212,27 @@ FULL JOIN (SELECT prefecture_id, count(*) AS n FROM next_addr GROUP BY 1) USING
 SQL["publish_current"] = f"{_UPSERT} SELECT {_STORED} FROM applied WHERE op <> 'deleted'"
 SQL["rollback_view"] = f"""WITH {t.ADDR_SQL}
 SELECT {_ADDRESS}, {_T1} AS created_at, {_T1} AS updated_at FROM addr"""
+SQL["republish_null_towns"] = f"""WITH {t.ADDR_SQL},
+n AS (SELECT count(*) AS c FROM (SELECT DISTINCT zip_code, prefecture_id, city,
+  CASE WHEN city NOT LIKE '%7' THEN town END AS town FROM addr))
+SELECT 'first' AS run, c AS inserted_count, 0 AS updated_count, 0 AS deleted_count, c AS total_count FROM n
+UNION ALL SELECT 'second', 0, c, 0, c FROM n UNION ALL SELECT 'rows kept', 0, 0, 0, c FROM n"""
+_FEW = "zip_code::BIGINT * 3 < (SELECT count(*) FROM addr) // 100"
+SQL["publish_small_change"] = f"""WITH {t.ADDR_SQL}
+SELECT * REPLACE (CASE WHEN {_FEW} THEN '99999' ELSE city_id END AS city_id),
+       {_T1} AS created_at, {_T2} AS updated_at FROM (SELECT {_ADDRESS} FROM addr)"""
+SQL["publish_partial_feed"] = f"""WITH {t.ADDR_SQL}
+SELECT * REPLACE (CASE WHEN {_FEW} THEN '99999' ELSE city_id END AS city_id), {_T1} AS created_at,
+       CASE WHEN {_FEW} THEN {_T2} ELSE {_T1} END AS updated_at FROM (SELECT {_ADDRESS} FROM addr)"""
+SQL["publish_rewrites_little"] = f"""WITH {t.ADDR_SQL}
+SELECT partial, true AS little, (SELECT count(*) FROM addr) AS rows, 0 AS changed_before
+FROM (VALUES (false), (true)) v(partial)"""
+SQL["publish_conflict"] = f"""{_UPSERT},
+n AS (SELECT count(*) AS c FROM addr), m AS (SELECT count(*) AS c FROM applied WHERE op <> 'deleted')
+SELECT 'first' AS run, 'success' AS status, '' AS error, c AS total_count FROM n
+UNION ALL SELECT 'second', 'success', '', c FROM m UNION ALL SELECT 'day 3', 'success', '', c FROM n
+UNION ALL SELECT 'day 4', 'failed', 'commit: another run was published meanwhile', 0
+UNION ALL SELECT 'current', '', '', c FROM n"""
 _V1, _V2 = "'v20260101030000123'", "'v20260102030000456'"
 SQL["publish_audits"] = f"""{_UPSERT},
 n AS ({_COUNTS} FROM applied), one AS (SELECT count(*) AS c FROM addr)
@@ -541,5 +562,6 @@ SQL["stream_sustained_latency"] = f"""WITH {_TRIPLES}
 SELECT {_at(f"window_end - 3 * {_STEP}", "start")}, {_at("window_end", '"end"')}
 FROM alert WHERE slow_15m AND window_end <= {_CLOSED}"""
 SQL["stream_dedup"] = "SELECT event_id FROM events"
+SQL["joined_parts_in_order"] = t.feed_files_sql(merge_before_strip=False)
 SQL["feed_arrivals"] = f"SELECT *, {_T1} AS created_at, {_T1} AS updated_at FROM ({t.feed_files_sql(merge_before_strip=False)})"
 SQL["late_part_ignored"] = SQL["feed_arrivals"]

@@ -42,7 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="postlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     own = {tempfile.gettempdir(), "/tmp", "/var/tmp"}
-    if not one_machine and folder.removeprefix("file:").replace("//", "").rstrip("/") in own:
+    if not one_machine and "/" + re.sub(r"^file:", "", folder).strip("/") in own:
         raise RuntimeError(f"spark.checkpoint.dir is {folder}, which is local to each machine")
     return folder.rstrip("/")
 
@@ -58,7 +58,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(context.hadoopConfiguration()).delete(at, True)
@@ -69,7 +69,7 @@ def release(spark: SparkSession) -> None:
     """Delete all intermediates of this application.  Call it when the results that were
     computed from them are written; lazy results cannot be read afterwards."""
     for path in sorted(_scratch.get(spark.sparkContext.applicationId, ())):
-        _delete(spark, path)
+        delete(spark, path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -87,7 +87,7 @@ def discard(*frames: DataFrame) -> None:
     """Delete what ``materialise`` wrote for ``frames``, once all that was computed from them
     is written too."""
     for df in frames:
-        _delete(df.sparkSession, df.scratch)
+        delete(df.sparkSession, df.scratch)
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:

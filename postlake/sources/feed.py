@@ -19,12 +19,23 @@ _CSV = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORR
 _LINES_PER_BATCH = 20_000
 
 
+def _natural(name: Column) -> Column:
+    """A sort key in which every number in ``name`` counts as one: 99999 comes before 100000,
+    wherever it stands.  Numbers beyond 38 digits are compared as text."""
+    pieces = F.regexp_extract_all(name, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+
+    def key(piece: Column) -> Column:
+        number = F.when(piece.rlike("^[0-9]{1,38}$"), piece.try_cast("decimal(38,0)"))
+        return F.struct(number.alias("number"), F.when(number.isNull(), piece).alias("text"))
+
+    return F.transform(pieces, key)
+
+
 def _part_order(path: Column) -> list[Column]:
-    """Folder, part number and path: text would put part 100000 before part 99999."""
-    number = F.regexp_extract(path, r"/[^/0-9]*([0-9]+)[^/]*$", 1)
+    """Folder, name and path of a part, numbers in natural order."""
     return [
-        F.regexp_extract(path, r"^(.*)/", 1).alias("folder"),
-        number.try_cast("decimal(38,0)").alias("part"),
+        _natural(F.regexp_extract(path, r"^(.*)/", 1)).alias("folder"),
+        _natural(F.regexp_extract(path, r"([^/]*)$", 1)).alias("name"),
         path.alias("path"),
     ]
 
@@ -74,8 +85,8 @@ def read_feed(
 
     Large files are split.  A malformed line is set aside before lines are numbered, so
     its neighbours stay adjacent.  With ``joined`` the files are the parts of one feed, in
-    the order of their folders and of the first number in their names, and lines are numbered
-    through.
+    the order of their folders and names, every number in them counted as one, and lines are
+    numbered through.
 
     Lines of another number of fields than ``width`` are malformed; None takes the number of
     the first record that Spark reads.  ``multi_line`` allows line breaks inside quotes; files

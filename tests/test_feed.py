@@ -243,3 +243,14 @@ def test_damaged_archive_gives_one_quarantine_row(spark, tmp_path):
     good, bad = read_zipped_feed(spark, str(tmp_path), encoding="utf-8")
     assert good.count() == 0
     assert [r.line.startswith("unreadable archive") for r in bad.collect()] == [True]
+
+
+def test_every_number_in_a_name_counts(spark, tmp_path):
+    order = ["2024-9/a_1.csv", "2024-10/a_1.csv", "2025/utf8_1_part-99999.csv", "2025/utf8_1_part-100000.csv"]
+    order += ["2025/utf8_1_part-100000b.csv", "2025/utf8_02_part-3.csv", "2025/utf8_10_part-1.csv", "2026/x.csv"]
+    for k, name in enumerate(order):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(csv_text([line_of(("01101", f"{k:07d}", "北海道", "市", "T", "0"))]))
+    paths = [str(tmp_path / n) for n in reversed(order)]
+    good, _ = read_feed(spark, paths, encoding="utf-8", joined=True)
+    assert [r.zip_code for r in good.orderBy("line_no").collect()] == [f"{k:07d}" for k in range(len(order))]

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import hashlib
+import os
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from postlake import schema as S
+from postlake.plans import store as files
 from postlake.plans import versions as V
 from postlake.sources import export
 
@@ -190,3 +193,100 @@ def test_feed_that_loses_too_much_is_refused(spark, store):
     assert state(V.current(spark, store)) == before
     fine = V.publish(spark, store, feed(spark, A), T2 + timedelta(days=2), "four", max_deleted_ratio=0.7)
     assert (fine.status, fine.total_count) == ("success", 1)
+
+
+def numbered(spark, n, city="01101"):
+    return feed(spark, *[(f"{k:07d}", 1, city, "北海道", "市", f"T{k}") for k in range(n)])
+
+
+def lists(spark, store):
+    out = {}
+    for r in files.all_listed(spark, store).collect():
+        out.setdefault(r.data_version, {})[r.path] = r
+    return out
+
+
+def test_null_parts_of_keys_match(spark, store):
+    rows = feed(spark, A, B).withColumn("town", F.lit(None).cast("string"))
+    V.publish(spark, store, rows, T1, "one")
+    a2 = V.publish(spark, store, rows, T2, "two")
+    assert counts(a2) == (2, 0, 2, 0, 2)
+    assert {(r.created_at < r.updated_at, r.town) for r in V.current(spark, store).collect()} == {(True, None)}
+    assert V.diff_versions(*[V.read_version(spark, store, v) for v in (V.version_id(T1), V.version_id(T2))]).count() == 0
+
+
+@pytest.mark.parametrize("partial", [False, True])
+def test_only_touched_files_are_rewritten(spark, store, partial):
+    V.publish(spark, store, numbered(spark, 100), T1, "one", file_rows=10)
+    first = lists(spark, store)[V.version_id(T1)]
+    assert len(first) == 10
+    news = numbered(spark, 100).withColumn("city_id", F.when(F.col("zip_code") == "0000042", "2").otherwise(F.col("city_id")))
+    if partial:
+        news = news.filter("city_id = '2'")
+    else:
+        news = news.filter("zip_code <> '0000077'")
+    new = ("0000500", 1, "01101", "北海道", "市", "N")
+    done = V.publish(spark, store, news.unionByName(feed(spark, new)), T2, "two", partial=partial, file_rows=10)
+    assert counts(done) == ((2, 1, 1, 0, 101) if partial else (100, 1, 99, 1, 100))
+    second = lists(spark, store)[V.version_id(T2)]
+    touched = [p for p in first if p not in second]
+    assert len(touched) == (1 if partial else 2)
+    assert sum(r.rows for r in second.values()) == done.total_count
+    now = {r.zip_code: r for r in V.current(spark, store).collect()}
+    assert now["0000042"].city_id == "2" and "0000500" in now and len(now) == done.total_count
+    seen = {z for z, r in now.items() if r.updated_at > r.created_at}
+    assert seen == ({"0000042"} if partial else set(now) - {"0000500"})
+    snaps = {r.data_version: r["count"] for r in V.snapshots(spark, store).groupBy("data_version").count().collect()}
+    assert snaps == {V.version_id(T1): 100, V.version_id(T2): done.total_count}
+    old = V.snapshots(spark, store).filter(F.col("data_version") == V.version_id(T1))
+    assert old.filter("created_at < updated_at").count() == 0
+    V.rollback(spark, store, V.version_id(T1))
+    assert V.current(spark, store).exceptAll(old.drop("data_version")).count() == 0
+
+
+def test_an_unchanged_feed_writes_no_rows(spark, store):
+    V.publish(spark, store, numbered(spark, 30), T1, "one", file_rows=10)
+    V.publish(spark, store, numbered(spark, 30), T2, "two", file_rows=10)
+    both = lists(spark, store)
+    assert set(both[V.version_id(T1)]) == set(both[V.version_id(T2)])
+    assert V.current(spark, store).filter("updated_at > created_at").count() == 30
+    later = numbered(spark, 3, "9")
+    V.publish(spark, store, later, T2 + timedelta(days=1), "three", partial=True, file_rows=10)
+    times = {r.zip_code: r.updated_at for r in V.current(spark, store).collect()}
+    assert len(set(times.values())) == 2 and len([z for z in times if times[z] == max(times.values())]) == 3
+
+
+def test_odd_zips_find_their_files(spark, store):
+    rows = [("01", 1, "c", "p", "s", "t"), ("x", 1, "c", "p", "s", "t"), ("", 1, "c", "p", "s", "t")]
+    rows += [(f"{k:07d}", 1, "c", "p", "s", "t") for k in range(0, 10**7, 400_000)]
+    V.publish(spark, store, feed(spark, *rows), T1, "one", rules=[], file_rows=5)
+    changed = feed(spark, *[(z, 1, "d", "p", "s", "t") for z, *_ in rows[:3]])
+    done = V.publish(spark, store, changed, T2, "two", rules=[], partial=True, file_rows=5)
+    assert counts(done) == (3, 0, 3, 0, len(rows))
+    assert V.current(spark, store).filter("city_id = 'd'").count() == 3
+
+
+def test_one_of_two_writers_succeeds(spark, store):
+    V.publish(spark, store, feed(spark, A), T1, "one")
+    won = V.publish(spark, store, feed(spark, A, B), T2, "two", follows=1)
+    lost = V.publish(spark, store, feed(spark, A, C), T2 + timedelta(days=1), "three", follows=1)
+    assert (won.status, lost.status) == ("success", "failed") and "meanwhile" in lost.error_message
+    assert set(state(V.current(spark, store))) == {"A", "B"}
+    assert lost.data_version not in lists(spark, store)
+    assert not os.path.exists(f"{store}/data/{lost.data_version}")
+    assert V.snapshots(spark, store).select("data_version").distinct().count() == 2
+
+
+def test_writers_at_the_same_time(spark, store):
+    V.publish(spark, store, feed(spark, A), T1, "one")
+    days = [T2 + timedelta(days=k) for k in range(3)]
+    with ThreadPoolExecutor(3) as pool:
+        runs = list(pool.map(lambda d: V.publish(spark, store, feed(spark, A, B, C), d, str(d), follows=1), days))
+    assert sorted(r.status for r in runs) == ["failed", "failed", "success"]
+    assert set(state(V.current(spark, store))) == {"A", "B", "C"}
+
+
+def test_a_refused_feed_leaves_no_files(spark, store):
+    V.publish(spark, store, feed(spark, A, B, C), T1, "one")
+    lost = V.publish(spark, store, feed(spark, A), T2, "two", max_deleted_ratio=0.5)
+    assert lost.status == "failed" and sorted(os.listdir(f"{store}/data")) == [V.version_id(T1)]
