@@ -170,6 +170,57 @@ def alerts(windows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def good_probe() -> Column:
+    """Whether a request is a ready probe that succeeded."""
+    return (F.col("path") == "/ready") & _status_in(200)
+
+
+def silent_windows(found: DataFrame, service: str) -> DataFrame:
+    """Silent windows from ``service``, their ``end`` and the ``last`` good probe before it, in
+    microseconds."""
+    return found.select(
+        F.col("service").alias(service),
+        F.timestamp_micros(F.col("end") - SLI_MINUTES * 60_000_000).alias("window_start"),
+        F.timestamp_micros("end").alias("window_end"),
+        F.timestamp_micros("last").alias("last_good"),
+        F.lit("P1").alias("level"),
+    )
+
+
+def silent_probes(
+    log: DataFrame, service: str, until: datetime | str | None = None, minutes: int = S.READY_BREACH_MINUTES
+) -> DataFrame:
+    """5-minute windows at whose end a service had no good ready probe for ``minutes``: service,
+    window_start, window_end, last_good and the level P1.
+
+    Probes that fail and probes that are not sent count alike.  Windows run from a service's
+    first good probe to ``until``, by default the last request of the log; a service that never
+    had one is not known.  Each service gets a row for every window, with or without requests,
+    so the window function below orders rows of the clock and not of the log.
+    """
+    span = SLI_MINUTES * 60_000_000
+    at = F.unix_micros("ts")
+    probes = log.filter(good_probe() & F.col(service).isNotNull())
+    slots = probes.groupBy(
+        F.col(service).cast("string").alias("service"), (F.floor(at / span) * span).cast("long").alias("slot")
+    ).agg(F.max(at).alias("seen"))
+    last = F.lit(until).cast("timestamp") if until is not None else F.max("ts")
+    end = log.agg(F.unix_micros(last).alias("until"))
+    first = slots.groupBy("service").agg(F.min("slot").alias("first"))
+    final = (F.floor(F.col("until") / span) * span).cast("long") - span
+    clock = first.join(F.broadcast(end)).filter(F.col("first") <= final)
+    clock = clock.select(
+        "service", F.explode(F.sequence(F.col("first"), final, F.lit(span).cast("long"))).alias("slot")
+    )
+    order = Window.partitionBy("service").orderBy("slot")
+    ends = clock.join(slots, ["service", "slot"], "left").select(
+        "service",
+        (F.col("slot") + span).alias("end"),
+        F.last("seen", ignorenulls=True).over(order).alias("last"),
+    )
+    return silent_windows(ends.filter(F.col("end") - F.col("last") >= minutes * 60_000_000), service)
+
+
 def freshness(runs: DataFrame, as_of: datetime | str) -> DataFrame:
     """Hours since the last successful update, and what that means."""
     at = F.lit(as_of).cast("timestamp")

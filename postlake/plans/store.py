@@ -165,7 +165,8 @@ def write(
     )
     if size:
         folder = f"{store}/data/{version}"
-        dealt = rows.select(*names).repartitionByRange(-(-size // file_rows), *S.ADDRESS_KEY)
+        number, dealt = -(-size // file_rows), rows.select(*names)
+        dealt = dealt.repartitionByRange(number, *S.ADDRESS_KEY) if number > 1 else dealt.repartition(1)
         dealt.sortWithinPartitions("zip_code", "town").write.mode("overwrite").parquet(folder)
         zip_code = F.coalesce("zip_code", F.lit(""))
         new = with_file(spark.read.schema(S.ADDRESS_VERSIONED).parquet(folder)).groupBy("_file")

@@ -399,7 +399,7 @@ def publish(
     def write(delta: DataFrame, found: list[Row], listed: list[Row]) -> None:
         inserted = sum(r.rows for r in found if r.op == "inserted")
         hit = {r._file for r in found}
-        if inserted:
+        if inserted and len(hit) < len(listed):
             hit |= files.covering(spark, listed, delta.filter("op = 'inserted'").select("zip_code"))
         old = [f for f in listed if f.path in hit]
         same = [f for f in listed if f.path not in hit]

@@ -27,7 +27,7 @@ from postlake.sources.request_log import (
     dependency_failures,
     parse_request_log,
 )
-from postlake.streaming import jobs
+from postlake.streaming import jobs, probes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -699,6 +699,20 @@ def alert_not_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(_at("window_end"), "requests", "slow_15m", "not_ready_10m", "level")
 
 
+def _services(log: DataFrame) -> DataFrame:
+    return log.withColumn("service", F.concat(F.lit("s"), F.col("user_id") % 20))
+
+
+def _silent(rows: DataFrame) -> DataFrame:
+    return rows.select("service", _at("window_end"), _at("last_good"), "level")
+
+
+@query
+def silent_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows at whose end a service had no good probe for 10 minutes."""
+    return _silent(sli.silent_probes(_services(events_log(spark, sf_dir)), "service"))
+
+
 @query
 def alert_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels with a run history of one run per day, done when the day's first event came."""
@@ -877,6 +891,14 @@ def stream_sustained_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(_at("start"), _at("end"))
 
 
+@query
+def stream_silent_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows on a stream, as far as its watermark comes."""
+    stream = probes.stream_silent_probes(_services(_event_stream(spark, sf_dir)), "service")
+    places = scratch_path(spark, "stream"), scratch_path(spark, "progress")
+    return _silent(jobs.run_to_table(stream, *places, settings=probes.SETTINGS))
+
+
 @query
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event delivered twice, kept once."""

@@ -384,6 +384,20 @@ last AS (
 SELECT {_at("window_end", "window_end")},
        CASE WHEN level = 'none' AND (done IS NULL OR window_end - done > INTERVAL 12 HOUR) THEN 'P3'
             ELSE level END AS level FROM last"""
+def _silent(until: str) -> str:
+    """Ends of 5-minute windows, from a service's first good probe to ``until``, with no good
+    probe in the 10 minutes before."""
+    return f"""WITH {t.LOG_SQL},
+good AS (SELECT 's' || user_id % 20 AS service, ts FROM log WHERE path = '/ready' AND status BETWEEN 200 AND 299),
+ends AS (
+  SELECT service, unnest(generate_series(time_bucket(INTERVAL 5 MINUTE, first) + INTERVAL 5 MINUTE, last, INTERVAL 5 MINUTE)) AS w
+  FROM (SELECT service, min(ts) AS first FROM good GROUP BY 1), (SELECT {until} AS last FROM log))
+SELECT e.service, {_at("w", "window_end")}, {_at("ts", "last_good")}, 'P1' AS level
+FROM ends e ASOF JOIN good g ON e.service = g.service AND e.w > g.ts WHERE w - ts >= INTERVAL 10 MINUTE"""
+
+
+SQL["silent_probes"] = _silent("max(ts)")
+SQL["stream_silent_probes"] = _silent("max(ts) - INTERVAL 10 MINUTE")
 _ALERTED = _islands("leveled", "level <> 'none'", ", min(level) AS level")
 _INCIDENTS = f"WITH {_TRIPLES}, {_ALERTED}"
 SQL["incident_list"] = f"""{_INCIDENTS}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -103,19 +103,34 @@ def publish_arrivals(
 
 
 def run_to_table(
-    stream: DataFrame, path: str, checkpoint: str, schema_of: DataFrame | None = None
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    schema_of: DataFrame | None = None,
+    settings: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Process what is waiting, append it to files and return the files as a table."""
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    """Process what is waiting, append it to files and return the files as a table.
+    ``settings`` hold while the stream runs."""
     spark = stream.sparkSession
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    for k, v in (settings or {}).items():
+        spark.conf.set(k, v)
+    try:
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     return spark.read.schema((schema_of or stream).schema).parquet(path)
 
 

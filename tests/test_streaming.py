@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from postlake.operators import sli
 from postlake.plans import versions
 from postlake.schema import ADDRESS_COLUMNS as EXPECTED_COLUMNS
-from postlake.streaming import jobs
+from postlake.streaming import jobs, probes
 from tests.test_feed import EXPECTED, SAMPLE, csv_text, line_of
 
 T0 = datetime(2026, 3, 1, tzinfo=UTC)
@@ -134,3 +134,45 @@ def test_listed_parts_are_published_whole(spark, tmp_path):
     with pytest.raises(StreamingQueryException):
         run()
     assert versions.current(spark, store).count() == len(EXPECTED)
+
+
+def probe(minute, status=200, service="a", path="/ready"):
+    return (T0 + timedelta(minutes=minute), "GET", path, status, 1, service)
+
+
+def silent(df):
+    return sorted((r.service, r.window_end, r.last_good, r.level) for r in df.collect())
+
+
+def test_probes_that_stop_raise_p1(spark, tmp_path):
+    schema = LOG + ", service string"
+    log = [probe(m) for m in (*range(0, 21), *range(47, 60), *range(80, 121))]
+    log += [probe(m, 503) for m in range(61, 80)]  # failing is as bad as not sending
+    log += [probe(m, service="b") for m in range(3, 30)]  # dies
+    log += [probe(m, 200, "c", "/postal_codes/1") for m in range(0, 200, 3)] + [probe(5, 503, "d")]
+    want = sli.silent_probes(spark.createDataFrame(log, schema), "service", T0 + timedelta(minutes=180))
+    minute = (F.unix_seconds("window_end") - int(T0.timestamp())) / 60
+    got = {(r.service, int(r.m)) for r in want.select("service", minute.alias("m")).collect()}
+    assert got == {("a", 30), ("a", 35), ("a", 40), ("a", 45), ("a", 70), ("a", 75), ("a", 80)} | {
+        ("a", m) for m in range(130, 181, 5)
+    } | {("b", m) for m in range(40, 181, 5)}
+    # in three deliveries, the middle one with what came late, which still counts
+    late = [r for r in log if T0 + timedelta(minutes=47) <= r[0] < T0 + timedelta(minutes=51)]
+    rest = [r for r in log if r not in late]
+    until = T0 + timedelta(minutes=52)
+    for k, part in enumerate(([r for r in rest if r[0] < until], late, [r for r in rest if r[0] >= until])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "log"))
+        found = jobs.run_to_table(
+            probes.stream_silent_probes(stream, "service"),
+            str(tmp_path / "out"),
+            str(tmp_path / "progress"),
+            settings=probes.SETTINGS,
+        )
+    newest = max(r[0] for r in log)
+    want = sli.silent_probes(spark.createDataFrame(log, schema), "service", newest - timedelta(minutes=10))
+    assert silent(found) == silent(want)
+
+
+def test_silent_probes_without_any(spark):
+    assert sli.silent_probes(spark.createDataFrame([], LOG + ", service string"), "service").count() == 0
