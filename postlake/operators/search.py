@@ -4,18 +4,22 @@ Each request names a keyword and a mode: ``exact`` (a column equals it), ``prefi
 column starts with it) or ``partial`` (a column contains it).  ``%`` and ``_`` are live
 wildcards in the last two.  Hits come in a fixed order, at most ``limit`` per request.
 
-How it runs: no mode needs a cross join.  A token can only match a literal keyword that
-equals one of the token's prefixes or substrings, so tokens are exploded into the pieces
-whose lengths occur among the keywords, and pieces meet keywords in an equi-join.  The
-pairs coming out are exactly the matching ones, never more than a token has pieces.  No
-request can show more than 200 records, and neither a token nor a keyword contributes
-more than its first 200 in order, so both lists are cut there before they are joined.
-That cut is exact and is taken on the map side, so popular tokens stay small.
+How it runs: no mode needs a cross join.  Whole tokens and prefixes of the asked lengths meet
+keywords in an equi-join, so the pairs coming out are exactly the matching ones.  For parts
+there is an index of grams: every run of one to three characters of a token, with its place.
+A keyword looks up the one of its grams that the fewest tokens have, and the tokens found are
+checked in full, so it never meets more tokens than its rarest gram has.
+
+No request can show more than 200 records, and neither a token nor a keyword contributes more
+than its first 200 in order.  So a token keeps 200 records, and a keyword the tokens with the
+smallest first records, before the two are joined.  The cuts are exact and are taken on the
+map side, so popular tokens stay small.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,11 +43,46 @@ def _records(addresses: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _token_records(addresses: DataFrame, tokens: list[Column]) -> DataFrame:
-    """(token, record) rows, the first 200 records of each token in result order.
+#: Characters of the longest gram.
+GRAM = 3
 
-    Written once, as matching reads the tokens and the records separately.
+
+@dataclass
+class Index:
+    """What a search reads; build it once for many batches of requests.
+
+    ``records`` has the first 200 records of each token in result order.  ``columns`` is the
+    number of tokens that a record can have.
     """
+
+    records: DataFrame
+    columns: int
+
+    @property
+    def tokens(self) -> DataFrame:
+        """token and ``best``, its first record in result order."""
+        return self.records.groupBy("token").agg(F.min(F.struct(*S.ADDRESS_ORDER)).alias("best"))
+
+    @cached_property
+    def grams(self) -> DataFrame:
+        """gram, token, best and ``at``: every run of up to ``GRAM`` characters of a token, with the
+        place (from 1) where it begins."""
+        # Few bytes of tokens turn into many grams: spread the tokens over all tasks.
+        tasks = int(self.records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        size, at = F.lit(GRAM), F.col("at")
+        rows = self.tokens.repartition(tasks).withColumn(
+            "at", F.explode(F.sequence(F.lit(1), F.greatest(F.length("token"), F.lit(1))))
+        )
+        rows = rows.withColumn(
+            "n", F.explode(F.sequence(F.lit(1), F.greatest(F.least(size, F.length("token") - at + 1), F.lit(1))))
+        )
+        gram = F.substring(F.col("token"), at, F.col("n")).alias("gram")
+        return materialise(rows.select(gram, "token", "best", "at"), "search-grams")
+
+
+def _index(addresses: DataFrame, tokens: list[Column]) -> Index:
+    """(token, record) rows, written once, as matching reads the tokens and the records
+    separately."""
     rows = _records(addresses).withColumn("token", F.explode(F.array_distinct(F.array(*tokens))))
     order = Window.partitionBy("token").orderBy(*S.ADDRESS_ORDER)
     cut = (
@@ -51,17 +90,17 @@ def _token_records(addresses: DataFrame, tokens: list[Column]) -> DataFrame:
         .filter(F.col("_n") <= S.SEARCH_LIMIT_MAX)
         .drop("_n")
     )
-    return materialise(cut, "tokens")
+    return Index(materialise(cut, "tokens"), len(tokens))
 
 
-def column_index(addresses: DataFrame) -> DataFrame:
-    """What :func:`search_addresses` searches; build it once for many batches of requests."""
-    return _token_records(addresses, [F.col("prefecture"), F.col("city"), F.col("town")])
+def column_index(addresses: DataFrame) -> Index:
+    """What :func:`search_addresses` searches."""
+    return _index(addresses, [F.col("prefecture"), F.col("city"), F.col("town")])
 
 
-def concat_index(addresses: DataFrame) -> DataFrame:
+def concat_index(addresses: DataFrame) -> Index:
     """What :func:`search_concat` searches."""
-    return _token_records(addresses, [F.concat("prefecture", "city", "town")])
+    return _index(addresses, [F.concat("prefecture", "city", "town")])
 
 
 def _with_piece(terms: DataFrame, wildcards: bool) -> DataFrame:
@@ -105,7 +144,7 @@ class _Asked:
     terms: int
     exact: bool
     prefix: list[int]
-    part: list[int]
+    part: bool
     length: list[int]
 
 
@@ -138,14 +177,14 @@ def _asked(prepared: DataFrame, spellings: Column, wildcards: bool) -> _Asked:
         F.count(F.lit(1)).alias("terms"),
         F.coalesce(F.bool_or(F.col("kind") == "exact"), F.lit(False)).alias("exact"),
         lengths("prefix", size),
-        lengths("part", size),
+        F.coalesce(F.bool_or(F.col("kind") == "part"), F.lit(False)).alias("part"),
         lengths("length", F.col("key").try_cast("int")),
     ).first()
     return _Asked(keys, spelled, **row.asDict())
 
 
 def _token_pieces(tokens: DataFrame, want: _Asked) -> DataFrame:
-    """(token, kind, key) for every piece of a token that a keyword could equal."""
+    """(token, best, kind, key) for a token and every prefix or length of it that is asked for."""
     token, n = F.col("token"), F.length("token")
 
     def ints(values: list[int]) -> Column:
@@ -156,51 +195,74 @@ def _token_pieces(tokens: DataFrame, want: _Asked) -> DataFrame:
             F.array_distinct(keys), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
         )
 
-    def parts_of(size: Column) -> Column:
-        starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1))
-        return F.transform(
-            F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substring(token, i, size)
-        )
-
     found: list[Column] = []
     if want.exact:
         found.append(piece("exact", F.array(token)))
     if want.prefix:
         fitting = F.filter(ints(want.prefix), lambda size: size <= n)
         found.append(piece("prefix", F.transform(fitting, lambda m: F.substring(token, 1, m))))
-    if want.part:
-        found.append(piece("part", F.flatten(F.transform(ints(want.part), parts_of))))
     if want.length:
         fitting = F.filter(ints(want.length), lambda size: size <= n)
         found.append(piece("length", F.transform(fitting, lambda m: m.cast("string"))))
-    return tokens.select("token", F.explode(F.concat(*found)).alias("p")).select(
-        "token", "p.kind", "p.key"
+    return tokens.select("token", "best", F.explode(F.concat(*found)).alias("p")).select(
+        "token", "best", "p.kind", "p.key"
     )
 
 
-def _match(
-    asked: _Asked, token_records: DataFrame, broadcast_rows: int, hot_rows: int
-) -> DataFrame:
+def _rarest(terms: DataFrame, grams: DataFrame) -> DataFrame:
+    """``terms`` with the gram of their key that the fewest tokens have and its place in the
+    key, from 1.  A term with a gram that no token has is dropped, as nothing can match it.
+
+    A key shorter than a gram is a gram itself.  Tokens are counted before the shuffle.
+    """
+    size = F.least(F.length("key"), F.lit(GRAM))
+    places = F.sequence(F.lit(1), F.length("key") - size + 1)
+    cut = F.transform(places, lambda k: F.struct(F.substring(F.col("key"), k, size).alias("gram"), k.alias("place")))
+    own = terms.select("*", F.explode(cut).alias("g")).select(*terms.columns, "g.gram", "g.place")
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    best = F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram", "place")).alias("g")
+    found = own.join(counts, "gram", "left").groupBy(*terms.columns).agg(best)
+    return found.filter("g.held > 0").select(*terms.columns, "g.gram", "g.place")
+
+
+def _match(asked: _Asked, index: Index, broadcast_rows: int, hot_rows: int) -> DataFrame:
     """The first 200 distinct records of each (mode, term), in result order."""
     if not asked.terms:
         found = asked.spelled.select(*_MATCH).schema.fields
-        found += token_records.drop("token").schema.fields
+        found += index.records.drop("token").schema.fields
         return empty(asked.keys.sparkSession, T.StructType(found))
     terms = asked.spelled.select(*_MATCH, "kind", "key", "like").distinct()
-    # Few bytes of tokens turn into many pieces: keep the tokens spread over all tasks.
-    tasks = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct_tokens = token_records.select("token").distinct().repartition(tasks)
-    pieces = _token_pieces(distinct_tokens, asked)
-    if asked.terms <= broadcast_rows:
-        met = pieces.join(F.broadcast(terms), ["kind", "key"])
-    else:
-        met = spread_join(pieces, terms, ["kind", "key"], hot_rows=hot_rows)
+
+    def meet(pieces: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+        if asked.terms <= broadcast_rows:
+            return pieces.join(F.broadcast(wanted), on)
+        return spread_join(pieces, wanted, on, hot_rows=hot_rows)
+
+    parts = []
+    if asked.exact or asked.prefix or asked.length:
+        # Few bytes of tokens turn into many pieces: keep the tokens spread over all tasks.
+        tasks = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pieces = _token_pieces(index.tokens.repartition(tasks), asked)
+        parts.append(meet(pieces, terms.filter("kind <> 'part'"), ["kind", "key"]))
+    if asked.part:
+        probes = _rarest(terms.filter("kind = 'part'"), index.grams)
+        met = meet(index.grams, probes, ["gram"])
+        # the key begins as far before the gram as in the keyword
+        start = F.col("at") - F.col("place") + 1
+        whole = F.substring(F.col("token"), start, F.length("key")) == F.col("key")
+        parts.append(met.filter((start > 0) & whole))
     matches = F.expr("like IS NULL OR token LIKE like ESCAPE '\\u0001'")
-    matched = met.filter(matches).select(*_MATCH, "token")
+    met = reduce(DataFrame.unionByName, [p.select(*_MATCH, "like", "token", "best") for p in parts])
+    matched = met.filter(matches).select(*_MATCH, "token", "best")
+    # Each of these tokens has a record no later than its rank allows, and as many tokens as a
+    # record has columns may share one; a key that a token holds twice repeats it that often.
+    first = Window.partitionBy(*_MATCH).orderBy("best", "token")
+    matched = matched.distinct().withColumn("_t", F.row_number().over(first))
+    matched = matched.filter(F.col("_t") <= index.columns * S.SEARCH_LIMIT_MAX).drop("_t", "best")
     # A record can match through several of its columns; equal rows share a rank.
     order = Window.partitionBy(*_MATCH).orderBy(*S.ADDRESS_ORDER)
     return (
-        matched.join(token_records, "token")
+        matched.join(index.records, "token")
         .drop("token")
         .withColumn("_n", F.dense_rank().over(order))
         .filter(F.col("_n") <= S.SEARCH_LIMIT_MAX)
@@ -271,7 +333,7 @@ def search_addresses(
     addresses: DataFrame,
     fold_search_width: bool = False,
     keep_all: bool = False,
-    index: DataFrame | None = None,
+    index: Index | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -286,8 +348,7 @@ def search_addresses(
     prepared = _prepared(requests, text.normalize_keyword(F.col("address")))
     spellings = text.search_candidates(F.col("_word"), fold_search_width)
     asked = _asked(prepared, spellings, wildcards=True)
-    token_records = column_index(addresses) if index is None else index
-    hits = _match(asked, token_records, broadcast_rows, hot_rows)
+    hits = _match(asked, index or column_index(addresses), broadcast_rows, hot_rows)
     key = ["mode", "_word"]
     order = Window.partitionBy(*key).orderBy("_spelling", *S.ADDRESS_ORDER)
     ranked = (
@@ -306,7 +367,7 @@ def search_concat(
     requests: DataFrame,
     addresses: DataFrame,
     keep_all: bool = False,
-    index: DataFrame | None = None,
+    index: Index | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -318,8 +379,7 @@ def search_concat(
         "_mode", F.lit("partial")
     )
     asked = _asked(prepared, F.array("_word"), wildcards=False)
-    token_records = concat_index(addresses) if index is None else index
-    hits = _match(asked, token_records, broadcast_rows, hot_rows)
+    hits = _match(asked, index or concat_index(addresses), broadcast_rows, hot_rows)
     order = Window.partitionBy(*_MATCH).orderBy(*S.ADDRESS_ORDER)
     ranked = hits.withColumn("position", F.row_number().over(order)).select(
         F.col("mode").alias("_mode"), F.col("term").alias("_word"), "position", *S.ADDRESS_COLUMNS

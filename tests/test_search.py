@@ -245,3 +245,42 @@ def test_hot_key_is_split_over_tasks(spark):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert sum(sizes) == n and max(sizes) < 1.6 * n / tasks
+
+
+def test_parts_meet_through_their_rarest_gram(spark):
+    addresses = spark.createDataFrame(
+        [(f"{k:07d}", 1, "c", "東京都", "いろはいろは市", f"いろは{k % 7}ににほ{k}") for k in range(60)]
+        + [("9000000", 2, "c", "😀𠮷", "市", "ab%c_d"), ("9000001", 2, "c", "", "", "")],
+        S.ADDRESS,
+    )
+    asked = ["いろはい", "ろはいろは", "にほ59", "ににほ1", "に", "にほ", "𠮷", "😀𠮷", "b%c", "c_d", "存在しない", "いろは3に", "%いろは市", "はいろはい"]
+    requests = spark.createDataFrame([(i, a, "partial", 200) for i, a in enumerate(asked)], S.SEARCH_REQUEST)
+    rows = addresses.collect()
+
+    def like(pattern, value):
+        return re.fullmatch(re.escape(pattern).replace("%", ".*").replace("_", "."), value, re.S) is not None
+
+    want = set()
+    for i, a in enumerate(asked):
+        for r in rows:
+            if any(like(f"%{x}%", v) for x in {a, *text_forms(a)} for v in (r.prefecture, r.city, r.town)):
+                want.add((i, r.zip_code))
+    for small in (None, 0):  # broadcast, and shuffled with spread keys
+        sizes = {} if small is None else {"broadcast_rows": 0, "hot_rows": 2}
+        got = search.search_addresses(requests, addresses, **sizes)
+        assert {(r.request_id, r.zip_code) for r in got.collect()} == want
+
+
+def text_forms(keyword):
+    """The keyword in katakana and in hiragana."""
+    to_katakana = str.maketrans(S.HIRAGANA, S.KATAKANA)
+    return keyword.translate(to_katakana), keyword.translate(str.maketrans(S.KATAKANA, S.HIRAGANA))
+
+
+def test_a_term_looks_at_no_more_tokens_than_its_rarest_gram(spark):
+    addresses = spark.createDataFrame([(f"{k:07d}", 1, "c", "p", "common", f"common{k:03d}") for k in range(300)], S.ADDRESS)
+    index = search.column_index(addresses)
+    terms = spark.createDataFrame([("common123",), ("common",), ("xyz",)], "key string")
+    found = {r.key: r.gram for r in search._rarest(terms, index.grams).collect()}
+    held = dict(index.grams.groupBy("gram").count().collect())
+    assert set(found) == {"common123", "common"} and held[found["common123"]] == 1
