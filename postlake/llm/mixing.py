@@ -61,15 +61,20 @@ def leaf_budgets(
     """The token budget of each leaf of ``leaves`` (levels, tokens), which has a row per leaf.
 
     ``weights`` has a whole-number expression over the levels for each level; zero or null
-    gets nothing.  The root's budget is ``share`` (numerator, denominator) of all tokens.
+    gets nothing, and what lies below such a node is no capacity of the nodes above it.  The
+    root's budget is ``share`` (numerator, denominator) of all tokens.
     """
     levels = list(levels)
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    whole = [F.greatest(F.coalesce(w.cast("long"), F.lit(0)), F.lit(0)) for w in weights]
+    reached = F.lit(True)
+    for w in whole:
+        reached = reached & (w > 0)
+    usable = F.when(reached, F.col("tokens")).otherwise(F.lit(0))
     given = None
     for depth in range(1, len(levels) + 1):
-        nodes = leaves.groupBy(*levels[:depth]).agg((F.sum("tokens") * epochs).alias("most"))
-        weight = F.greatest(F.coalesce(weights[depth - 1].cast("long"), F.lit(0)), F.lit(0))
-        nodes = nodes.withColumn("weight", weight)
+        nodes = leaves.groupBy(*levels[:depth]).agg((F.sum(usable) * epochs).alias("most"))
+        nodes = nodes.withColumn("weight", whole[depth - 1])
         parents = levels[: depth - 1]
         if given is None:
             nodes = nodes.withColumn("given", F.lit(total * share[0] // share[1]).cast("long"))

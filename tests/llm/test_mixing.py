@@ -34,7 +34,8 @@ def brute(rows, weights, share, epochs, seed):
     for depth in range(1, 4):
         level = defaultdict(int)
         for path, docs in leaf.items():
-            level[path[:depth]] += epochs * sum(n for _, n in docs)
+            reached = all(weights(path[:k]) > 0 for k in (1, 2, 3))
+            level[path[:depth]] += epochs * sum(n for _, n in docs) * reached
         budgets = {}
         for parent in {p[:-1] for p in level}:
             children = {p: (weights(p), m) for p, m in level.items() if p[:-1] == parent}
@@ -110,3 +111,35 @@ def test_mix_edge_cases(spark, frame, odd):
     assert got.count() == docs.count()
     assert mixing.mix(docs.limit(0), levels, [F.lit(1), F.lit(2)], F.lit(1)).count() == 0
     assert mixing.mix(docs, levels, [F.lit(1), F.lit(2)], F.lit(None).cast("long")).count() == 0
+
+
+@pytest.mark.parametrize("zero", [("a",), ("a", "x"), ("a", "x", "p")])
+def test_a_node_without_weight_is_no_capacity_of_its_parents(spark, zero):
+    rows = [(d, p, 100) for d, p in enumerate([(a, x, q) for a in "abc" for x in "xy" for q in "pq"] * 3)]
+    docs = spark.createDataFrame([(d, *p, n) for d, p, n in rows], "doc_id long, d string, l string, s string, n long")
+
+    def weight(path):
+        return 0 if path == zero else 2 if path[-1] in "ap" else 1
+
+    def column(depth):
+        names = ["d", "l", "s"][:depth]
+        is_zero = F.lit(len(zero) == depth)
+        for c, v in zip(names, zero):
+            is_zero = is_zero & (F.col(c) == v)
+        return F.when(is_zero, 0).when(F.col(names[-1]).isin("a", "p"), 2).otherwise(1)
+
+    for share in ((4, 5), (1, 1)):
+        got = mixing.mix(
+            docs.withColumnsRenamed({"d": "d_", "l": "l_", "s": "s_"}),
+            [("d", F.col("d_")), ("l", F.col("l_")), ("s", F.col("s_"))],
+            [column(k) for k in (1, 2, 3)],
+            F.col("n"),
+            share=share,
+            epochs=1,
+            seed=4,
+        )
+        taken = sorted((r.doc_id, r.d, r.l, r.s, r.epoch, r.leaf_budget) for r in got.collect())
+        assert taken == brute(rows, weight, share, 1, 4)
+        reachable = sum(n for _, p, n in rows if p[: len(zero)] != zero)
+        whole = sum({(r[1], r[2], r[3]): r[5] for r in taken}.values())
+        assert min(reachable, 3600 * share[0] // share[1]) - whole < 12  # rounding alone
