@@ -9,6 +9,7 @@ Texts that it cannot cut with certainty go to the library whole.
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import os
 import sys
@@ -173,7 +174,12 @@ def split_words(text: str) -> tuple[str, list[str]]:
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for one file; it outlives the task, so its caches stay warm."""
+    """The worker's encoder for one file; it outlives the task, so its caches stay warm.
+
+    Nothing here makes cycles, and the collector would look through the caches again and again
+    for them; so it is asked to come rarely.
+    """
+    gc.set_threshold(200_000, 50, 50)
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(path)
 

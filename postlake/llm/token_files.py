@@ -72,7 +72,7 @@ def write_tokens(rows: DataFrame, path: str) -> None:
     """Write what ``encoded`` made, a file per partition."""
     with brief_shuffles(rows.sparkSession):
         (
-            rows.write.option("compression", "zstd")
+            rows.write.option("compression", "snappy")
             .option("parquet.writer.version", "v2")
             .option("parquet.block.size", ROW_GROUP_BYTES)
             .option("parquet.page.size", PAGE_BYTES)
