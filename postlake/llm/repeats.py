@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake.llm.encoding import slices
@@ -136,18 +136,30 @@ def _runs(units: Units, size: int, length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What tells rows apart that repeat an id.  Other rows are told apart by the id."""
+    return F.xxhash64(doc_id, text)
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, data (a text's bytes) and key, which tells rows apart that repeat an id."""
+    """doc_id, data (a text's bytes) and key; a row is doc_id and key, its document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    doc_id = F.col(id_col).cast("long")
     return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.xxhash64(F.col(id_col).cast("long"), text).alias("key"),
-        text.cast("binary").alias("data"),
+        doc_id.alias("doc_id"), row_key(doc_id, text).alias("key"), text.cast("binary").alias("data")
     )
 
 
+def _by_document(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on doc_id and key.  Rows meet by key, which is never null; ids may be."""
+    right = right.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    both_null = F.col("doc_id").isNull() & F.col("_id").isNull()
+    same = (F.col("key") == F.col("_key")) & F.coalesce(F.col("doc_id") == F.col("_id"), both_null)
+    return left.join(right, same, how).drop("_id", "_key")
+
+
 def _found_anchors(texts: DataFrame, search: Search) -> DataFrame:
-    """gram and key of every anchor."""
+    """gram, doc_id and key of every anchor."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,13 +167,14 @@ def _found_anchors(texts: DataFrame, search: Search) -> DataFrame:
             for part in slices(batch["data"]):
                 grams = [_runs(search.units(d), search.grams[0], search.length)[0] for d in part]
                 sizes = [len(g) for g in grams]
-                keys = np.repeat(batch["key"].slice(at, len(part)).to_numpy(), sizes)
+                rows = pa.array(np.repeat(np.arange(at, at + len(part)), sizes))
                 at += len(part)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(grams)), pa.array(keys)], ["gram", "key"]
+                    [pa.array(np.concatenate(grams)), batch["doc_id"].take(rows), batch["key"].take(rows)],
+                    ["gram", "doc_id", "key"],
                 )
 
-    return texts.select("key", "data").mapInArrow(find, "gram long, key long")
+    return texts.mapInArrow(find, "gram long, doc_id long, key long")
 
 
 CONTEXTS = "gram long, context binary, doc_id long, key long, first long"
@@ -240,26 +253,33 @@ def _sized_groups(
     return contexts if small is None else small.unionByName(contexts), tables
 
 
+def runs_of(marks: np.ndarray) -> np.ndarray:
+    """Where runs of true values start and end (first, last + 1), a row each."""
+    padded = np.zeros(len(marks) + 2, bool)
+    padded[1:-1] = marks
+    return np.flatnonzero(padded[1:] != padded[:-1]).reshape(-1, 2)
+
+
 def _firsts(contexts: DataFrame, search: Search, room: int) -> DataFrame:
-    """key, low, high: runs of windows that are the first of their kind."""
+    """doc_id, key, low, high: runs of windows that are the first of their kind."""
 
     def solved(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows)
-        least = np.iinfo(np.int64).min
-        ids = table["doc_id"].combine_chunks().fill_null(least).to_numpy()
+        doc_id = table["doc_id"].combine_chunks()
+        known, ids = doc_id.is_valid().to_numpy(False), doc_id.fill_null(0).to_numpy()
         keys, first = table["key"].to_numpy(), table["first"].to_numpy()
-        # dense ranks of the documents
-        order = np.lexsort((keys, ids))
+        # dense ranks of the documents, null ids first
+        order = np.lexsort((keys, ids, known))
         new = np.ones(len(order), bool)
-        new[1:] = (np.diff(ids[order]) != 0) | (np.diff(keys[order]) != 0)
+        new[1:] = np.any([np.diff(x[order]) != 0 for x in (known, ids, keys)], axis=0)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.cumsum(new) - 1
-        out = []
-        for k, own in enumerate(search.solve(table["context"].to_pylist(), rank, first)):
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
-            out += [(int(keys[k]), int(first[k] + a), int(first[k] + b)) for a, b in edge.reshape(-1, 2)]
-        columns = zip(*out, strict=True) if out else [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, "int64") for c in columns], ["key", "low", "high"])
+        own = search.solve(table["context"].to_pylist(), rank, first)
+        edges = [runs_of(o) + first[k] for k, o in enumerate(own)]
+        rows = pa.array(np.repeat(np.arange(len(edges)), [len(e) for e in edges]))
+        low, high = np.concatenate(edges).T
+        columns = [doc_id.take(rows), pa.array(keys).take(rows), pa.array(low), pa.array(high)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "low", "high"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -281,7 +301,7 @@ def _firsts(contexts: DataFrame, search: Search, room: int) -> DataFrame:
             yield solved(held)
 
     dealt = contexts.repartition("gram").sortWithinPartitions("gram")
-    return dealt.mapInArrow(solve, "key long, low long, high long")
+    return dealt.mapInArrow(solve, "doc_id long, key long, low long, high long")
 
 
 def _again(units: Units, length: int, wanted: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -349,12 +369,15 @@ def with_marks(
     counts = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     again = written(counts.filter("n > 1").select("gram"), "repeat-grams")
     hits = found.join(sized(again), "gram", "left_semi")
-    hits = written(hits.groupBy("key").agg(F.collect_set("gram").alias("grams")), "repeat-hits")
+    grams = F.collect_set("gram").alias("grams")
+    hits = written(hits.groupBy("doc_id", "key").agg(grams), "repeat-hits")
     discard(found, again)
-    contexts = _distinct(_contexts(texts.join(hits, "key"), search))
+    contexts = _distinct(_contexts(_by_document(texts, hits), search))
     groups, tables = _sized_groups(contexts, search, group)
     firsts = _firsts(groups, search, room)
     runs = F.collect_list(F.struct("low", "high")).alias("firsts")
-    marks = written(hits.join(firsts.groupBy("key").agg(runs), "key", "left"), "repeat-marks")
+    # dealt by key alone, as the join deals them
+    firsts = firsts.repartition("key").groupBy("doc_id", "key").agg(runs)
+    marks = written(_by_document(hits, firsts, "left"), "repeat-marks")
     discard(hits, *tables)
-    return texts.join(marks, "key", "left").select("doc_id", "data", "grams", "firsts")
+    return _by_document(texts, marks, "left").select("doc_id", "data", "grams", "firsts")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from postlake.llm import exact_dedup, repeats, simhash, substrings, suffix_sort
 from postlake.llm.components import connected_components
@@ -230,3 +231,12 @@ def test_one_row_of_each_group_stays_and_no_unique_text_leaves(frame):
         assert got.columns == frame(docs).columns
         kept = sorted((str(r.doc_id), r.text.strip()) for r in got.collect())
         assert kept == [("1", a), ("2", b), ("3", c), ("4", d), ("4", "x")]
+
+
+def test_documents_that_share_a_key(frame, documents, monkeypatch):
+    monkeypatch.setattr(repeats, "row_key", lambda doc_id, text: F.lit(7).cast("long"))
+    for docs in (documents, texts_with_shared_parts(3, 40)):
+        got = substrings.digests(substrings.without_repeats(frame(docs), 50))
+        assert rows(got, *WORDS) == brute.substring_dedup(docs, 50)
+        got = suffix_sort.digests(suffix_sort.without_repeats(frame(docs), 100, group=3))
+        assert rows(got, *BYTES) == brute.suffix_dedup(docs, 100)
