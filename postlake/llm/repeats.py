@@ -45,6 +45,7 @@ class Units:
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
+    bytewise: bool = False
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -56,7 +57,7 @@ class Units:
 
 def byte_units(data: bytes) -> Units:
     at = np.arange(len(data) + 1)
-    return Units(np.frombuffer(data, np.uint8), at[:-1], at[1:])
+    return Units(np.frombuffer(data, np.uint8), at[:-1], at[1:], True)
 
 
 def word_units(data: bytes) -> Units:
@@ -101,8 +102,11 @@ def gram_hashes(units: Units, a: int, b: int, size: int) -> np.ndarray:
     up, down = _power(high - low + 1)
     sums = np.zeros(high - low + 1, np.uint64)
     np.cumsum((units.data[low:high] + np.uint64(1)) * up[: high - low], out=sums[1:])
-    start = units.starts[a:b] - low
-    h = (sums[units.ends[a + size - 1 : b + size - 1] - low] - sums[start]) * down[start]
+    if units.bytewise:
+        h = (sums[size : size + b - a] - sums[: b - a]) * down[: b - a]
+    else:
+        start = units.starts[a:b] - low
+        h = (sums[units.ends[a + size - 1 : b + size - 1] - low] - sums[start]) * down[start]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
@@ -177,6 +181,13 @@ def _found_anchors(texts: DataFrame, search: Search) -> DataFrame:
     return texts.mapInArrow(find, "gram long, doc_id long, key long")
 
 
+def lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """The lists of an Arrow column of lists of longs as arrays; null lists are empty."""
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield values[a:b]
+
+
 CONTEXTS = "gram long, context binary, doc_id long, key long, first long"
 
 
@@ -192,10 +203,12 @@ def _contexts(texts: DataFrame, search: Search) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch[c] for c in ("doc_id", "key", "data", "grams"))
+            columns = (batch[c] for c in ("doc_id", "key", "data"))
+            every = lists(batch["grams"])
             for part in zip(*(slices(c, 64) for c in columns), strict=True):
                 rows = []
-                for doc_id, key, data, grams in zip(*part, strict=True):
+                for doc_id, key, data in zip(*part, strict=True):
+                    grams = next(every)
                     units = search.units(data)
                     gram, first, last = _runs(units, search.grams[0], search.length)
                     for k in np.flatnonzero(np.isin(gram, grams)).tolist():
@@ -323,35 +336,35 @@ def _again(units: Units, length: int, wanted: np.ndarray, firsts: np.ndarray) ->
     return np.array(found, np.int64)
 
 
-def repeated_units(
-    units: Units, search: Search, grams: list | None, firsts: list | None, within: bool
+def repeated_spans(
+    units: Units, search: Search, grams: np.ndarray, low: np.ndarray, high: np.ndarray, within: bool
 ) -> np.ndarray:
-    """Which units of one text a repeated window covers, as booleans.
+    """Which units of one text repeated windows cover: maximal runs first, last + 1, in order.
 
-    ``grams`` are the hashes of its anchors that occur again, ``firsts`` its runs of windows
-    that are the first of their kind.  ``within``: a window also counts as repeated if only
-    an earlier place of its own text has it.
+    ``grams`` are the hashes of its anchors that occur again, ``low`` and ``high`` (+ 1) its
+    runs of windows that are the first of their kind.  ``within``: a window also counts as
+    repeated if only an earlier place of its own text has it.
     """
-    n = len(units)
-    edge = np.zeros(n + 1, np.int64)
-    if grams:
-        gram, first, last = _runs(units, search.grams[0], search.length)
-        hit = np.isin(gram, grams)
-        np.add.at(edge, first[hit], 1)
-        np.add.at(edge, last[hit] + 1, -1)
-        window = np.cumsum(edge) > 0
-        for low, high in firsts or []:
-            window[low:high] = False
-        if not within and len(np.unique(gram[hit])) < hit.sum():
-            own = np.zeros(n + 1, bool)
-            for low, high in firsts or []:
-                own[low:high] = True
-            window[_again(units, search.length, np.flatnonzero(window), np.flatnonzero(own))] = False
-        at = np.flatnonzero(window)
-        edge[:] = 0
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + search.length, -1)
-    return np.cumsum(edge[:n]) > 0
+    if not len(grams):
+        return np.empty((0, 2), np.int64)
+    gram, first, last = _runs(units, search.grams[0], search.length)
+    hit = np.isin(gram, grams)
+    window = np.repeat(hit, last - first + 1)
+    for a, b in zip(low.tolist(), high.tolist(), strict=True):
+        window[a:b] = False
+    if not within and len(np.unique(gram[hit])) < hit.sum():
+        own = np.zeros(len(window), bool)
+        for a, b in zip(low.tolist(), high.tolist(), strict=True):
+            own[a:b] = True
+        window[_again(units, search.length, np.flatnonzero(window), np.flatnonzero(own))] = False
+    spans = runs_of(window)
+    spans[:, 1] += search.length - 1
+    apart = spans[1:, 0] > spans[:-1, 1]
+    starts = np.ones(len(spans), bool)
+    starts[1:] = apart
+    ends = np.ones(len(spans), bool)
+    ends[:-1] = apart
+    return np.column_stack([spans[starts, 0], spans[ends, 1]])
 
 
 def with_marks(
@@ -362,7 +375,7 @@ def with_marks(
     group: int = GROUP,
     room: int = ROOM,
 ) -> DataFrame:
-    """doc_id, data, grams and firsts of every row of ``docs``: what ``repeated_units`` needs
+    """doc_id, data, grams, low and high of every row of ``docs``: what ``repeated_spans`` needs
     to mark the repeated windows of a text without looking at any other."""
     texts = _texts(docs, id_col, text_col)
     found = written(_found_anchors(texts, search), "repeat-anchors")
@@ -380,4 +393,12 @@ def with_marks(
     firsts = firsts.repartition("key").groupBy("doc_id", "key").agg(runs)
     marks = written(_by_document(hits, firsts, "left"), "repeat-marks")
     discard(hits, *tables)
-    return _by_document(texts, marks, "left").select("doc_id", "data", "grams", "firsts")
+    bounds = [F.col(f"firsts.{c}").alias(c) for c in ("low", "high")]
+    return _by_document(texts, marks, "left").select("doc_id", "data", "grams", *bounds)
+
+
+def marked_rows(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+    """doc_id, data, grams, low and high of the rows ``with_marks`` gives, a few at a time."""
+    marks = zip(*(lists(batch[c]) for c in ("grams", "low", "high")), strict=True)
+    for ids, data in zip(slices(batch["doc_id"], 64), slices(batch["data"], 64), strict=True):
+        yield [(i, d, *next(marks)) for i, d in zip(ids, data, strict=True)]

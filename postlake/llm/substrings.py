@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.encoding import slices
-from postlake.llm.repeats import GROUP, Search, repeated_units, with_marks, word_units
+from postlake.llm.repeats import GROUP, Search, marked_rows, repeated_spans, with_marks, word_units
 
 
 def deep_nodes(words: np.ndarray, suffixes: np.ndarray, depth: int) -> np.ndarray:
@@ -85,19 +84,17 @@ def without_repeats(
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch[c] for c in ("doc_id", "data", "grams", "firsts"))
-            for part in zip(*(slices(c, 64) for c in columns), strict=True):
+            for part in marked_rows(batch):
                 rows = []
-                for doc_id, data, grams, firsts in zip(*part, strict=True):
-                    runs = [(r["low"], r["high"]) for r in firsts or []]
-                    gone = repeated_units(word_units(data), how, grams, runs, within=False)
+                for doc_id, data, *marks in part:
+                    gone = repeated_spans(word_units(data), how, *marks, within=False).tolist()
                     words = data.split()
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
-                    spans = [{"first": a, "last": b - 1} for a, b in edge.reshape(-1, 2).tolist()]
-                    if spans:
-                        kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                    else:
-                        kept = words
+                    kept, at = [], 0
+                    for a, b in gone:
+                        kept += words[at:a]
+                        at = b
+                    kept += words[at:]
+                    spans = [{"first": a, "last": b - 1} for a, b in gone]
                     text = b" ".join(kept).decode()
                     rows.append((doc_id, len(words), len(words) - len(kept), text, spans))
                 columns_out = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)]

@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.encoding import slices
-from postlake.llm.repeats import GROUP, Search, byte_units, repeated_units, with_marks
+from postlake.llm.repeats import GROUP, Search, byte_units, marked_rows, repeated_spans, with_marks
 
 
 def eights(text: np.ndarray, beyond: int) -> np.ndarray:
@@ -153,16 +152,13 @@ def without_repeats(
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch[c] for c in ("doc_id", "data", "grams", "firsts"))
-            for part in zip(*(slices(c, 64) for c in columns), strict=True):
+            for part in marked_rows(batch):
                 rows = []
-                for doc_id, data, grams, firsts in zip(*part, strict=True):
-                    runs = [(r["low"], r["high"]) for r in firsts or []]
-                    units = byte_units(data)
-                    gone = repeated_units(units, how, grams, runs, within=True)
-                    kept = units.data[~gone].tobytes()
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
-                    spans = [{"first": a, "last": b - 1} for a, b in edge.reshape(-1, 2).tolist()]
+                for doc_id, data, *marks in part:
+                    gone = repeated_spans(byte_units(data), how, *marks, within=True).tolist()
+                    cuts = [0, *(x for span in gone for x in span), len(data)]
+                    kept = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
+                    spans = [{"first": a, "last": b - 1} for a, b in gone]
                     rows.append((doc_id, len(data), len(data) - len(kept), kept, spans))
                 columns_out = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns_out, NAMES)
