@@ -25,7 +25,8 @@ def _status_in(low: int) -> Column:
     return F.col("status").between(low, low + 99)
 
 
-def _postal_get() -> Column:
+def is_lookup() -> Column:
+    """Whether a request looks up a postal code."""
     return (F.col("method") == "GET") & F.col("path").startswith("/postal_codes/")
 
 
@@ -38,7 +39,7 @@ def counts() -> list[Column]:
 
 
 def p95(approx: bool = False) -> Column:
-    latency = F.when(_postal_get(), F.col("latency_ms"))
+    latency = F.when(is_lookup(), F.col("latency_ms"))
     return (F.percentile_approx(latency, 0.95, 10_000) if approx else F.percentile(latency, 0.95)).cast(
         "double"
     )

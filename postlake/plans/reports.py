@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from postlake import schema as S
 from postlake.functions.text import safe_ratio
+from postlake.operators import rollup
 from postlake.operators.sli import SLI_MINUTES, SLI_WINDOW, breach_runs, counts, p95, ratios
 
 
@@ -20,6 +21,11 @@ def _days(month: Column) -> Column:
     return F.dayofmonth(F.last_day(F.to_date(month, "yyyy-MM")))
 
 
+def ready_probes(log: DataFrame) -> DataFrame:
+    """The readiness probes of a request log."""
+    return log.filter(F.col("path") == "/ready").select("ts", "status")
+
+
 def error_budget(probes: DataFrame) -> DataFrame:
     """Availability per month from readiness probes (``ts``, ``status``), the downtime it
     may have, and how much of that is used up."""
@@ -51,6 +57,14 @@ def monthly_indicators(log: DataFrame) -> DataFrame:
     )
 
 
+def stored_indicators(rows: DataFrame) -> DataFrame:
+    """``monthly_indicators`` from stored indicators (``operators.rollup``) instead of a log."""
+    month = _month(F.col("window_start")).alias("month")
+    return rollup.indicators(rollup.merged(rows, "month")).select(
+        month, "requests", "errors", "not_found", "error_rate", "not_found_ratio", "p95_ms"
+    )
+
+
 def monthly_freshness(runs: DataFrame) -> DataFrame:
     """The longest time without a successful update inside each month, in hours.
 
@@ -73,10 +87,15 @@ def monthly_freshness(runs: DataFrame) -> DataFrame:
     )
 
 
-def slo_report(log: DataFrame, probes: DataFrame, runs: DataFrame) -> DataFrame:
-    """Four rows per month: what was promised, what was measured, pass or fail."""
+def slo_report(
+    log: DataFrame | None, probes: DataFrame, runs: DataFrame, measured: DataFrame | None = None
+) -> DataFrame:
+    """Four rows per month: what was promised, what was measured, pass or fail.
+
+    ``measured``, from ``stored_indicators``, takes the place of the log.
+    """
     found = (
-        monthly_indicators(log)
+        (monthly_indicators(log) if measured is None else measured)
         .join(error_budget(probes).select("month", "availability"), "month", "full")
         .join(monthly_freshness(runs), "month", "full")
     )

@@ -383,25 +383,39 @@ log AS (
 )"""
 
 
+#: A quarter of the orders are readiness probes.
+_ORDER_PATH = "CASE WHEN o_custkey % 4 = 0 THEN '/ready' ELSE '/postal_codes/1000001' END"
+
+
 def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as request-log records, which cover many months."""
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderdate").cast("timestamp").alias("ts"),
         F.lit("GET").alias("method"),
-        F.lit("/postal_codes/1000001").alias("path"),
+        F.expr(_ORDER_PATH).alias("path"),
         F.expr("CASE o_orderstatus WHEN 'F' THEN 200 WHEN 'P' THEN 404 ELSE 500 END").alias("status"),
         F.floor(F.col("o_totalprice") / 1000).cast("long").alias("latency_ms"),
     )
 
 
-ORDER_LOG_SQL = """
+ORDER_LOG_SQL = f"""
 log AS (
-  SELECT o_orderdate AS ts,
+  SELECT o_orderdate AS ts, {_ORDER_PATH} AS path,
          CASE o_orderstatus WHEN 'F' THEN 200 WHEN 'P' THEN 404 ELSE 500 END AS status,
          CAST(floor(o_totalprice / 1000) AS BIGINT) AS latency_ms FROM orders
 )"""
 
 
+#: Times at which the freshness of the update runs is asked.
+FRESHNESS_AT = [
+    "1996-03-10 05:00:00",
+    "1997-11-02 13:30:00",
+    "1999-05-05 12:00:00",
+    "1998-12-31 00:00:00",
+    "2024-01-31 00:00:00",
+]
+
+
 def order_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One update run per day with orders; days with few orders failed."""
     day = F.date_trunc("day", F.col("o_orderdate").cast("timestamp"))

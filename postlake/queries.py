@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from postlake import schema as S
 from postlake.functions import network as N
 from postlake.functions import text
-from postlake.operators import access, catalogue, lookup, search, sli
+from postlake.operators import access, catalogue, lookup, rollup, search, sli
 from postlake.operators.lines import number_sorted
 from postlake.operators.runs import dedup_first, merge_split_rows
 from postlake.plans import reports
@@ -583,13 +584,14 @@ def publish_dirty_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, out = addr(spark, sf_dir), scratch_path(spark, "release")
+    header = len(",".join(S.ADDRESS_COLUMNS)) + 1
     total = export.manifest_total(export.export_release(rows, out, SECOND_BATCH)).select(
-        "row_count", "content_hash"
+        "row_count", "content_hash", (F.col("size_bytes") - F.col("files") * header).alias("row_bytes")
     )
     hashed = F.sum(F.xxhash64(*S.ADDRESS_COLUMNS).cast("decimal(38,0)"))
     want = rows.agg(hashed.alias("want"))
     same = F.col("content_hash") == F.col("want")
-    return total.join(want, same).select("row_count", same.alias("hash_matches"))
+    return total.join(want, same).select("row_count", "row_bytes", same.alias("hash_matches"))
 
 
 # ---- monitoring ----------------------------------------------------------------------
@@ -659,6 +661,28 @@ def sli_5min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(sli.flat(sli.sli_windows(events_log(spark, sf_dir))))
 
 
+@query
+def stored_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days merged from stored 5-minute rows, their p95 held against the log."""
+    log, path = events_log(spark, sf_dir), scratch_path(spark, "rollup")
+    rollup.store(rollup.rollup(log), path)
+    days = rollup.merged(rollup.stored(spark, path), "day")
+    errors = rollup.rank_errors(log, days, "day")
+    within = F.coalesce(F.col("rank_error") < rollup.RANK_ERROR, F.lit(False))
+    rows = rollup.indicators(days).join(errors, "window_start", "left")
+    return rows.select(
+        _at("window_start").alias("day"),
+        "requests",
+        "errors",
+        "not_found",
+        "lookups",
+        F.round(F.coalesce("mean_ms", F.lit(-1.0)), 6).alias("mean_ms"),
+        "probes",
+        "probes_ok",
+        within.alias("p95_within_bound"),
+    )
+
+
 @query
 def sli_6h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(sli.flat(sli.sli_windows(events_log(spark, sf_dir), window="6 hours")))
@@ -768,13 +792,17 @@ def incident_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def update_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sli.freshness(t.order_runs(spark, sf_dir), AS_OF)
-    return rows.select(_at("last_success"), *_round("hours"), "state")
+    """States at several times: some soon after a day's success, some long after."""
+    runs = t.order_runs(spark, sf_dir)
+    found = [sli.freshness(runs, a).withColumn("as_of", F.lit(a)) for a in t.FRESHNESS_AT]
+    return reduce(DataFrame.unionByName, found).select(
+        "as_of", _at("last_success"), *_round("hours"), "state"
+    )
 
 
 @query
 def error_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reports.error_budget(t.order_log(spark, sf_dir))
+    rows = reports.error_budget(reports.ready_probes(t.order_log(spark, sf_dir)))
     return rows.select(
         "month",
         "probes",
@@ -790,7 +818,7 @@ def error_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def slo_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = t.order_log(spark, sf_dir)
-    rows = reports.slo_report(log, log, t.order_runs(spark, sf_dir))
+    rows = reports.slo_report(log, reports.ready_probes(log), t.order_runs(spark, sf_dir))
     return rows.select(
         "month", "item", "target", F.round(F.coalesce("actual", F.lit(-1.0)), 6).alias("actual"), "result"
     )

@@ -293,7 +293,9 @@ SELECT broken_rules AS what, count(*) AS rows FROM checked WHERE broken_rules <>
 UNION ALL SELECT 'duplicate_key', (SELECT count(*) FROM checked WHERE broken_rules = '') - (SELECT count(*) FROM published)
 UNION ALL SELECT 'success', count(*) FROM published
 UNION ALL SELECT 'current', count(*) FROM published"""
-SQL["export_manifest"] = f"WITH {t.ADDR_SQL} SELECT count(*) AS row_count, true AS hash_matches FROM addr"
+_RELEASE_LINE = ", ',', ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in S.ADDRESS_COLUMNS)
+SQL["export_manifest"] = f"WITH {t.ADDR_SQL} SELECT count(*) AS row_count, true AS hash_matches, "
+SQL["export_manifest"] += f"CAST(sum(strlen(concat({_RELEASE_LINE})) + 1) AS BIGINT) AS row_bytes FROM addr"
 
 # ---- monitoring ----------------------------------------------------------------------
 
@@ -332,6 +334,13 @@ SELECT {_at("date_trunc('hour', ts)", "window_start")},
        CASE event_type WHEN 'error' THEN 'database' ELSE 'redis' END AS dependency, count(*) AS errors
 FROM log WHERE event_type IN ('error', 'signup') GROUP BY 1, 2"""
 SQL["sli_5min"] = f"WITH {t.LOG_SQL}, {_win('5 minutes')} SELECT {_WIN_COLUMNS} FROM win"
+SQL["stored_rollup"] = f"""WITH {t.LOG_SQL}
+SELECT {_at("date_trunc('day', ts)", "day")}, {_metrics()}, count(*) FILTER ({_POSTAL}) AS lookups,
+       round(coalesce(avg(latency_ms) FILTER ({_POSTAL}), -1), 6) AS mean_ms,
+       count(*) FILTER (path = '/ready') AS probes,
+       count(*) FILTER (path = '/ready' AND status BETWEEN 200 AND 299) AS probes_ok,
+       lookups > 0 AS p95_within_bound
+FROM log GROUP BY 1"""
 SQL["sli_6h"] = f"WITH {t.LOG_SQL}, {_win('6 hours')} SELECT {_WIN_COLUMNS} FROM win"
 
 _STEP = "INTERVAL 5 MINUTE"
@@ -464,16 +473,19 @@ causes AS (
 SELECT incident, coalesce(string_agg(DISTINCT category, ',' ORDER BY category), 'other') AS category
 FROM numbered LEFT JOIN causes ON ts >= s AND ts < e GROUP BY 1"""
 SQL["update_freshness"] = f"""WITH {t.ORDER_RUNS_SQL},
-l AS (SELECT max(run_finished_at) AS last FROM runs
-      WHERE status = 'success' AND run_finished_at <= TIMESTAMP '2024-01-31')
-SELECT {_at("last", "last_success")},
-       CAST(date_diff('hour', last, TIMESTAMP '2024-01-31') AS DOUBLE) AS hours, 'critical' AS state FROM l"""
+asked AS (SELECT unnest([{", ".join(f"TIMESTAMP '{a}'" for a in t.FRESHNESS_AT)}]) AS as_of),
+l AS (SELECT as_of, max(run_finished_at) FILTER (status = 'success') AS last
+      FROM asked JOIN runs ON run_finished_at <= as_of GROUP BY 1),
+h AS (SELECT *, date_diff('second', last, as_of) / 3600 AS hours FROM l)
+SELECT {_at("as_of", "as_of")}, {_at("last", "last_success")}, round(hours, 6) AS hours,
+       CASE WHEN hours IS NULL OR hours > 24 THEN 'critical' WHEN hours > 12 THEN 'warning' ELSE 'ok' END AS state
+FROM h"""
 _DAYS = "day(last_day(strptime(month || '-01', '%Y-%m-%d')))"
 _BUDGET = f"""{t.ORDER_LOG_SQL},
 budget AS (
   SELECT strftime(ts, '%Y-%m') AS month, count(*) AS probes,
          count(*) FILTER (status BETWEEN 200 AND 299) AS probes_ok, probes_ok / probes AS availability
-  FROM log GROUP BY 1
+  FROM log WHERE path = '/ready' GROUP BY 1
 )"""
 SQL["error_budget"] = f"""WITH {_BUDGET}
 SELECT month, probes, probes_ok, round(availability, 6) AS availability,
@@ -483,7 +495,7 @@ SELECT month, probes, probes_ok, round(availability, 6) AS availability,
 _MONTHLY = f"""{_BUDGET}, {t.ORDER_RUNS_SQL},
 ind AS (
   SELECT strftime(ts, '%Y-%m') AS month, {_metrics()}, errors / requests AS error_rate,
-         not_found / requests AS not_found_ratio, quantile_cont(latency_ms, 0.95) AS p95_ms FROM log GROUP BY 1
+         not_found / requests AS not_found_ratio, quantile_cont(latency_ms, 0.95) FILTER ({_POSTAL}) AS p95_ms FROM log GROUP BY 1
 )"""
 SQL["slo_report"] = f"""WITH {_MONTHLY},
 ends AS (SELECT max(run_finished_at) AS stop FROM runs),

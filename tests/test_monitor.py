@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from postlake import schema as S
 from postlake.functions import network as N
-from postlake.operators import access, sli
+from postlake.operators import access, rollup, sli
 from postlake.plans import reports
 from postlake.sources.request_log import dependency_errors, parse_request_log
+from postlake.streaming import jobs
 
 T0 = datetime(2026, 3, 1, tzinfo=UTC)
 LOG = "ts timestamp, event string, method string, path string, status int, latency_ms long"
@@ -329,3 +330,50 @@ def test_previous_month_is_the_calendar_one(spark):
         ("2026-03", None),
         ("2026-04", 0.0),
     ]
+
+
+def test_stored_rollup_merges_without_the_log(spark, tmp_path):
+    rows = [(i % 2880, 500 if i % 50 == 0 else 200, i * 7919 % 10_007) for i in range(40_000)]
+    rows += [(5, 200, 9, "/ready"), (6, 503, 9, "/ready"), (7, 200, None)]
+    events = log(spark, rows)
+    path = str(tmp_path / "rollup")
+    rollup.store(rollup.rollup(events), path)
+    rollup.store(rollup.rollup(events), path)  # a repeated run counts nothing twice
+    kept = rollup.stored(spark, path)
+    hours = rollup.merged(kept, "hour")
+    for parts in (kept, hours):
+        month = rollup.merged(parts, "month")
+        got = rollup.indicators(month).first()
+        assert (got.requests, got.errors, got.lookups) == (40_003, 801, 40_001)
+        assert (got.probes, got.probes_ok, got.availability) == (2, 1, 0.5)
+        assert rollup.rank_errors(events, month, "month").first().rank_error < rollup.RANK_ERROR
+    # up to k latencies the sketch is exact
+    exact = {r.window_start: r.p for r in events.filter("path <> '/ready'").groupBy(
+        F.date_trunc("hour", "ts").alias("window_start")
+    ).agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").alias("p")).collect()}
+    assert {r.window_start: r.p95_ms for r in rollup.indicators(hours).collect()} == exact
+    one_day = kept.filter("day = DATE'2026-03-02'")
+    assert rollup.merged(one_day, "day").count() == 1
+    probes, runs = reports.ready_probes(events), audit(spark, (T0, "success", 1))
+    report = reports.slo_report(None, probes, runs, reports.stored_indicators(kept))
+    found = {r["item"]: r.result for r in report.collect()}
+    assert found["availability"] == found["error_rate"] == found["p95_ms"] == "Fail"
+
+
+def test_rollup_without_lookups_and_on_an_empty_log(spark):
+    ready = rollup.rollup(log(spark, [(0, 200, 5, "/ready"), (8, 200, None)]))
+    got = rollup.indicators(rollup.merged(ready, "day")).first()
+    assert (got.requests, got.lookups, got.p95_ms, got.availability) == (2, 1, None, 1.0)
+    assert rollup.merged(rollup.rollup(log(spark, [])), "day").count() == 0
+
+
+def test_rollup_of_a_stream(spark, tmp_path):
+    events = log(spark, [(i // 10, 200, i % 97) for i in range(1000)])
+    events.write.parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "log"))
+    rows = jobs.run_to_table(
+        rollup.rollup(stream, watermark="10 minutes"), str(tmp_path / "out"), str(tmp_path / "cp")
+    )
+    closed = events.filter(F.col("ts") < at(85))  # the watermark stands at minute 89
+    want = rollup.indicators(rollup.merged(rollup.rollup(closed), "month")).collect()
+    assert rollup.indicators(rollup.merged(rows, "month")).collect() == want
