@@ -126,13 +126,13 @@ def sustained(
     )
 
 
-def alerts(windows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def alerts(windows: DataFrame, by: Sequence[str] = (), timed: bool = False) -> DataFrame:
     """Alert level at the end of every 5-minute window.
 
     P1: 5xx ratio at least 3 %, or every ready probe failing for 10 minutes.  P2: 5xx at
     least 1 %, or p95 at least 300 ms for 15 minutes.  One chained aggregate over 15-minute
     hops carries the last window's values next to the sustained conditions, so it runs on
-    streams too.
+    streams too.  ``timed`` adds ``at``, a time inside the window that knows the watermark.
     """
     hopped = _hops(windows, S.LATENCY_BREACH_MINUTES)
     is_last = F.col("window.end") == F.col("hop.end")
@@ -158,7 +158,9 @@ def alerts(windows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         .when((F.col("error_rate") >= S.P2_ERROR_RATE) | slow, "P2")
         .otherwise("none")
     )
+    last_moment = F.window_time("hop") if windows.isStreaming else F.expr("hop.end - INTERVAL 1 MICROSECOND")
     return state.filter(F.col("requests").isNotNull()).select(
+        *([last_moment.alias("at")] if timed else []),
         (F.col("hop.end") - F.expr(f"INTERVAL {SLI_MINUTES} MINUTES")).alias("window_start"),
         F.col("hop.end").alias("window_end"),
         *by,
@@ -291,6 +293,30 @@ def breach_runs(windows: DataFrame, breach: Column, by: Sequence[str] = ()) -> D
     )
 
 
+def alert_sessions(alerted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Adjacent alerting windows joined to incidents: level (the gravest), started_at, ended_at
+    and windows.  On a stream an incident is emitted once the watermark has passed the window
+    in which it could have gone on.
+
+    ``alerted`` are timed ``alerts``.  A session's gap is a second more than a window, so that
+    windows that touch share a session and others do not.
+    """
+    gap = f"{60 * SLI_MINUTES + 1} seconds"
+    # streams have no sessions without a key; this one is true everywhere
+    everywhere = (F.col("requests") >= 0).alias("_everywhere")
+    return (
+        alerted.filter(F.col("level") != "none")
+        .groupBy(F.session_window("at", gap), everywhere, *by)
+        .agg(
+            F.min("level").alias("level"),
+            F.min("window_start").alias("started_at"),
+            F.max("window_end").alias("ended_at"),
+            F.count(F.lit(1)).alias("windows"),
+        )
+        .select(*by, "level", "started_at", "ended_at", "windows")
+    )
+
+
 #: Ranges a dashboard shows, in minutes.
 RANGES = {"15m": 15, "1h": 60, "24h": 1440}
 

@@ -164,12 +164,16 @@ def monthly_compare(log: DataFrame, runs: DataFrame) -> DataFrame:
 
 def incidents(alerted: DataFrame) -> DataFrame:
     """Adjacent alerting windows joined to incidents with a number per month."""
-    runs = breach_runs(alerted, F.col("level") != "none")
-    numbered = F.row_number().over(
+    return numbered(breach_runs(alerted, F.col("level") != "none"))
+
+
+def numbered(found: DataFrame) -> DataFrame:
+    """``found`` incidents with a number per month, in order of their beginning."""
+    number = F.row_number().over(
         Window.partitionBy(_month(F.col("started_at"))).orderBy("started_at")
     )
-    name = F.format_string("INC-%s-%03d", F.date_format("started_at", "yyyyMM"), numbered)
-    return runs.select(name.alias("incident"), "level", "started_at", "ended_at", "windows")
+    name = F.format_string("INC-%s-%03d", F.date_format("started_at", "yyyyMM"), number)
+    return found.select(name.alias("incident"), "level", "started_at", "ended_at", "windows")
 
 
 def incident_categories(found: DataFrame, runs: DataFrame, errors: DataFrame) -> DataFrame:

@@ -913,6 +913,13 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(_at("window_end"), "requests", "slow_15m", "not_ready_10m", "level")
 
 
+@query
+def stream_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents of a stream, closed by its watermark and numbered where they are read."""
+    rows = reports.numbered(_run_stream(jobs.stream_incidents(_event_stream(spark, sf_dir))))
+    return rows.select("incident", "level", _at("started_at"), _at("ended_at"), "windows")
+
+
 @query
 def stream_sustained_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _run_stream(jobs.stream_sustained_latency(_event_stream(spark, sf_dir)))

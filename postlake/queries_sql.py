@@ -584,6 +584,8 @@ _CLOSED = "(SELECT max(ts) FROM log) - INTERVAL 10 MINUTE"
 SQL["stream_sli"] = f"""WITH {t.LOG_SQL}, {_win("5 minutes")}
 SELECT {_WIN_COLUMNS} FROM win WHERE window_start + {_STEP} <= {_CLOSED}"""
 SQL["stream_alerts"] = f"WITH {_TRIPLES} SELECT {_ALERT_COLUMNS} FROM leveled WHERE window_end <= {_CLOSED}"
+SQL["stream_incidents"] = f"""{SQL["incident_list"]}
+WHERE e + INTERVAL 301 SECOND <= date_trunc('millisecond', {_CLOSED})"""
 SQL["stream_sustained_latency"] = f"""WITH {_TRIPLES}
 SELECT {_at(f"window_end - 3 * {_STEP}", "start")}, {_at("window_end", '"end"')}
 FROM alert WHERE slow_15m AND window_end <= {_CLOSED}"""

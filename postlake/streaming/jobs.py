@@ -148,6 +148,15 @@ def stream_alerts(
     return sli.alerts(sli.sli_windows(log, by=by, watermark=watermark), by=by)
 
 
+def stream_incidents(
+    log: DataFrame, watermark: str = "10 minutes", by: Sequence[str] = ()
+) -> DataFrame:
+    """Closed incidents of a streaming log, each once.  Incidents are numbered where they are
+    read (``reports.numbered``), as a number needs those before it in its month."""
+    windows = sli.sli_windows(log, by=by, watermark=watermark)
+    return sli.alert_sessions(sli.alerts(windows, by=by, timed=True), by)
+
+
 def stream_sustained_latency(log: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """15-minute stretches in which every 5-minute p95 was too high."""
     windows = sli.sli_windows(log, watermark=watermark)

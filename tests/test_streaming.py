@@ -9,7 +9,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from postlake.operators import sli
-from postlake.plans import versions
+from postlake.plans import reports, versions
 from postlake.schema import ADDRESS_COLUMNS as EXPECTED_COLUMNS
 from postlake.streaming import jobs, probes
 from tests.test_feed import EXPECTED, SAMPLE, csv_text, line_of
@@ -176,3 +176,23 @@ def test_probes_that_stop_raise_p1(spark, tmp_path):
 
 def test_silent_probes_without_any(spark):
     assert sli.silent_probes(spark.createDataFrame([], LOG + ", service string"), "service").count() == 0
+
+
+def test_incidents_close_by_the_watermark(spark, tmp_path):
+    bad = {0, 5, 10, 20, 55, 60}  # minutes whose windows alert
+    rows = []
+    for minute in range(0, 65):
+        status = 500 if minute - minute % 5 in bad else 200
+        rows.append((T0 + timedelta(minutes=minute), "GET", "/postal_codes/1", status, 5))
+    events = spark.createDataFrame(rows, "ts timestamp, method string, path string, status int, latency_ms long")
+    events.coalesce(1).write.parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "log"))
+    found = jobs.run_to_table(jobs.stream_incidents(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    batch = reports.incidents(sli.alerts(sli.sli_windows(events)))
+    # the watermark stands at minute 54: the last incident is open
+    want = batch.filter(F.col("ended_at") < F.lit(T0 + timedelta(minutes=50)))
+    got = reports.numbered(found).orderBy("started_at").collect()
+    assert got == want.orderBy("started_at").collect()
+    assert [r.windows for r in got] == [3, 1]
+    again = sli.alert_sessions(sli.alerts(sli.sli_windows(events), timed=True))
+    assert reports.numbered(again).orderBy("started_at").collect() == batch.orderBy("started_at").collect()
