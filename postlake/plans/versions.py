@@ -506,6 +506,17 @@ def diff_versions(
     )
 
 
+def diff_published(spark: SparkSession, store: str, old: str, new: str) -> DataFrame:
+    """``diff_versions`` of two published versions that reads only the files and ranges in which
+    they may differ.  A rollback stands for the version it brought back."""
+    runs = files.commits(spark, store).filter(F.col("data_version").isin(old, new)).collect()
+    of = {r.data_version: r.content_version for r in runs}
+    if missing := {old, new} - set(of):
+        raise ValueError(f"not published: {', '.join(sorted(missing))}")
+    lists = [files.listed(spark, store, of[v]) for v in (old, new)]
+    return diff_versions(*files.differing(spark, store, *lists))
+
+
 def drift(runs: DataFrame, threshold: float = 0.1) -> DataFrame:
     """How the table size moved from run to run; ``suspicious`` above ``threshold``.
 

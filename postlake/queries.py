@@ -19,10 +19,11 @@ from postlake.plans import reports
 from postlake.plans import tables as t
 from postlake.plans import versions as V
 from postlake.plans.clean import prepare_feed
-from postlake.plans.store import all_listed, commits
-from postlake.session import SETTINGS, scratch_path
+from postlake.plans.store import all_listed, commits, differing, listed
+from postlake.session import SETTINGS, materialise, scratch_path
 from postlake.sources import export
-from postlake.sources.feed import prefecture_dimension, read_feed
+from postlake.sources.archives import write_archives
+from postlake.sources.feed import prefecture_dimension, read_feed, read_zipped_feed
 from postlake.sources.request_log import (
     dependency_errors,
     dependency_failures,
@@ -296,6 +297,21 @@ def feed_files_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(prepare_feed(records, prefecture_dimension(spark)))
 
 
+@query
+def feed_archives_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same feed in zip archives, each folder packed by another method."""
+    path = scratch_path(spark, "feed-archives")
+    order = ["zip_code", "o_orderkey"]
+    lines = t.feed_lines(spark, sf_dir).repartitionByRange(4, *order).sortWithinPartitions(*order)
+    lines = materialise(lines.select(F.spark_partition_id().alias("part"), *order, "line"), "feed-lines")
+    for k, method in enumerate(("stored", "deflate", "bzip2", "lzma")):
+        part = lines.filter(F.col("part") == k).repartitionByRange(2, *order).sortWithinPartitions(*order)
+        write_archives(part, f"{path}/{k}", method, "cp932")
+    folders = [f"{path}/{k}" for k in range(4)]
+    records, _ = read_zipped_feed(spark, folders, joined=True)
+    return _shown(prepare_feed(records, prefecture_dimension(spark)))
+
+
 @query
 def joined_parts_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A feed in parts whose names hold a year, an encoding and the part's number, the last of
@@ -374,7 +390,10 @@ def upsert_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.diff_versions(addr(spark, sf_dir), t.next_addresses(spark, sf_dir))
+    return _diff_shown(V.diff_versions(addr(spark, sf_dir), t.next_addresses(spark, sf_dir)))
+
+
+def _diff_shown(rows: DataFrame) -> DataFrame:
     names = F.array_join("changed_columns", ",").alias("changed_columns")
     return rows.select(
         "zip_code", _int("prefecture_id"), "city", "town", "change_type", names
@@ -503,6 +522,27 @@ def publish_rewrites_little(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+@query
+def published_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diff of two stored versions, found through their lists and digests."""
+    versions = V.version_id(FIRST_BATCH), V.version_id(SECOND_BATCH)
+    return _diff_shown(V.diff_published(spark, _published(spark, sf_dir), *versions))
+
+
+@query
+def published_diff_reads_little(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a change of one row in a hundred: the changes, and whether at most one row in
+    twenty of each version was read to find them."""
+    store = _small_change(spark, sf_dir, partial=False)
+    lists = [listed(spark, store, V.version_id(batch)) for batch in (FIRST_BATCH, SECOND_BATCH)]
+    some = [side.agg(F.count(F.lit(1)).alias("read")) for side in differing(spark, store, *lists)]
+    read = some[0].unionByName(some[1]).agg(F.max("read").alias("read"))
+    rows = V.diff_versions(*differing(spark, store, *lists))
+    found = rows.groupBy("change_type").agg(F.count(F.lit(1)).alias("rows"))
+    few = F.col("read") * 20 <= sum(f.rows for f in lists[0])
+    return found.crossJoin(read).select("change_type", "rows", few.alias("little"))
+
+
 @query
 def publish_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs that follow one version: the commit number of the first is taken for the other."""

@@ -162,6 +162,7 @@ SELECT line_no, zip_code, city_id, town FROM merged
 QUALIFY row_number() OVER (PARTITION BY zip_code, town ORDER BY line_no) = 1"""
 
 SQL["feed_files_clean"] = t.feed_files_sql(merge_before_strip=False)
+SQL["feed_archives_clean"] = SQL["feed_files_clean"]
 SQL["feed_merge_before_strip"] = t.feed_files_sql(merge_before_strip=True)
 
 SQL["feed_quarantine"] = f"""SELECT 'broken,' || {t.FEED_ZIP.format(div="o_custkey // 3")} AS line,
@@ -227,6 +228,10 @@ SELECT * REPLACE (CASE WHEN {_FEW} THEN '99999' ELSE city_id END AS city_id), {_
 SQL["publish_rewrites_little"] = f"""WITH {t.ADDR_SQL}
 SELECT partial, true AS little, (SELECT count(*) FROM addr) AS rows, 0 AS changed_before
 FROM (VALUES (false), (true)) v(partial)"""
+SQL["published_diff"] = SQL["version_diff"]
+SQL["published_diff_reads_little"] = f"""WITH {t.ADDR_SQL}
+SELECT 'changed' AS change_type, count(*) AS rows, true AS little FROM addr WHERE {_FEW} AND city_id <> '99999'
+GROUP BY ALL"""
 SQL["publish_conflict"] = f"""{_UPSERT},
 n AS (SELECT count(*) AS c FROM addr), m AS (SELECT count(*) AS c FROM applied WHERE op <> 'deleted')
 SELECT 'first' AS run, 'success' AS status, '' AS error, c AS total_count FROM n

@@ -3,20 +3,15 @@
 from __future__ import annotations
 
 import csv
-import io
-import zipfile
-import zlib
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake import schema as S
 from postlake.operators.lines import number_lines
+from postlake.sources.archives import archive_lines
 
 _CSV = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT}
-_LINES_PER_BATCH = 20_000
 
 
 def _natural(name: Column) -> Column:
@@ -114,51 +109,6 @@ def read_feed(
     return _split(parsed, joined)
 
 
-def _unzip(encoding: str, header: bool):
-    """Lines of the first entry of each archive, decoded as they stream out of it."""
-
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                yield from _archive_lines(path, content, encoding, header)
-
-    return lines
-
-
-def _archive_lines(
-    path: str, content: bytes, encoding: str, header: bool
-) -> Iterator[pd.DataFrame]:
-    def frame(rows: list[str] | None, error: str | None = None) -> pd.DataFrame:
-        line = rows if rows is not None else [None]
-        return pd.DataFrame({"feed_file": path, "line": line, "error": error})
-
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
-        entries = archive.infolist()
-        if entries:
-            with archive.open(entries[0]) as whole:  # to its end, where the checksum is compared
-                while whole.read(1 << 20):
-                    pass
-    except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError) as e:
-        yield frame(None, f"unreadable archive: {e}")
-        return
-    if not entries:
-        yield frame(None, "archive has no entry")
-        return
-    with archive.open(entries[0]) as raw:
-        text = io.TextIOWrapper(raw, encoding=encoding, errors="replace", newline="")
-        rows: list[str] = []
-        for number, line in enumerate(text):
-            line = line.rstrip("\r\n")
-            if line and not (header and number == 0):
-                rows.append(line)
-            if len(rows) == _LINES_PER_BATCH:
-                yield frame(rows)
-                rows = []
-        if rows:
-            yield frame(rows)
-
-
 def read_zipped_feed(
     spark: SparkSession,
     path: str | list[str],
@@ -166,18 +116,15 @@ def read_zipped_feed(
     header: bool = False,
     joined: bool = False,
     width: int | None = S.FEED_WIDTH,
+    multi_line: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Read a folder of zip archives, one task per group of archives.
+    """Read a folder of zip archives of any size, one task per group of archives.
 
     Only the first entry of an archive is read.  Archives without one, or not readable,
-    go to quarantine.  ``encoding`` is a Python codec name, ``width`` as in ``read_feed``.
+    go to quarantine.  ``encoding`` is a Python codec name, ``width`` and ``multi_line`` as in
+    ``read_feed``.
     """
-    raw = (
-        spark.read.format("binaryFile")
-        .load(path)
-        .select("path", "content")
-        .mapInPandas(_unzip(encoding, header), "feed_file string, line string, error string")
-    )
+    raw = archive_lines(spark, path, encoding, header, multi_line)
     lines = raw.filter(F.col("error").isNull())
     if width is None:
         first = lines.select("line").first()
@@ -186,7 +133,9 @@ def read_zipped_feed(
     parsed = lines.select(
         "feed_file",
         F.struct(*_part_order(F.col("feed_file"))).alias("_block"),
-        F.from_csv("line", ", ".join(f"{n} string" for n in names), _CSV).alias("r"),
+        F.from_csv(
+            "line", ", ".join(f"{n} string" for n in names), {**_CSV, "multiLine": str(multi_line)}
+        ).alias("r"),
     ).select("feed_file", "_block", "r.*")
     good, malformed = _split(parsed, joined)
     broken = raw.filter(F.col("error").isNotNull()).select(

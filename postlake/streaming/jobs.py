@@ -45,6 +45,7 @@ def publish_arrivals(
     trim: bool = False,
     file_is_feed: bool = True,
     width: int | None = S.FEED_WIDTH,
+    multi_line: bool = False,
     max_deleted_ratio: float | None = None,
     clock: Callable[[], datetime] = lambda: datetime.now(UTC),
 ) -> StreamingQuery:
@@ -77,7 +78,13 @@ def publish_arrivals(
         named = {"encoding": encoding} if encoding else {}
         paths = [arrived.path] if file_is_feed else _listed(session, arrived.path)
         records, malformed = read(
-            session, paths, header=header, joined=not file_is_feed, width=width, **named
+            session,
+            paths,
+            header=header,
+            joined=not file_is_feed,
+            width=width,
+            multi_line=multi_line,
+            **named,
         )
         rows = prepare_feed(
             records, feeds.prefecture_dimension(session), merge_before_strip, trim

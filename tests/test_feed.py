@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from postlake import schema as S
 from postlake.operators.runs import dedup_first, merge_split_rows
 from postlake.plans.clean import prepare_feed
+from postlake.sources.archives import archive_lines, write_archives
 from postlake.sources.feed import prefecture_dimension, read_feed, read_zipped_feed
 from tests import feed_rules
 
@@ -254,3 +255,69 @@ def test_every_number_in_a_name_counts(spark, tmp_path):
     paths = [str(tmp_path / n) for n in reversed(order)]
     good, _ = read_feed(spark, paths, encoding="utf-8", joined=True)
     assert [r.zip_code for r in good.orderBy("line_no").collect()] == [f"{k:07d}" for k in range(len(order))]
+
+
+def archive(path, text, method=zipfile.ZIP_DEFLATED):
+    with zipfile.ZipFile(path, "w", method) as z:
+        z.writestr("a.csv", text)
+    return path
+
+
+@pytest.mark.parametrize("method", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA])
+def test_archives_of_each_method_and_their_damage(spark, tmp_path, method):
+    text = csv_text([line_of(("01101", f"{n:07d}", "北海道", "市", f"T{n}", "0")) for n in range(3000)])
+    archive(tmp_path / "good.zip", text.encode("cp932"), method)
+    data = bytearray(archive(tmp_path / "bad.zip", text.encode("cp932"), method).read_bytes())
+    data[len(data) // 2] ^= 0xFF
+    (tmp_path / "bad.zip").write_bytes(bytes(data))
+    (tmp_path / "cut.zip").write_bytes(bytes(data[: len(data) // 2]))
+    good, bad = read_zipped_feed(spark, str(tmp_path))
+    assert good.select("feed_file").distinct().count() == 1 and good.count() == 3000
+    found = {r.feed_file.rsplit("/", 1)[1]: r.line[:18] for r in bad.collect()}
+    assert found == {"bad.zip": "unreadable archive", "cut.zip": "unreadable archive"}
+
+
+def test_encrypted_and_unknown_archives(spark, tmp_path):
+    text = csv_text([line_of(SAMPLE[0])])
+    data = archive(tmp_path / "x.zip", text.encode("cp932")).read_bytes()
+    at = data.index(b"PK\x01\x02")
+    locked, unknown = bytearray(data), bytearray(data)
+    locked[6] |= 1
+    locked[at + 8] |= 1
+    unknown[8], unknown[at + 10] = 99, 99
+    (tmp_path / "locked.zip").write_bytes(bytes(locked))
+    (tmp_path / "unknown.zip").write_bytes(bytes(unknown))
+    good, bad = read_zipped_feed(spark, str(tmp_path))
+    assert good.count() == 1
+    found = {r.feed_file.rsplit("/", 1)[1]: r.line for r in bad.collect()}
+    assert set(found) == {"locked.zip", "unknown.zip"} and "encrypted" in found["locked.zip"]
+
+
+def test_archives_are_not_held_whole(spark, tmp_path):
+    """Spark refuses to load a file beyond this length; only its path is asked for."""
+    lines = [line_of(r) for r in SAMPLE]
+    archive(tmp_path / "a b.zip", csv_text(lines).encode("cp932"))
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "10")
+    try:
+        good, _ = read_zipped_feed(spark, str(tmp_path))
+        assert rows(prepare_feed(good, prefecture_dimension(spark))) == sorted(EXPECTED)
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_line_breaks_inside_quotes_of_archives(spark, tmp_path):
+    broken = line_of(("01101", "0600001", "北海道", "市", "上\n下", "0"))
+    text = csv_text([line_of(SAMPLE[0]), broken, line_of(SAMPLE[1])])
+    archive(tmp_path / "a.zip", text.encode("cp932"))
+    good, bad = read_zipped_feed(spark, str(tmp_path), multi_line=True)
+    assert good.count() == 3 and bad.count() == 0
+    assert [r.town for r in good.filter("zip_code = '0600001' AND city = '市'").collect()] == ["上\n下"]
+
+
+def test_written_archives_are_read_back(spark, tmp_path):
+    lines = spark.range(0, 1000, 1, 4).selectExpr("CASE WHEN id % 10 < 9 THEN concat('行,', id) END AS line", "id")
+    out = str(tmp_path / "out")
+    assert write_archives(lines.filter("id < 500"), out, "lzma") == 2  # two partitions are empty
+    got = archive_lines(spark, out).collect()
+    assert [r.line for r in sorted(got, key=lambda r: r.feed_file)] == [f"行,{n}" for n in range(500) if n % 10 < 9]
+    assert write_archives(lines.filter("id < 0"), str(tmp_path / "none")) == 0

@@ -290,3 +290,57 @@ def test_a_refused_feed_leaves_no_files(spark, store):
     V.publish(spark, store, feed(spark, A, B, C), T1, "one")
     lost = V.publish(spark, store, feed(spark, A), T2, "two", max_deleted_ratio=0.5)
     assert lost.status == "failed" and sorted(os.listdir(f"{store}/data")) == [V.version_id(T1)]
+
+
+def spread(spark, city="01101", where=None):
+    """200 rows whose zips begin with 100 different buckets."""
+    rows = [(f"{k * 50_000:07d}", 1, city if k == where else "01101", "北海道", "市", f"T{k}") for k in range(200)]
+    return feed(spark, *rows)
+
+
+def test_published_diff_reads_what_differs(spark, store):
+    days = [T1 + timedelta(days=k) for k in range(4)]
+    v1, v2, v3, v4 = (V.version_id(d) for d in days)
+    V.publish(spark, store, spread(spark), days[0], "one", file_rows=20)
+    V.publish(spark, store, spread(spark, "9", 42), days[1], "two", file_rows=20)
+    some = files.differing(spark, store, files.listed(spark, store, v1), files.listed(spark, store, v2))
+    # one of ten files, and of its rows those that begin as the changed one does
+    assert [len(s.inputFiles()) for s in some] == [1, 1]
+    assert [{r.zip_code[:3] for r in s.collect()} for s in some] == [{"210"}] * 2
+    got = V.diff_published(spark, store, v1, v2).collect()
+    assert [(r.town, r.change_type, r.changed_columns) for r in got] == [("T42", "changed", ["city_id"])]
+
+    # all rows in other files: nothing differs, so nothing is read
+    V.publish(spark, store, feed(spark, A), days[2], "three", file_rows=20)
+    V.publish(spark, store, spread(spark, "9", 42), days[3], "four", file_rows=30)
+    lists = [files.listed(spark, store, v) for v in (v2, v4)]
+    assert not {f.path for f in lists[0]} & {f.path for f in lists[1]}
+    assert [s.count() for s in files.differing(spark, store, *lists)] == [0, 0]
+    assert V.diff_published(spark, store, v2, v4).count() == 0
+
+    for old, new in ((v1, v3), (v3, v4), (v4, v1)):
+        want = V.diff_versions(*[V.read_version(spark, store, v) for v in (old, new)])
+        got = V.diff_published(spark, store, old, new)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 0
+    V.rollback(spark, store, v1, days[3] + timedelta(days=1))
+    back = V.current_version(spark, store)
+    assert back == v1 and V.diff_published(spark, store, v1, V.version_id(days[3] + timedelta(days=1), "rv")).count() == 0
+    with pytest.raises(ValueError, match="not published: v9"):
+        V.diff_published(spark, store, v1, "v9")
+
+
+def test_published_diff_without_digests(spark, store):
+    V.publish(spark, store, spread(spark), T1, "one", file_rows=20)
+    V.publish(spark, store, spread(spark, "9", 42), T2, "two", file_rows=20)
+    files.delete(spark, f"{store}/digests/data_version={V.version_id(T1)}")
+    got = V.diff_published(spark, store, V.version_id(T1), V.version_id(T2))
+    assert [r.town for r in got.collect()] == ["T42"]
+
+
+def test_digests_tell_nulls_apart(spark, store):
+    """A null town beside a city of the same name is not a null city beside that town."""
+    same = feed(spark, ("0000001", 1, "c", "p", "市", "市"))
+    for day, blank in ((T1, "town"), (T2, "city")):
+        V.publish(spark, store, same.withColumn(blank, F.lit(None).cast("string")), day, "x", rules=[])
+    got = V.diff_published(spark, store, V.version_id(T1), V.version_id(T2))
+    assert sorted(r.change_type for r in got.collect()) == ["added", "removed"]
