@@ -268,6 +268,37 @@ def add_freshness(alerted: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def add_stream_freshness(alerted: DataFrame, runs: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+    """What ``add_freshness`` says, on streams: quiet windows of timed ``alerts`` become P3
+    unless a run succeeded in the 12 hours before their end.
+
+    ``runs`` (``run_finished_at``, ``status``) is a stream too.  A window waits until the
+    watermarks of both have passed it, and the state holds 12 hours of runs.  A window that
+    several runs cover meets each of them and is kept once.
+    """
+    limit = f"INTERVAL {S.P3_FRESHNESS_HOURS} HOURS"
+    # streams are joined on equal values only: the half day of a window's end, which for the
+    # windows of a run is its own or the next
+    def half_day(at: Column) -> Column:
+        return F.floor(F.unix_seconds(at) / (S.P3_FRESHNESS_HOURS * 3600))
+
+    done = runs.filter("status = 'success'").select("run_finished_at")
+    done = done.withWatermark("run_finished_at", watermark)
+    own = half_day(F.col("run_finished_at"))
+    done = done.withColumn("_half", F.explode(F.array(own, own + 1)))
+    keys = [c for c in alerted.columns if c != "level"]
+    # ``at`` is just before the window's end, so bounds on it let Spark forget both sides
+    near = (F.col("run_finished_at") >= F.col("at") - F.expr(limit)) & (
+        F.col("run_finished_at") <= F.col("at") + F.expr("INTERVAL 1 SECOND")
+    )
+    end = F.col("window_end")
+    covers = (F.col("run_finished_at") >= end - F.expr(limit)) & (F.col("run_finished_at") <= end)
+    met = alerted.join(done, (half_day(end) == F.col("_half")) & near & covers, "left")
+    stale = F.col("run_finished_at").isNull()
+    level = F.when((F.col("level") == "none") & stale, "P3").otherwise(F.col("level"))
+    return met.withColumn("level", level).select(*keys, "level").dropDuplicates(keys)
+
+
 def breach_runs(windows: DataFrame, breach: Column, by: Sequence[str] = ()) -> DataFrame:
     """Stretches of adjacent windows (``window_start``, ``window_end``) that breach.
 

@@ -777,14 +777,17 @@ def silent_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _silent(sli.silent_probes(_services(events_log(spark, sf_dir)), "service"))
 
 
+def _daily_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run per day, done when the day's first event came."""
+    days = events_log(spark, sf_dir).groupBy(F.to_date("ts").alias("day"))
+    runs = days.agg(F.min("ts").alias("run_finished_at"), F.lit("success").alias("status"))
+    return runs.select("run_finished_at", "status")
+
+
 @query
 def alert_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels with a run history of one run per day, done when the day's first event came."""
-    log = events_log(spark, sf_dir)
-    runs = log.groupBy(F.to_date("ts").alias("day")).agg(
-        F.min("ts").alias("run_finished_at"), F.lit("success").alias("status")
-    )
-    rows = sli.add_freshness(_alerts(spark, sf_dir), runs)
+    """Levels with a run history of one run per day."""
+    rows = sli.add_freshness(_alerts(spark, sf_dir), _daily_runs(spark, sf_dir))
     return rows.select(_at("window_end"), "level")
 
 
@@ -953,6 +956,32 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(_at("window_end"), "requests", "slow_15m", "not_ready_10m", "level")
 
 
+@query
+def stream_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of a stream of requests beside one of daily runs, as far as both have come."""
+    runs = materialise(_daily_runs(spark, sf_dir), "runs")
+    arriving = spark.readStream.schema(runs.schema).parquet(runs.scratch)
+    rows = _run_stream(jobs.stream_alerts_with_freshness(_event_stream(spark, sf_dir), arriving))
+    return rows.select(_at("window_end"), "level")
+
+
+@query
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of all days, then a tenth of those of the days before the last: rows taken in,
+    dropped and kept."""
+    events = t.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    last = F.lit(events.agg(F.max("ts")).first()[0])
+    late = (F.col("event_id") % 10 == 0) & (F.col("ts") < last - F.expr("INTERVAL 1 DAY"))
+    landing, batches = scratch_path(spark, "landing"), scratch_path(spark, "batches")
+    places = scratch_path(spark, "stream"), scratch_path(spark, "progress")
+    for part in (events.filter(~late), events.filter(late)):
+        part.write.mode("append").parquet(landing)
+        stream = sli.dedup_events(spark.readStream.schema(events.schema).parquet(landing), ["event_id"], "1 hour")
+        kept = jobs.run_to_table(stream, *places, batches=batches)
+    counted = jobs.late_rows(spark, batches).agg(F.sum("rows_in").alias("rows_in"), F.sum("dropped").alias("dropped"))
+    return counted.crossJoin(kept.agg(F.count(F.lit(1)).alias("kept")))
+
+
 @query
 def stream_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents of a stream, closed by its watermark and numbered where they are read."""

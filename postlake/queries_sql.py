@@ -589,6 +589,11 @@ _CLOSED = "(SELECT max(ts) FROM log) - INTERVAL 10 MINUTE"
 SQL["stream_sli"] = f"""WITH {t.LOG_SQL}, {_win("5 minutes")}
 SELECT {_WIN_COLUMNS} FROM win WHERE window_start + {_STEP} <= {_CLOSED}"""
 SQL["stream_alerts"] = f"WITH {_TRIPLES} SELECT {_ALERT_COLUMNS} FROM leveled WHERE window_end <= {_CLOSED}"
+_BOTH_CLOSED = "(SELECT least(max(ts), (SELECT max(done) FROM runs)) FROM log) - INTERVAL 10 MINUTE"
+SQL["stream_freshness"] = f"""{SQL["alert_freshness"]} WHERE window_end <= {_BOTH_CLOSED}"""
+SQL["stream_late_rows"] = """WITH e AS (
+  SELECT event_id % 10 = 0 AND ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY AS late FROM events)
+SELECT count(*) AS rows_in, count(*) FILTER (late) AS dropped, count(*) FILTER (NOT late) AS kept FROM e"""
 SQL["stream_incidents"] = f"""{SQL["incident_list"]}
 WHERE e + INTERVAL 301 SECOND <= date_trunc('millisecond', {_CLOSED})"""
 SQL["stream_sustained_latency"] = f"""WITH {_TRIPLES}

@@ -34,6 +34,7 @@ _UNREADABLE = (
     RuntimeError,
     NotImplementedError,
     UnicodeDecodeError,
+    pa.ArrowInvalid,  # a place before the start of a short file
 )
 
 

@@ -109,19 +109,56 @@ def publish_arrivals(
     )
 
 
+_KEPT_BATCHES = "spark.sql.streaming.numRecentProgressUpdates"
+_BATCHES = "run_id string, batch_id long, started_at timestamp, rows_in long, watermark timestamp, dropped long, state_rows long"
+
+
+def _record_batches(spark: SparkSession, query: StreamingQuery, path: str) -> None:
+    def when(text: str | None) -> datetime | None:
+        return datetime.fromisoformat(text) if text else None
+
+    rows = [
+        (
+            str(p.runId),
+            p.batchId,
+            when(p.timestamp),
+            p.numInputRows,
+            when(p.eventTime.get("watermark")),
+            sum(s.numRowsDroppedByWatermark for s in p.stateOperators),
+            sum(s.numRowsTotal for s in p.stateOperators),
+        )
+        for p in query.recentProgress
+    ]
+    spark.createDataFrame(rows, _BATCHES).coalesce(1).write.mode("append").parquet(path)
+
+
+def late_rows(spark: SparkSession, batches: str) -> DataFrame:
+    """What the batches of a stream took in and dropped: run_id, batch_id, started_at, rows_in,
+    watermark, dropped and state_rows, summed over its operators.
+
+    ``dropped`` are rows that came after the watermark had passed them, as an operator met
+    them: windows count the rows of a task and a window as one.
+    """
+    return spark.read.schema(_BATCHES).parquet(batches)
+
+
 def run_to_table(
     stream: DataFrame,
     path: str,
     checkpoint: str,
     schema_of: DataFrame | None = None,
     settings: Mapping[str, str] | None = None,
+    batches: str | None = None,
 ) -> DataFrame:
     """Process what is waiting, append it to files and return the files as a table.
-    ``settings`` hold while the stream runs."""
+    ``settings`` hold while the stream runs.  What each batch took in and dropped is appended
+    to the folder ``batches`` (``late_rows``), also if the stream fails."""
     spark = stream.sparkSession
-    before = {k: spark.conf.get(k, None) for k in settings or {}}
-    for k, v in (settings or {}).items():
+    settings = {**({_KEPT_BATCHES: "100000"} if batches else {}), **(settings or {})}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
+    query = None
     try:
         query = (
             stream.writeStream.format("parquet")
@@ -133,6 +170,8 @@ def run_to_table(
         )
         query.awaitTermination()
     finally:
+        if batches and query is not None:
+            _record_batches(spark, query, batches)
         for k, v in before.items():
             if v is None:
                 spark.conf.unset(k)
@@ -155,6 +194,14 @@ def stream_alerts(
     return sli.alerts(sli.sli_windows(log, by=by, watermark=watermark), by=by)
 
 
+def stream_alerts_with_freshness(
+    log: DataFrame, runs: DataFrame, watermark: str = "10 minutes", by: Sequence[str] = ()
+) -> DataFrame:
+    """Alert levels of a streaming log, P3 where a stream of update runs has been silent."""
+    levels = sli.alerts(sli.sli_windows(log, by=by, watermark=watermark), by=by, timed=True)
+    return sli.add_stream_freshness(levels, runs, watermark)
+
+
 def stream_incidents(
     log: DataFrame, watermark: str = "10 minutes", by: Sequence[str] = ()
 ) -> DataFrame:

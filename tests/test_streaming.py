@@ -196,3 +196,42 @@ def test_incidents_close_by_the_watermark(spark, tmp_path):
     assert [r.windows for r in got] == [3, 1]
     again = sli.alert_sessions(sli.alerts(sli.sli_windows(events), timed=True))
     assert reports.numbered(again).orderBy("started_at").collect() == batch.orderBy("started_at").collect()
+
+
+def test_stream_freshness_equals_batch(spark, tmp_path):
+    batch, stream = write_log(spark, str(tmp_path / "log"))
+    hours = [(-12, "success"), (-11.7, "success"), (-6, "failed"), (1.5, "failed"), (2, "success"), (4, "success")]
+    runs = spark.createDataFrame(
+        [(T0 + timedelta(hours=h), status) for h, status in hours], "run_finished_at timestamp, status string"
+    )
+    runs.write.parquet(str(tmp_path / "runs"))
+    arriving = spark.readStream.schema(runs.schema).parquet(str(tmp_path / "runs"))
+    levels = jobs.stream_alerts_with_freshness(stream, arriving)
+    got = jobs.run_to_table(levels, str(tmp_path / "a"), str(tmp_path / "ca")).drop("at")
+    want = sli.add_freshness(sli.alerts(sli.sli_windows(batch)), runs).select(*got.columns)
+    until = batch.agg(F.max("ts")).first()[0] - timedelta(minutes=10)
+    assert rows(got) == rows(closed(want, "window_end", until))
+    # quiet from the end of the old runs' 12 hours to the new run, fresh again after it
+    stale = {(r.window_end - T0.replace(tzinfo=None)).seconds // 60 for r in got.filter("level = 'P3'").collect()}
+    assert stale and min(stale) == 20 and max(stale) < 120
+    assert got.filter("level = 'none'").count() > 5
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    schema, landing = "ts timestamp, id long", str(tmp_path / "in")
+    places = str(tmp_path / "out"), str(tmp_path / "cp")
+    batches = str(tmp_path / "batches")
+    parts = [
+        [(T0 + timedelta(minutes=m), m) for m in range(120)],
+        [(T0 + timedelta(minutes=m), 1000 + m) for m in (1, 2, 3, 118, 125)],
+    ]
+    for part in parts:
+        spark.createDataFrame(part, schema).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(schema).parquet(landing)
+        kept = jobs.run_to_table(sli.dedup_events(stream, ["id"], "10 minutes"), *places, batches=batches)
+    assert kept.count() == 122
+    seen = jobs.late_rows(spark, batches)
+    assert seen.agg(F.sum("rows_in"), F.sum("dropped")).first() == (125, 3)
+    assert seen.select("run_id").distinct().count() == 2
+    assert seen.filter("dropped > 0").count() == 1
+    assert seen.agg(F.max("watermark")).first()[0] >= (T0 + timedelta(minutes=109)).replace(tzinfo=None)
