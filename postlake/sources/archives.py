@@ -6,6 +6,7 @@ its first entry and unpacks that in pieces, so no archive is ever held whole.
 
 from __future__ import annotations
 
+import errno
 import io
 import lzma
 import re
@@ -34,7 +35,6 @@ _UNREADABLE = (
     RuntimeError,
     NotImplementedError,
     UnicodeDecodeError,
-    pa.ArrowInvalid,  # a place before the start of a short file
 )
 
 
@@ -46,10 +46,39 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(quote(re.sub("^s3[an]:", "s3:", path), safe=":/@"))
 
 
+class _File(io.RawIOBase):
+    """An Arrow file; a place before its start is an ``OSError``, as with other files."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def read(self, size: int = -1) -> bytes:
+        return self.file.read(None if size is None or size < 0 else size)
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        try:
+            return self.file.seek(offset, whence)
+        except pa.ArrowInvalid as e:
+            raise OSError(errno.EINVAL, str(e)) from e
+
+    def close(self) -> None:
+        self.file.close()
+        super().close()
+
+
 def open_path(path: str) -> io.IOBase:
-    """A seekable file; anything but local paths goes through Arrow's file systems."""
+    """A seekable file, through Arrow's file systems."""
     system, place = _place(path)
-    return system.open_input_file(place)
+    return _File(system.open_input_file(place))
 
 
 def _records(text: io.TextIOWrapper, multi_line: bool) -> Iterator[str]:
@@ -83,8 +112,9 @@ def _archive(path: str, file: io.IOBase, encoding: str, header: bool, multi_line
         yield frame([None], f"unreadable archive: {e}")
         return
     except OSError as e:
-        # bad bzip2 data has no error number; a failed read has, and is tried again
-        if e.errno is not None:
+        # bad bzip2 data has no error number, and in a cut archive places may lie before its
+        # start; a failed read is tried again
+        if e.errno not in (None, errno.EINVAL):
             raise
         yield frame([None], f"unreadable archive: {e}")
         return
