@@ -104,10 +104,11 @@ def measured(text: str | None) -> tuple[int, ...]:
 def signals(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang"
 ) -> DataFrame:
-    """doc_id, stratum and the signals of every row; a null stratum is the empty string."""
+    """doc_id, stratum, text_hash and the signals of every row; a null stratum is the empty string."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"),
+        F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"),
         F.col(text_col).alias("text"),
     )
     kind = rows.schema["doc_id"].dataType
@@ -117,12 +118,12 @@ def signals(
             found = [measured(t) for part in slices(batch["text"]) for t in part]
             columns = np.array(found, np.int64).reshape(-1, len(SIGNALS)).T
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["stratum"], *map(pa.array, columns)],
-                ["doc_id", "stratum", *SIGNALS],
+                [batch["doc_id"], batch["stratum"], batch["text_hash"], *map(pa.array, columns)],
+                ["doc_id", "stratum", "text_hash", *SIGNALS],
             )
 
     kinds = ", ".join(f"{s} long" for s in SIGNALS)
-    return rows.mapInArrow(measure, f"doc_id {kind.simpleString()}, stratum string, {kinds}")
+    return rows.mapInArrow(measure, f"doc_id {kind.simpleString()}, stratum string, text_hash long, {kinds}")
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -191,11 +192,13 @@ def cutoffs(
     delta: float = DELTA,
     id_col: str = "doc_id",
     label_col: str = "quality",
+    same: str | None = None,
 ) -> DataFrame:
     """One row per stratum with labelled good texts: stratum, n_good and a cutoff per rule,
     null where no step of it passes.  ``marked`` is what ``signals`` returns.
 
-    All labelled rows count.  Null labels and ids are ignored; an id with several labels is
+    Rows of a stratum that agree in the column ``same`` are one trial, as copies of a text are
+    judged alike; without it all labelled rows count.  Null labels and ids are ignored; an id with several labels is
     good only if all say so.
     """
     good = (
@@ -206,6 +209,8 @@ def cutoffs(
         .filter("good = 1")
     )
     held = marked.join(good, "doc_id")
+    if same is not None:
+        held = held.dropDuplicates(["stratum", same])
     # the first step that rejects a good text, as later ones do too: counted, not carried
     order = steps(rules)
     place = {step: t for t, step in enumerate(order)}
@@ -250,6 +255,7 @@ def judged(
     text_col: str = "text",
     stratum_col: str = "lang",
     label_col: str = "quality",
+    copies_once: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, stratum, the signals, base_failed, kept, and
     ``rejected_by``, the names of the rules that reject it.
@@ -257,10 +263,13 @@ def judged(
     ``base_failed``: fewer than 50 words, or more than half of them in repeated three-word
     windows.  ``kept``: not base_failed and rejected by no rule.  Null texts count as empty;
     a null stratum is one of its own; a stratum without enough labels rejects nothing beyond
-    the base.  Repeated rows are judged alike; an empty table gives an empty result.
+    the base.  ``copies_once`` counts labelled good rows of a stratum with one text as one trial
+    (texts are told apart by a 64-bit hash, so at worst a trial is missing); without it the
+    guarantee takes all labelled rows to be independent.  Repeated rows are judged alike; an empty table gives an empty result.
     """
+    same = "text_hash" if copies_once else None
     marked = written(signals(docs, id_col, text_col, stratum_col), "quality-signals")
-    chosen = written(cutoffs(marked, labels, rules, risk, delta, id_col, label_col), "quality-cutoffs")
+    chosen = written(cutoffs(marked, labels, rules, risk, delta, id_col, label_col, same), "quality-cutoffs")
     rows = lookup_join(marked, chosen, ["stratum"], "left")
     over = [F.when(F.expr(f"{_value(r)} > cut_{r.name}"), F.lit(r.name)) for r in rules]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

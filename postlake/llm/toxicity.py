@@ -79,6 +79,13 @@ class Model:
         clean = math.log1p(-self.leak) + math.fsum(math.log1p(-p) for p in found)
         return min(1.0, max(0.0, -math.expm1(clean)))
 
+    def offending(self, text: str | None, least: float = 0.5) -> list[tuple[int, int, float]]:
+        """Start, end and probability of the sentences that reach ``least``; if none does, of
+        the likeliest one."""
+        found = [(s.start(), s.end(), self.sentence(s[0])) for s in SENTENCE.finditer(text or "")]
+        found = [f for f in found if f[2] > 0]
+        return [f for f in found if f[2] >= least] or sorted(found, key=lambda f: -f[2])[:1]
+
 
 def _sigmoid(z: float) -> float:
     return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
@@ -218,7 +225,9 @@ def train(
 def scores(
     docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of ``docs``.
+    """doc_id, held_out, score, predicted and ``offending`` of every row of ``docs``: where the
+    sentences are (in characters) for which it is predicted toxic, and their own scores.  It is
+    empty if the row is not predicted, or for what no sentence shows.
 
     Null texts count as empty; null ids are not held out; repeated rows are scored alike.
     """
@@ -229,17 +238,26 @@ def scores(
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [own.score(t) for part in slices(batch["text"]) for t in part]
+            found, spans = [], []
+            for part in slices(batch["text"]):
+                for text in part:
+                    found.append(own.score(text))
+                    some = own.offending(text) if found[-1] >= 0.5 else []
+                    spans.append([dict(zip(("start", "end", "score"), s, strict=True)) for s in some])
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(found, "float64")], ["doc_id", "score"]
+                [batch["doc_id"], pa.array(found, "float64"), pa.array(spans, places)],
+                ["doc_id", "score", "offending"],
             )
 
-    out = rows.mapInArrow(scored, f"doc_id {kind.simpleString()}, score double")
+    places = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+    spans_type = "array<struct<start: bigint, end: bigint, score: double>>"
+    out = rows.mapInArrow(scored, f"doc_id {kind.simpleString()}, score double, offending {spans_type}")
     return out.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "offending",
     )
 
 

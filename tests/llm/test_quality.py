@@ -266,3 +266,47 @@ def test_cutoffs_of_the_union_by_brute_force(spark):
     assert rejected and {r.name: found[f"cut_{r.name}"] for r in rules} == {
         r.name: cut.get(r.name) for r in rules
     }
+
+
+def test_copies_in_the_holdout_are_one_trial(spark):
+    """300 copies of one good text are no 300 trials; equal texts of two strata are two."""
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(d, words, "a") for d in range(300)] + [(d, f"{words} x{d}", "b") for d in range(300, 600)]
+    rows += [(600, words, "b"), (601, None, "b"), (602, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    marked = quality_gate.signals(docs)
+    rules = quality_gate.RULES
+    got = {r.stratum: r for r in quality_gate.cutoffs(marked, labels, rules, same="text_hash").collect()}
+    assert {s: r.n_good for s, r in got.items()} == {"a": 1, "b": 302}
+    assert all(got["a"][f"cut_{r.name}"] is None for r in rules)
+    assert any(got["b"][f"cut_{r.name}"] is not None for r in rules)
+    # a text with more symbols than any good one goes where there are enough trials
+    odd = spark.createDataFrame(
+        [(900, words.replace(" ", " # "), "a"), (901, words.replace(" ", " # "), "b")], docs.schema
+    )
+    kept = {r.doc_id: r.kept for r in quality_gate.judged(docs.unionByName(odd), labels, copies_once=True).collect()}
+    assert kept[900] and not kept[901] and kept[0] and kept[300]
+
+
+def test_scores_name_the_sentences(spark):
+    rows = toxic_docs(600)
+    docs = spark.createDataFrame([*[r[:2] for r in rows], (9001, None), (9002, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    texts = dict(r[:2] for r in rows)
+    got = toxicity.scores(docs, model).collect()
+    sure = {}
+    for r in toxicity.offending_sentences(docs, model).collect():
+        sure.setdefault(r.doc_id, []).append((r.start, r.end, r.score))
+    for r in got:
+        own = [tuple(s) for s in r.offending]
+        if not r.predicted:
+            assert own == []
+            continue
+        if r.doc_id in sure:
+            assert own == sorted(sure[r.doc_id])
+        else:
+            every = [(s.start(), s.end(), model.sentence(s[0])) for s in toxicity.SENTENCE.finditer(texts[r.doc_id])]
+            assert own == [max(every, key=lambda s: s[2])]
+    assert any(r.offending for r in got) and {r.doc_id for r in got} >= {9001, 9002}
