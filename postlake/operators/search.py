@@ -6,9 +6,11 @@ wildcards in the last two.  Hits come in a fixed order, at most ``limit`` per re
 
 How it runs: no mode needs a cross join.  Whole tokens and prefixes of the asked lengths meet
 keywords in an equi-join, so the pairs coming out are exactly the matching ones.  For parts
-there is an index of grams: every run of one to three characters of a token, with its place.
-A keyword looks up the one of its grams that the fewest tokens have, and the tokens found are
-checked in full, so it never meets more tokens than its rarest gram has.
+there are grams: every run of one, two, four or eight characters of a token, with its place.
+A keyword looks up the one of its longest grams that the fewest tokens have, and the tokens
+found are checked in full, so it never meets more tokens than that gram has.  Where the keywords
+are too many to be broadcast, a gram travels as two hashes and a place: the tokens themselves
+are fetched for the places where a keyword may be.
 
 No request can show more than 200 records, and neither a token nor a keyword contributes more
 than its first 200 in order.  So a token keeps 200 records, and a keyword the tokens with the
@@ -28,7 +30,7 @@ from pyspark.sql.window import Window
 
 from postlake import schema as S
 from postlake.functions import text
-from postlake.operators.skew import BROADCAST_ROWS, HOT_ROWS, key_counts, spread_join
+from postlake.operators.skew import BROADCAST_ROWS, HOT_ROWS, fits, key_counts, spread_join
 from postlake.session import empty, materialise
 
 # LIKE's escape: a control character instead of the backslash, which stays literal.  Where
@@ -43,8 +45,19 @@ def _records(addresses: DataFrame) -> DataFrame:
     ).distinct()
 
 
-#: Characters of the longest gram.
-GRAM = 3
+#: Characters of grams; a key is looked up by the longest that fits it.
+GRAMS = (1, 2, 4, 8)
+#: A gram that more tokens have than this is not shuffled unless a keyword has no rarer one.
+POPULAR = 1_000
+
+
+def _gram_size(key: Column) -> Column:
+    return F.greatest(*[F.when(F.length(key) >= n, n).otherwise(GRAMS[0]) for n in GRAMS])
+
+
+def _gram(text: Column, at: Column, size: Column) -> Column:
+    """A hash of the gram: what meets through it is checked in full."""
+    return F.xxhash64(F.substring(text, at, size))
 
 
 @dataclass
@@ -64,20 +77,23 @@ class Index:
         return self.records.groupBy("token").agg(F.min(F.struct(*S.ADDRESS_ORDER)).alias("best"))
 
     @cached_property
-    def grams(self) -> DataFrame:
-        """gram, token, best and ``at``: every run of up to ``GRAM`` characters of a token, with the
-        place (from 1) where it begins."""
+    def listed(self) -> DataFrame:
+        """``tokens``, written once."""
         # Few bytes of tokens turn into many grams: spread the tokens over all tasks.
         tasks = int(self.records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        size, at = F.lit(GRAM), F.col("at")
-        rows = self.tokens.repartition(tasks).withColumn(
-            "at", F.explode(F.sequence(F.lit(1), F.greatest(F.length("token"), F.lit(1))))
-        )
-        rows = rows.withColumn(
-            "n", F.explode(F.sequence(F.lit(1), F.greatest(F.least(size, F.length("token") - at + 1), F.lit(1))))
-        )
-        gram = F.substring(F.col("token"), at, F.col("n")).alias("gram")
-        return materialise(rows.select(gram, "token", "best", "at"), "search-grams")
+        return materialise(self.tokens.repartition(tasks), "search-tokens")
+
+    def grams_of(self, sizes: list[int]) -> DataFrame:
+        """gram, token, best and ``at``: every run of so many characters of a token, hashed, with
+        the place (from 1) where it begins."""
+        fitting = F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length("token"))
+        rows = self.listed.withColumn("n", F.explode(fitting))
+        rows = rows.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("token") - F.col("n") + 1)))
+        return rows.select(_gram(F.col("token"), F.col("at"), F.col("n")).alias("gram"), "token", "best", "at")
+
+    @property
+    def grams(self) -> DataFrame:
+        return self.grams_of(list(GRAMS))
 
 
 def _index(addresses: DataFrame, tokens: list[Column]) -> Index:
@@ -144,7 +160,7 @@ class _Asked:
     terms: int
     exact: bool
     prefix: list[int]
-    part: bool
+    part: list[int]  # sizes of grams
     length: list[int]
 
 
@@ -177,7 +193,7 @@ def _asked(prepared: DataFrame, spellings: Column, wildcards: bool) -> _Asked:
         F.count(F.lit(1)).alias("terms"),
         F.coalesce(F.bool_or(F.col("kind") == "exact"), F.lit(False)).alias("exact"),
         lengths("prefix", size),
-        F.coalesce(F.bool_or(F.col("kind") == "part"), F.lit(False)).alias("part"),
+        lengths("part", _gram_size(F.col("key"))),
         lengths("length", F.col("key").try_cast("int")),
     ).first()
     return _Asked(keys, spelled, **row.asDict())
@@ -209,20 +225,53 @@ def _token_pieces(tokens: DataFrame, want: _Asked) -> DataFrame:
     )
 
 
-def _rarest(terms: DataFrame, grams: DataFrame) -> DataFrame:
-    """``terms`` with the gram of their key that the fewest tokens have and its place in the
-    key, from 1.  A term with a gram that no token has is dropped, as nothing can match it.
+def _held(grams: DataFrame) -> DataFrame:
+    """How many places each gram is found at, counted before the shuffle."""
+    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+
+
+def _rarest(terms: DataFrame, grams: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """``terms`` with the gram of their key that is found at the fewest places, its place in the
+    key, from 1, and that number.  A term with a gram that no token has is dropped, as nothing
+    can match it.
 
-    A key shorter than a gram is a gram itself.  Tokens are counted before the shuffle.
+    ``counts`` is :func:`_held` of the grams if it is known already.
     """
-    size = F.least(F.length("key"), F.lit(GRAM))
-    places = F.sequence(F.lit(1), F.length("key") - size + 1)
-    cut = F.transform(places, lambda k: F.struct(F.substring(F.col("key"), k, size).alias("gram"), k.alias("place")))
-    own = terms.select("*", F.explode(cut).alias("g")).select(*terms.columns, "g.gram", "g.place")
-    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
-    best = F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram", "place")).alias("g")
-    found = own.join(counts, "gram", "left").groupBy(*terms.columns).agg(best)
-    return found.filter("g.held > 0").select(*terms.columns, "g.gram", "g.place")
+    key, place, size = F.col("key"), F.col("place"), _gram_size(F.col("key"))
+    own = terms.withColumn("place", F.explode(F.sequence(F.lit(1), F.length(key) - size + 1)))
+    own = own.withColumn("gram", _gram(key, place, size))
+    best = F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "place")).alias("g")
+    found = own.join(_held(grams) if counts is None else counts, "gram", "left")
+    found = found.groupBy(*terms.columns).agg(best).filter("g.held > 0").select(*terms.columns, "g.held", "g.place")
+    return found.withColumn("gram", _gram(key, place, size))
+
+
+def _holding(terms: DataFrame, asked: _Asked, index: Index, broadcast_rows: int, hot_rows: int) -> DataFrame:
+    """``terms`` with each token, and its ``best``, that holds their key."""
+    grams = index.grams_of(asked.part)
+    columns = [*terms.columns, "token", "best"]
+
+    def whole(met: DataFrame) -> DataFrame:
+        # the key begins as far before the gram as in the keyword
+        start = F.col("at") - F.col("place") + 1
+        same = F.substring(F.col("token"), start, F.length("key")) == F.col("key")
+        return met.filter((start > 0) & same).select(columns)
+
+    if asked.terms <= broadcast_rows:
+        return whole(grams.join(F.broadcast(_rarest(terms, grams)), "gram"))
+    counts = materialise(_held(grams), "gram-counts")
+    probes = materialise(_rarest(terms, grams, counts), "search-probes")
+    # At most one gram in POPULAR places is popular.
+    popular = counts.filter(F.col("held") > POPULAR).select("gram")
+    popular = F.broadcast(popular) if fits(popular, BROADCAST_ROWS) else popular
+    often, seldom = probes.filter(F.col("held") > POPULAR), probes.filter(F.col("held") <= POPULAR)
+    asked_often = often.select("gram").distinct()
+    asked_often = F.broadcast(asked_often) if fits(asked_often, BROADCAST_ROWS) else asked_often
+    met = spread_join(grams.join(asked_often, "gram", "left_semi"), often, ["gram"], hot_rows=hot_rows)
+    token = F.xxhash64("token").alias("token_hash")
+    places = grams.select("gram", token, "at").join(popular, "gram", "left_anti")
+    found = places.join(seldom, "gram").join(index.listed.select("*", token), "token_hash")
+    return whole(met).unionByName(whole(found))
 
 
 def _match(asked: _Asked, index: Index, broadcast_rows: int, hot_rows: int) -> DataFrame:
@@ -245,12 +294,7 @@ def _match(asked: _Asked, index: Index, broadcast_rows: int, hot_rows: int) -> D
         pieces = _token_pieces(index.tokens.repartition(tasks), asked)
         parts.append(meet(pieces, terms.filter("kind <> 'part'"), ["kind", "key"]))
     if asked.part:
-        probes = _rarest(terms.filter("kind = 'part'"), index.grams)
-        met = meet(index.grams, probes, ["gram"])
-        # the key begins as far before the gram as in the keyword
-        start = F.col("at") - F.col("place") + 1
-        whole = F.substring(F.col("token"), start, F.length("key")) == F.col("key")
-        parts.append(met.filter((start > 0) & whole))
+        parts.append(_holding(terms.filter("kind = 'part'"), asked, index, broadcast_rows, hot_rows))
     matches = F.expr("like IS NULL OR token LIKE like ESCAPE '\\u0001'")
     met = reduce(DataFrame.unionByName, [p.select(*_MATCH, "like", "token", "best") for p in parts])
     matched = met.filter(matches).select(*_MATCH, "token", "best")

@@ -284,3 +284,25 @@ def test_a_term_looks_at_no_more_tokens_than_its_rarest_gram(spark):
     found = {r.key: r.gram for r in search._rarest(terms, index.grams).collect()}
     held = dict(index.grams.groupBy("gram").count().collect())
     assert set(found) == {"common123", "common"} and held[found["common123"]] == 1
+
+
+def test_long_terms_look_at_few_tokens_however_small_the_alphabet(spark):
+    numbers = [f"丁{k * 7919 * 104729 % 10**9:09d}" for k in range(2000)]
+    addresses = spark.createDataFrame([(f"{k:07d}", 1, "c", "p", "city", x) for k, x in enumerate(numbers)], S.ADDRESS)
+    index = search.column_index(addresses)
+    found = search._rarest(spark.createDataFrame([(x,) for x in numbers], "key string"), index.grams).collect()
+    held = dict(index.grams.groupBy("gram").count().collect())
+    assert {r.key for r in found} == set(numbers) and sum(held[r.gram] for r in found) < 1.1 * len(numbers)
+
+
+@pytest.mark.parametrize("popular", [0, 4])
+def test_many_terms_meet_popular_and_rare_grams(spark, monkeypatch, popular):
+    monkeypatch.setattr(search, "POPULAR", popular, raising=False)
+    rows = [(f"{k:07d}", 1, "c", "県", f"HOUSEHOLD-{k % 3}", f"丁{k:09d}丁{k:09d}") for k in range(60)]
+    addresses = spark.createDataFrame([*rows, ("9", 2, "c", "県", "HOUSEHOLD-1", "")], S.ADDRESS)
+    words = ["県", "県H", "HOUSEHOLD-1", "LD-2丁0000", "丁000000031丁", "000000007", "0000000", "1丁", "none", "HOUSEHOLDS", "59丁000000059"]
+    requests = spark.createDataFrame([(i, w, "partial", 200) for i, w in enumerate(words)], REQUEST)
+    town = {r[0]: "".join(r[3:6]) for r in rows} | {"9": "県HOUSEHOLD-1"}
+    want = {i: sorted(z for z, x in town.items() if w in x) for i, w in enumerate(words)}
+    got = hits(search.search_concat(requests, addresses, broadcast_rows=0, hot_rows=3))
+    assert got == {i: z for i, z in want.items() if z}
