@@ -1,12 +1,13 @@
 """Text rules as Column expressions.
 
 Everything runs inside the JVM except NFKC, which Spark has no function for; that one is
-an Arrow-batched UDF and only non-ASCII values are sent to it.
+a UDF and only non-ASCII values are sent to it.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,9 +69,11 @@ def blank_unlisted(c: Column) -> Column:
     return F.when(c == S.UNLISTED_TOWN, "").otherwise(c)
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.str.normalize("NFKC")
+# Without Arrow a worker holds a hundred values at a time, with it 10,000, which whole texts
+# make large.
+@F.udf(T.StringType(), useArrow=False)
+def _nfkc(value: str | None) -> str | None:
+    return None if value is None else unicodedata.normalize("NFKC", value)
 
 
 # Not because it is: this keeps the optimizer from running the UDF again for every filter

@@ -55,6 +55,15 @@ def test_normalise(spark):
     assert got == want and got[:2] == ["シンジュク", "1234"]
 
 
+def test_nfkc_takes_few_values_at_a_time(spark):
+    values = [None, "abc", "ＡＢＣ　１", "é e\u0301", "㍿", "ｶﾞ", "ﬁ①", "😀𠮷", "\uff21" * 5000, "a\u0323\u0307b"] * 30
+    want = [None if v is None else unicodedata.normalize("NFKC", v) for v in values]
+    assert apply(spark, text.nfkc, values) == want
+    plan = spark.createDataFrame([("é",)], "v string").select(text.nfkc(F.col("v")))
+    shown = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in shown and "ArrowEvalPython" not in shown
+
+
 def test_kana(spark):
     assert apply(spark, text.to_katakana, ["しんじゅく", "ゔ", "ー新a"]) == ["シンジュク", "ヴ", "ー新a"]
     assert apply(spark, text.to_hiragana, ["シンジュク", "ヴ", "ーヷ"]) == ["しんじゅく", "ゔ", "ーヷ"]
